@@ -92,7 +92,7 @@ def ladders(counts: DataFrame, tree: str = "tree_id", taxon: str = "taxon_id", n
 
 def ladder_newick(ranked: DataFrame, label: str, tree: str = "tree_id", length: str | None = None) -> DataFrame:
     """Caterpillar Newick per tree: the two best taxa form the innermost pair."""
-    tip = F.concat(label, F.lit(":"), F.format_number(F.col(length), 6)) if length else F.col(label)
+    tip = F.concat(label, F.lit(":"), F.format_string("%.6f", F.col(length))) if length else F.col(label)
     g = ranked.groupBy(tree).agg(F.array_sort(F.collect_list(F.struct("rank", tip.alias("t")))).alias("_l"))
     inner = F.lit("):0.050000" if length else ")")
     text = F.aggregate(F.slice("_l", F.lit(2), F.size("_l") - 2), F.element_at("_l", 1)["t"],
