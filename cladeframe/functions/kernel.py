@@ -33,6 +33,13 @@ class Rates:
         return np.maximum((self.left[None] * e[:, None, :]) @ self.right, 0 if not derivative else -np.inf)
 
 
+    def terms(self, t: float) -> np.ndarray:
+        """Weighted exponentials and their first two derivatives: (categories, states, 3)."""
+        lam = self.values[None, :] * self.speed[:, None]
+        e = np.exp(lam * t) * self.weights[:, None]
+        return np.stack([e, e * lam, e * lam * lam], axis=2)
+
+
 def tip_table(masks: np.ndarray, states: int) -> np.ndarray:
     """Byte -> 0/1 vector over the states."""
     return ((masks[:, None] >> np.arange(states, dtype=np.uint64)) & np.uint64(1)).astype(float)
@@ -75,9 +82,8 @@ class Block:
                 x = self._along(rates, c, below, length[c])
                 clv = x if clv is None else clv * x
                 scale = scale + s
-            top = clv.max(axis=(0, 2))
-            if top.min() < TINY:
-                top = np.maximum(top, 1e-300)
+            if clv.min() < TINY:
+                top = np.maximum(clv.max(axis=(0, 2)), 1e-300)
                 clv = clv / top[None, :, None]
                 scale = scale + np.log(top)
             out[v] = (clv, scale)
@@ -129,23 +135,21 @@ class Block:
                 if from_up is not None:
                     x = x * from_up
                     s = s + above[v][1]
-                top = x.max(axis=(0, 2))
-                if top.min() < TINY:
-                    top = np.maximum(top, 1e-300)
+                if x.min() < TINY:
+                    top = np.maximum(x.max(axis=(0, 2)), 1e-300)
                     x = x / top[None, :, None]
                     s = s + np.log(top)
                 above[c] = (x, s)
                 d, sd = below.get(c, (None, 0.0))
-                f = []
-                for k in range(3):
-                    along = seen[c] if k == 0 else self._along(rates, c, d, length[c], k)
-                    f.append(np.einsum("c,cps,cps,s->p", rates.weights, x, along, rates.pi, optimize=True))
-                f0 = f[0]
+                # in the eigenbasis all derivatives share one product of the two partials
+                z = ((x * rates.pi) @ rates.left) * (
+                    (self.tips @ rates.right.T)[self.codes[:, c]] if d is None else d @ rates.right.T)
+                f0, f1, f2 = np.einsum("cpm,cmk->kp", z, rates.terms(length[c]), optimize=True)
                 scale = np.asarray(s + sd)
                 if const is not None:
                     f0 = f0 + const / (1 - rates.pinv) * np.exp(np.minimum(-scale, 700.0))
-                r1 = f[1] / f0
-                grad[c] = (weights @ r1, weights @ (f[2] / f0 - r1 * r1))
+                r1 = f1 / f0
+                grad[c] = (weights @ r1, weights @ (f2 / f0 - r1 * r1))
                 if lnl is None:
                     lnl = weights @ (np.log(f0 * (1 - rates.pinv)) + scale)
         return lnl, grad

@@ -52,8 +52,8 @@ class Alphabet:
         return lut
 
     def code_of(self, mask: int) -> str | None:
-        """Preferred symbol of a state set: the first in symbol order that means it."""
-        hits = [c for c, m in self.masks.items() if m == mask and c == c.upper()]
+        """Symbol of a state set: the first in ASCII order that means it."""
+        hits = [c for c, m in self.masks.items() if m == mask]
         return min(hits) if hits else None
 
 

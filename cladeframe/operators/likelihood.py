@@ -207,9 +207,8 @@ def _asc_term(rates: Rates, m: Model, order, length, n_taxa: int, sites: float)
     return float(w[0] * np.log(lk.sum()) if m.asc == "FELS" else (w * np.log(lk)).sum())
 
 
-def score(al: PackedAlignment, cands: Sequence[Candidate]) -> np.ndarray:
-    """Log-likelihood of every candidate per partition: (candidates, partitions in id order)."""
-    parts = sorted(al.stats)
+def score_table(al: PackedAlignment, cands: Sequence[Candidate]) -> DataFrame:
+    """Log-likelihood of every candidate and partition, without ascertainment terms: (cand, part_id, lnl)."""
     bc = _tasks(al, cands)
 
     def run(it):
@@ -236,13 +235,18 @@ def score(al: PackedAlignment, cands: Sequence[Candidate]) -> np.ndarray:
                     total[i, part] = total.get((i, part), 0.0) + float(w[row][use] @ lnl[use])
         yield pd.DataFrame([(i, p, v) for (i, p), v in total.items()], columns=["cand", "part_id", "lnl"])
 
-    rows = al.blocks.mapInPandas(run, "cand INT, part_id INT, lnl DOUBLE").groupBy("cand", "part_id").agg(
-        F.sum("lnl").alias("lnl")).collect()
+    return al.blocks.mapInPandas(run, "cand INT, part_id INT, lnl DOUBLE").groupBy("cand", "part_id").agg(
+        F.sum("lnl").alias("lnl"))
+
+
+def score(al: PackedAlignment, cands: Sequence[Candidate]) -> np.ndarray:
+    """Log-likelihood of every candidate per partition: (candidates, partitions in id order)."""
+    parts = sorted(al.stats)
+    rows = score_table(al, cands).collect()
     out = np.zeros((len(cands), len(parts)))
     at = {p: k for k, p in enumerate(parts)}
     for r in rows:
         out[r["cand"], at[r["part_id"]]] = r["lnl"]
-    bc.unpersist()
     # the ascertainment term depends on the tree and the column total only: once, not per block
     for i, c in enumerate(cands):
         for p, m in c.models.items():
@@ -287,7 +291,6 @@ def derivatives(al: PackedAlignment, cands: Sequence[Candidate]):
             lnl[r["cand"]] += r["d1"]
         else:
             grads[r["cand"]].setdefault(r["part_id"], {})[names[r["cand"]][r["branch"]]] = (r["d1"], r["d2"])
-    bc.unpersist()
     return lnl, grads
 
 
@@ -347,10 +350,29 @@ def ancestral_states(probs: DataFrame, alphabet) -> DataFrame:
     return probs.withColumn("state", F.coalesce(F.element_at(table, mask), top))
 
 
+def ancestral_sequences(states: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(node, part_id, site, state) -> state strings per run of ``chunk`` columns."""
+    c = F.floor(F.col("site") / chunk).alias("chunk")
+    return states.groupBy("node", "part_id", c).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("site", "state"))), lambda x: x["state"]), "").alias("segment"))
+
+
+def transition_table(edges: DataFrame, model: Model, length: str = "length") -> DataFrame:
+    """Edges with their transition matrices, flattened row by row per rate category (``p``)."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in edges.dtypes) + ", p ARRAY<DOUBLE>"
+
+    def run(it):
+        r = Rates(model)
+        for pdf in it:
+            yield pdf.assign(p=[r.p(t).ravel() for t in pdf[length]])
+
+    return edges.mapInPandas(run, schema)
+
+
 # -- parsimony --------------------------------------------------------------------------
 
-def parsimony_scores(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int = 0) -> np.ndarray:
-    """Weighted Fitch changes of every tree over the whole alignment."""
+def parsimony_table(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int = 0) -> DataFrame:
+    """Weighted Fitch changes of every tree over the whole alignment: (cand, score)."""
     tables = {p: a.table() for p, a in alphabets.items()}
     bc = al.blocks.sparkSession.sparkContext.broadcast(([t.rooted()[0] for t in trees], tables, len(al.labels), al.lanes))
 
@@ -365,10 +387,13 @@ def parsimony_scores(al: PackedAlignment, trees: Sequence[Topology], alphabets:
                     total[i] += fitch(masks, orders[i], w[row])[1]
         yield pd.DataFrame({"cand": np.arange(len(orders)), "score": total.round().astype(np.int64)})
 
-    got = al.blocks.mapInPandas(run, "cand INT, score BIGINT").groupBy("cand").agg(F.sum("score").alias("s")).collect()
+    return al.blocks.mapInPandas(run, "cand INT, score BIGINT").groupBy("cand").agg(F.sum("score").alias("score"))
+
+
+def parsimony_scores(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int = 0) -> np.ndarray:
     out = np.zeros(len(trees), dtype=np.int64)
-    for r in got:
-        out[r["cand"]] = r["s"]
+    for r in parsimony_table(al, trees, alphabets, row).collect():
+        out[r["cand"]] = r["score"]
     return out
 
 

@@ -187,13 +187,13 @@ def dense_offsets(df: DataFrame, order: str, value: Column | None = None, by: Se
     ``order`` must be unique within ``by``, which bounds every bucket.
     """
     v = (value if value is not None else F.lit(1)).cast("bigint")
-    keyed = df.withColumn("_b", F.floor(F.col(order) / bucket)).withColumn("_v", v)
-    sums = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_bs"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*by, "_b", F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(base, [*by, "_b"])
-    return out.withColumn(name, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_base")
+    keyed = df.withColumn("_bucket", F.floor(F.col(order) / bucket)).withColumn("_value", v)
+    sums = keyed.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum_in_bucket"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum_in_bucket").over(before), F.lit(0)).alias("_before_bucket"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(base, [*by, "_bucket"])
+    return out.withColumn(name, F.col("_before_bucket") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_before_bucket")
 
 
 def mask_cells(cells: DataFrame, alphabet: Alphabet, state: str = "state") -> DataFrame:

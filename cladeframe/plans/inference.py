@@ -59,31 +59,29 @@ def totals(al: PackedAlignment, cands: Sequence[Candidate]) -> np.ndarray:
 def optimise_lengths(al: PackedAlignment, searches: list[Search], eps: float = 0.1, rounds: int = SMOOTH_ROUNDS) -> None:
     """Newton steps on all branches together; each job also yields the next derivatives.
 
-    A round tries several step sizes of every search in one pass and keeps the best one, so
-    the likelihood never drops.
+    A step that does not gain is taken back and retried shorter, so the likelihood never
+    drops; all searches take their step in the same pass.
     """
     live = list(searches)
     lnl, grads = L.derivatives(al, [s.candidate() for s in live])
-    state = {}
+    state, step = {}, {}
     for s, v, g in zip(live, lnl, grads):
-        s.loglh = v
-        state[s.search_id] = g
+        s.loglh = float(v)
+        state[id(s)], step[id(s)] = g, 1.0
     for _ in range(rounds):
-        cands, owner = [], []
-        for k, s in enumerate(live):
-            for step in (1.0, 0.5, 0.2, 0.05):
-                cands.append(_stepped(s, state[s.search_id], step))
-                owner.append(k)
+        cands = [_stepped(s, state[id(s)], step[id(s)]) for s in live]
         lnl, grads = L.derivatives(al, cands)
         still = []
-        for k, s in enumerate(live):
-            mine = [i for i, o in enumerate(owner) if o == k]
-            b = max(mine, key=lambda i: lnl[i])
-            gain = lnl[b] - s.loglh
+        for s, c, v, g in zip(live, cands, lnl, grads):
+            gain = float(v) - s.loglh
             if gain > 0:
-                s.tree, s.lengths, s.loglh = cands[b].tree, cands[b].lengths, lnl[b]
-                state[s.search_id] = grads[b]
-            if gain > eps:
+                s.tree, s.lengths, s.loglh = c.tree, c.lengths, float(v)
+                state[id(s)], step[id(s)] = g, min(1.0, 2 * step[id(s)])
+                keep = gain > eps
+            else:
+                step[id(s)] *= 0.3
+                keep = step[id(s)] > 0.02
+            if keep:
                 still.append(s)
         live = still
         if not live:
