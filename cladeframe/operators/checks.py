@@ -97,6 +97,52 @@ def invalid_character_counts(sequences: DataFrame, alphabet: Alphabet, key_id: s
         F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
 
 
+def invalid_cells(sites: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """Symbols outside the alphabet in a column-wise alignment: (part_id, site, taxon_id, symbol).
+
+    Only columns that hold one are exploded.
+    """
+    allowed = alphabet.symbols()
+    bad = sites.where(F.translate("pattern", allowed, "") != "")
+    cells = bad.select("part_id", "site", F.posexplode(F.split("pattern", "")).alias("taxon_id", "symbol"))
+    return cells.where(~F.col("symbol").isin(*allowed))
+
+
+def identical_taxa(patterns: DataFrame, n_taxa: int) -> list[tuple[int, int]]:
+    """(first, later) pairs of taxa with equal sequences, from the compressed columns.
+
+    A fingerprint per taxon (an XOR of cell hashes, one row per taxon) proposes pairs; every
+    proposal is then verified on all columns, so the answer is exact.
+    """
+    cells = patterns.select("part_id", "pattern", F.posexplode(F.split("pattern", "")).alias("taxon_id", "s"))
+    h = F.xxhash64("part_id", "pattern", "s")
+    rows = cells.groupBy("taxon_id").agg(F.bit_xor(h).alias("h")).collect()
+    first: dict[int, int] = {}
+    pairs = []
+    for r in sorted(rows, key=lambda r: r["taxon_id"]):
+        if r["h"] in first:
+            pairs.append((first[r["h"]], r["taxon_id"]))
+        first.setdefault(r["h"], r["taxon_id"])
+    sure = []
+    for i in range(0, len(pairs), 500):
+        part = pairs[i:i + 500]
+        diff = patterns.agg(*[F.max(F.substring("pattern", a + 1, 1) != F.substring("pattern", b + 1, 1)).alias(f"d{k}")
+                              for k, (a, b) in enumerate(part)]).first()
+        sure += [p for k, p in enumerate(part) if not diff[k]]
+    return sure
+
+
+def undetermined_taxa(patterns: DataFrame, alphabets: dict[int, Alphabet]) -> list[int]:
+    """Taxa whose every cell is a gap, over all partitions."""
+    cells = patterns.select("part_id", F.posexplode(F.split("pattern", "")).alias("taxon_id", "s"))
+    known = F.lit(False)
+    for p, a in alphabets.items():
+        gaps = [c for c, m in a.masks.items() if m == a.full]
+        known = known | ((F.col("part_id") == p) & ~F.col("s").isin(gaps))
+    rows = cells.groupBy("taxon_id").agg(F.max(known).alias("k")).where(~F.col("k")).collect()
+    return sorted(r["taxon_id"] for r in rows)
+
+
 def gap_only_taxa(presence: DataFrame, taxa: DataFrame, taxon: str = "taxon_id") -> DataFrame:
     """Taxa undetermined in every partition; ``presence`` has the determined (taxon, part) pairs."""
     return taxa.select(taxon).join(presence.select(taxon), taxon, "left_anti")
@@ -117,12 +163,11 @@ def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id")
     dup = count.where("n > 1").select(tree, "label", F.lit("duplicate").alias("problem"))
     unknown = count.join(taxa.select("label"), "label", "left_anti").select(
         tree, "label", F.lit("unknown").alias("problem"))
-    # A tree misses taxa only if it has fewer known labels than there are taxa: the
-    # candidates are filtered before any (tree, taxon) pair is made.
+    # One row with the taxon list (as long as one alignment column) meets each tree's list.
     known = count.join(taxa.select("label"), "label", "left_semi").groupBy(tree).agg(
         F.collect_set("label").alias("_have"))
     every = taxa.agg(F.sort_array(F.collect_set("label")).alias("_all"))
-    missing = known.join(F.broadcast(every)).select(
+    missing = known.crossJoin(every).select(
         tree, F.explode(F.array_except("_all", "_have")).alias("label"), F.lit("missing").alias("problem"))
     return dup.unionByName(unknown).unionByName(missing)
 
@@ -151,7 +196,7 @@ def constraint_tip_order(taxa: DataFrame, constraint_tips: DataFrame) -> DataFra
     marked = taxa.join(tips, "label", "left").withColumn("constrained", F.col("_c").isNotNull()).drop("_c")
     ranked = dense_offsets(marked, "taxon_id", by=("constrained",), name="_r")
     shift = marked.where("constrained").agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(F.broadcast(shift)).select(
+    return ranked.crossJoin(shift).select(
         "taxon_id", "label", "constrained",
         (F.col("_r") + F.when(F.col("constrained"), 0).otherwise(F.col("_n"))).alias("tip_index"))
 

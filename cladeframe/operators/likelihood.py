@@ -115,6 +115,20 @@ class PackedAlignment:
         self.blocks.unpersist()
 
 
+def statistics(patterns: DataFrame, model: Model | dict[int, Model]) -> dict[int, dict]:
+    """Statistics per partition, each under the alphabet of its model (one row per partition)."""
+    if isinstance(model, Model):
+        return {r["part_id"]: r.asDict() for r in S.part_stats(patterns, model.alphabet).collect()}
+    groups: dict[str, list[int]] = {}
+    for p, m in model.items():
+        groups.setdefault(m.datatype_name + m.custom[0], []).append(p)
+    out = {}
+    for ids in groups.values():
+        rows = S.part_stats(patterns.where(F.col("part_id").isin(ids)), model[ids[0]].alphabet).collect()
+        out.update({r["part_id"]: r.asDict() for r in rows})
+    return out
+
+
 def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Model], extra: DataFrame | None = None,
          replicates: int = 0, block: int = BLOCK) -> PackedAlignment:
     """Patterns -> persisted blocks.
@@ -126,8 +140,7 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
     """
     spark = patterns.sparkSession
     n_taxa = len(labels)
-    alphabet = (model if isinstance(model, Model) else next(iter(model.values()))).alphabet
-    st = {r["part_id"]: r.asDict() for r in S.part_stats(patterns, alphabet).collect()}
+    st = statistics(patterns, model)
     total = sum(r["pattern_count"] for r in st.values())
     cores = parallelism(spark)
     size = int(np.clip(-(-total // cores), 256, block))
@@ -312,13 +325,13 @@ def pattern_loglh(patterns: DataFrame, labels: Sequence[str], tree: str, model:
         run, "part_id INT, pattern STRING, weight BIGINT, loglh DOUBLE")
 
 
-def ancestral_probs(patterns: DataFrame, labels: Sequence[str], tree: str, model: Model | dict[int, Model]) -> DataFrame:
+def ancestral_probs(patterns: DataFrame, labels: Sequence[str], tree: str | Topology, model: Model | dict[int, Model]) -> DataFrame:
     """Marginal posteriors of the inner nodes per pattern: (part_id, pattern, node, probs).
 
     Inner nodes are numbered in the order they first appear in the text; columns get their
     rows by joining their pattern, so repeated columns are never computed twice.
     """
-    topo = Topology.from_newick(tree, labels)
+    topo = tree if isinstance(tree, Topology) else Topology.from_newick(tree, labels)
     order, length = topo.rooted()
     inner = sorted(v for v, _ in order)
     bc = patterns.sparkSession.sparkContext.broadcast((order, length, model, inner))
