@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.rng import uniform_below
+from cladeframe.functions.rng import with_uniform
 from cladeframe.operators.partitions import row_of
 from cladeframe.operators.sites import dense_offsets
 
@@ -24,7 +24,7 @@ def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
     reps = dense.select("part_id", "_i").join(size, "part_id").withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     stream = F.col("replicate").cast("bigint") * 1000 + F.col("part_id")
-    draws = reps.select("replicate", "part_id", uniform_below(stream, F.col("_i"), F.col("_n"), salt).alias("_i"))
+    draws = with_uniform(reps, "_u", stream, F.col("_i"), F.col("_n"), salt).select("replicate", "part_id", F.col("_u").alias("_i"))
     counted = draws.groupBy("replicate", "part_id", "_i").agg(F.count(F.lit(1)).alias("_k"))
     hit = counted.join(dense.select("part_id", "_i", "pattern"), ["part_id", "_i"])
     return hit.groupBy("replicate", "part_id", "pattern").agg(F.sum("_k").alias("weight"))

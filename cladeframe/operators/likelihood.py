@@ -143,8 +143,10 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
     st = statistics(patterns, model)
     total = sum(r["pattern_count"] for r in st.values())
     cores = parallelism(spark)
-    size = int(np.clip(-(-total // cores), 256, block))
-    n_blocks = max(1, -(-total // size))
+    # whole waves of equal blocks: every core gets the same share of patterns
+    waves = max(1, -(-total // (cores * block)))
+    size = int(max(256, -(-total // (cores * waves))))
+    n_blocks = sum(max(1, -(-r["pattern_count"] // size)) for r in st.values())
     lanes = max(1, cores // n_blocks)
     df = patterns.select("part_id", "pattern", "weight")
     if extra is not None:
@@ -154,11 +156,22 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
             "part_id", "pattern", "weight", F.coalesce(vec, F.array_repeat(F.lit(0).cast("bigint"), replicates)).alias("w"))
     rows = 1 + replicates
 
+    # blocks are homogeneous in partition: rows of a block are brought together and the
+    # tasks only cut what arrives in order
+    first, blocks_of = 0, []
+    for p, r in sorted(st.items()):
+        k = max(1, -(-r["pattern_count"] // size))
+        blocks_of.append((p, first, k))
+        first += k
+    layout = F.create_map(*[x for p, a, k in blocks_of for x in (F.lit(p), F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")))])
+    lay = F.element_at(layout, F.col("part_id"))
+    df = df.withColumn("_block", (lay["a"] + F.pmod(F.xxhash64("pattern"), lay["k"])).cast("int"))
+
     def build(it):
         for pdf in it:
-            for part, g in pdf.groupby("part_id"):
-                for i in range(0, len(g), size):
-                    s = g.iloc[i:i + size]
+            for (part, _), g in pdf.groupby(["part_id", "_block"], sort=False):
+                for i in range(0, len(g), 2 * size):
+                    s = g.iloc[i:i + 2 * size]
                     w = np.empty((rows, len(s)))
                     w[0] = s.weight.to_numpy()
                     if rows > 1:
@@ -166,10 +179,13 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
                     codes = "".join(s.pattern).encode("latin-1")
                     yield pd.DataFrame({"part_id": [part], "n": [len(s)], "codes": [codes], "weights": [w.tobytes()]})
 
-    # enough tasks for the cores and small enough ones for memory, not one task per block
+    # one task per core unless that is too much for its memory; a pass is run many times and
+    # every Python task costs a fixed start-up, so more and smaller tasks only add latency
     bytes_total = total * (n_taxa + 8 * rows)
-    n_tasks = min(n_blocks, max(4 * cores, bytes_total // (64 << 20)))
-    blocks = df.repartition(n_tasks).mapInPandas(build, "part_id INT, n INT, codes BINARY, weights BINARY")
+    n_tasks = int(min(n_blocks, max(cores, bytes_total // (64 << 20))))
+    task = F.pmod(F.col("_block"), F.lit(n_tasks)).cast("int")
+    blocks = df.repartitionById(n_tasks, task).sortWithinPartitions("part_id", "_block").mapInPandas(
+        build, "part_id INT, n INT, codes BINARY, weights BINARY")
     if lanes > 1:
         blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(cores)
     else:

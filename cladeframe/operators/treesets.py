@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
-from cladeframe.functions.rng import hash31
+from cladeframe.functions.rng import with_hash31
 from cladeframe.operators.trees import _id_type
 
 PAIR_BLOCK = 512
@@ -248,21 +248,18 @@ def consensus_tree(consensus: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 # -- bootstrap convergence --------------------------------------------------------------
 
-def halves(trees: DataFrame, permutations: int, prefixes: Sequence[int] | None = None, seed: int = 1) -> DataFrame:
+def halves(trees: DataFrame, permutations: int, prefixes: Sequence[int], seed: int = 1) -> DataFrame:
     """Random halves of the first B trees, for every permutation and prefix B.
 
     ``trees(tree_no)`` is numbered from 0.  A tree's half is the parity of its rank under a
     per-permutation hash; each (prefix, permutation) group is one prefix of trees.
     """
-    pre = F.array(*[F.lit(int(b)) for b in prefixes]) if prefixes else None
-    t = trees.select("tree_no")
-    if pre is not None:
-        t = t.select("tree_no", F.explode(F.filter(pre, lambda b: b > F.col("tree_no"))).alias("prefix"))
-    else:
-        t = t.withColumn("prefix", F.lit(0))
+    pre = F.array(*[F.lit(int(b)) for b in prefixes])
+    t = trees.select("tree_no", F.explode(F.filter(pre, lambda b: b > F.col("tree_no"))).alias("prefix"))
     p = t.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    w = Window.partitionBy("prefix", "perm").orderBy(hash31(F.col("perm"), F.col("tree_no"), seed), "tree_no")
-    return p.withColumn("half", ((F.row_number().over(w) - 1) % 2).cast("int"))
+    p = with_hash31(p, "_h", F.col("perm"), F.col("tree_no"), seed)
+    w = Window.partitionBy("prefix", "perm").orderBy("_h", "tree_no")
+    return p.withColumn("half", ((F.row_number().over(w) - 1) % 2).cast("int")).drop("_h")
 
 
 def half_support(splits: DataFrame, half: DataFrame) -> DataFrame:
@@ -319,7 +316,7 @@ def convergence(wrf: DataFrame, permutations: int, cutoff: float = 0.03) -> Data
     half_total = 0.5 * F.col("prefix") * F.col("n_splits")
     limit = cutoff * half_total
     agg = wrf.groupBy("prefix").agg(
-        F.avg("wrf").alias("avg_wrf"), F.avg(F.col("wrf") / half_total * 100).alias("avg_pct"),
+        F.avg("wrf").alias("avg_wrf"), F.avg(F.try_divide(F.col("wrf"), half_total) * 100).alias("avg_pct"),
         F.count(F.when(F.col("wrf") <= limit, 1)).alias("better"), F.avg(limit).alias("_t"))
     ok = (F.col("better") >= int(0.99 * permutations)) & (F.col("avg_wrf") <= F.col("_t"))
     return agg.select(F.col("prefix").alias("trees"), "avg_wrf", "avg_pct", "better", ok.alias("converged"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("alignment", "trees", "models", "likelihoods", "operations")
+MODULES = ("alignment", "trees", "likelihoods", "operations", "files")
 
 
 def registry() -> tuple[dict, dict]:

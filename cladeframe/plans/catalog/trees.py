@@ -289,7 +289,8 @@ hv AS (SELECT prefix, perm::INTEGER AS perm, tree_no, ((row_number() OVER (PARTI
 
 
 def _prefixes(t):
-    return [p for p in TS.report_prefixes(t.count()) if p % 50 == 0]
+    n = t.count()
+    return [p for p in TS.report_prefixes(n) if p % 50 == 0] or [n]
 
 
 @query(f"WITH {S.line_counts('l_suppkey')}, {_HALVES} SELECT prefix, perm, tree_no, half FROM hv")
