@@ -37,9 +37,9 @@ def even_ranges(parts: DataFrame, procs: int) -> DataFrame:
     a partition is split only where a cut falls into it.  The offsets are a two-level
     running sum and each partition is expanded to the processes it touches.
     """
-    total = parts.agg(F.sum("length").alias("_n"))
+    total = parts.agg(F.sum("length")).scalar()
     ranked = _ranked(parts)
-    off = dense_offsets(ranked, "_rank", F.col("length"), name="_off").crossJoin(total)
+    off = dense_offsets(ranked, "_rank", F.col("length"), name="_off").withColumn("_n", total)
     first = F.floor((F.col("_off") * procs + procs - 1) / F.col("_n"))
     last = F.floor(((F.col("_off") + F.col("length")) * procs - 1) / F.col("_n"))
     # the candidate processes of a partition, widened by one and then tested exactly
@@ -58,10 +58,10 @@ def weighted_ranges(parts: DataFrame, procs: int) -> DataFrame:
     A process then carries at most the mean weight plus one column.
     """
     w = F.col("per_site_weight")
-    total = parts.agg(F.sum(F.col("length") * w).alias("_n"))
+    total = parts.agg(F.sum(F.col("length") * w)).scalar()
     ranked = _ranked(parts, w)
     milli = (F.col("length") * F.round(w * 1000)).cast("bigint")
-    off = dense_offsets(ranked, "_rank", milli, name="_m").crossJoin(total).withColumn("_off", F.col("_m") / 1000.0)
+    off = dense_offsets(ranked, "_rank", milli, name="_m").withColumn("_n", total).withColumn("_off", F.col("_m") / 1000.0)
     opt = F.col("_n") / procs
     first = F.floor(F.col("_off") / opt)
     last = F.floor((F.col("_off") + F.col("length") * w) / opt)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions.rng import with_uniform
 from cladeframe.operators.partitions import row_of
 from cladeframe.operators.sites import dense_offsets
+from cladeframe.session import parallelism
 
 
 def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
@@ -30,14 +31,20 @@ def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
     return hit.groupBy("replicate", "part_id", "pattern").agg(F.sum("_k").alias("weight"))
 
 
-def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1, blocks: int = 256) -> DataFrame:
+PATTERNS_PER_BLOCK = 250_000
+
+
+def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1, blocks: int | None = None) -> DataFrame:
     """The same distribution, drawn over patterns instead of columns.
 
     A multinomial splits exactly into a multinomial over blocks of patterns followed by one
     inside each block, so the cost follows the number of patterns, whatever they weigh.
-    The block level is a ``blocks``-row table per partition; each block is drawn by its own
+    The block level is a ``blocks``-row table per partition (by default as many as keep a
+    block at a quarter of a million patterns); each block is drawn by its own
     task from a generator seeded by (seed, part, block, replicate): retries repeat it.
     """
+    if blocks is None:
+        blocks = max(parallelism(patterns.sparkSession), patterns.count() // PATTERNS_PER_BLOCK)
     keyed = patterns.select("part_id", "pattern", "weight", "first_site",
                             F.pmod(F.xxhash64("pattern"), F.lit(blocks)).cast("int").alias("block"))
     totals = keyed.groupBy("part_id", "block").agg(F.sum("weight").alias("w"))

@@ -163,11 +163,11 @@ def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id")
     dup = count.where("n > 1").select(tree, "label", F.lit("duplicate").alias("problem"))
     unknown = count.join(taxa.select("label"), "label", "left_anti").select(
         tree, "label", F.lit("unknown").alias("problem"))
-    # One row with the taxon list (as long as one alignment column) meets each tree's list.
+    # The taxon list, as long as one alignment column, is compared with each tree's own list.
     known = count.join(taxa.select("label"), "label", "left_semi").groupBy(tree).agg(
         F.collect_set("label").alias("_have"))
-    every = taxa.agg(F.sort_array(F.collect_set("label")).alias("_all"))
-    missing = known.crossJoin(every).select(
+    every = taxa.agg(F.sort_array(F.collect_set("label"))).scalar()
+    missing = known.withColumn("_all", every).select(
         tree, F.explode(F.array_except("_all", "_have")).alias("label"), F.lit("missing").alias("problem"))
     return dup.unionByName(unknown).unionByName(missing)
 
@@ -195,8 +195,8 @@ def constraint_tip_order(taxa: DataFrame, constraint_tips: DataFrame) -> DataFra
     tips = constraint_tips.select("label").distinct().withColumn("_c", F.lit(1))
     marked = taxa.join(tips, "label", "left").withColumn("constrained", F.col("_c").isNotNull()).drop("_c")
     ranked = dense_offsets(marked, "taxon_id", by=("constrained",), name="_r")
-    shift = marked.where("constrained").agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.crossJoin(shift).select(
+    shift = marked.where("constrained").agg(F.count(F.lit(1))).scalar()
+    return ranked.withColumn("_n", shift).select(
         "taxon_id", "label", "constrained",
         (F.col("_r") + F.when(F.col("constrained"), 0).otherwise(F.col("_n"))).alias("tip_index"))
 

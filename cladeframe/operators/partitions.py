@@ -74,8 +74,8 @@ def partition_offsets(lengths: DataFrame) -> DataFrame:
 
 def contribution(lengths: DataFrame) -> DataFrame:
     """Share of each partition in the total weight."""
-    total = lengths.agg(F.sum("length").alias("_t"))
-    return lengths.crossJoin(total).select("part_id", (F.col("length") / F.col("_t")).alias("share"))
+    total = lengths.agg(F.sum("length")).scalar()
+    return lengths.select("part_id", (F.col("length") / total).alias("share"))
 
 
 def row_of(columns: str, taxon: int) -> Column:

@@ -41,13 +41,13 @@ def rf_average(splits: DataFrame, trees: DataFrame, n_taxa: int) -> DataFrame:
     Each split held by c of T trees is shared by c(c-1)/2 pairs, and every tree takes part
     in T-1 pairs, so the sum over pairs needs no pair.
     """
-    t = trees.agg(F.count(F.lit(1)).cast("double").alias("_t"))
     c = split_counts(splits).agg(F.sum("n").cast("double").alias("_all"),
                                  F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("_shared"))
-    avg = (F.col("_all") * (F.col("_t") - 1) - 2 * F.col("_shared")) / (F.col("_t") * (F.col("_t") - 1) / 2)
-    u = unique_topologies(splits, trees)
-    return t.crossJoin(c).crossJoin(u).select(
-        avg.alias("avg_rf"), relative(avg, n_taxa).alias("avg_rrf"), "unique_trees")
+    c = c.withColumn("_t", trees.agg(F.count(F.lit(1)).cast("double")).scalar())
+    avg = F.try_divide(F.col("_all") * (F.col("_t") - 1) - 2 * F.col("_shared"), F.col("_t") * (F.col("_t") - 1) / 2)
+    avg = F.coalesce(avg, F.lit(0.0))  # no split at all (star trees), or a single tree
+    return c.select(avg.alias("avg_rf"), relative(avg, n_taxa).alias("avg_rrf"),
+                    unique_topologies(splits, trees).scalar().alias("unique_trees"))
 
 
 def topology_keys(splits: DataFrame) -> DataFrame:
@@ -114,10 +114,9 @@ def support_fbp(reference: DataFrame, splits: DataFrame, n_trees: int | None = N
     """
     ref = reference.select("split").distinct()
     n = split_counts(splits.join(ref, "split", "left_semi"))
-    total = (trees.agg(F.count(F.lit(1)).alias("_t")) if trees is not None
-             else reference.sparkSession.range(1).select(F.lit(n_trees).cast("bigint").alias("_t")))
+    total = trees.agg(F.count(F.lit(1))).scalar() if trees is not None else F.lit(n_trees)
     share = F.coalesce("n", F.lit(0)) / F.col("_t")
-    return ref.join(n, "split", "left").crossJoin(total).select(
+    return ref.join(n, "split", "left").withColumn("_t", total).select(
         "split", share.alias("support"), F.floor(share * 100 + 0.5).cast("bigint").alias("percent"))
 
 
@@ -332,8 +331,8 @@ def bootstop(splits: DataFrame, trees: DataFrame, n_taxa: int, prefixes: Sequenc
 
 def until_converged(report: DataFrame) -> DataFrame:
     """Rows up to and including the first prefix that converged."""
-    first = report.where("converged").agg(F.min("trees").alias("_stop"))
-    return report.crossJoin(first).where(F.col("_stop").isNull() | (F.col("trees") <= F.col("_stop"))).drop("_stop")
+    first = report.where("converged").agg(F.min("trees")).scalar()
+    return report.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("trees") <= F.col("_stop"))).drop("_stop")
 
 
 def report_prefixes(n_trees: int, interval: int = 50) -> list[int]:

@@ -417,9 +417,9 @@ SELECT replicate, count(*) FILTER (w > 0)::BIGINT AS kept, count(*) FILTER (w =
 def bs_drop_zero(spark, d):
     s = R.line_sites(spark, d)
     w = bootstrap.draw_weights(s, REPS)
-    total = sites.compress_patterns(s).agg(F.count(F.lit(1)).alias("_n"))
+    total = sites.compress_patterns(s).agg(F.count(F.lit(1))).scalar()
     kept = w.where("weight > 0").groupBy("replicate").agg(F.count(F.lit(1)).alias("kept"))
-    return kept.crossJoin(total).select("replicate", "kept", (F.col("_n") - F.col("kept")).alias("dropped"))
+    return kept.withColumn("_n", total).select("replicate", "kept", (F.col("_n") - F.col("kept")).alias("dropped"))
 
 
 @query(f"""WITH {S.LINE_SITES}, {_DRAWS},

@@ -184,12 +184,118 @@ def terrace_size(spark, d):
     return terraces.terrace_sizes(TQ.supplier_trees(spark, d).join(full, "tree_id"))
 
 
-@query(f"WITH {S.EVENT_SITES} SELECT pattern, count(*)::BIGINT AS weight FROM event_sites GROUP BY 1")
-def cmd_parse(spark, d):
-    """Check, compress and store an alignment file through the command."""
+# -- whole commands on files derived from the tables -----------------------------------
+
+def command(spark, text: str) -> dict:
     from cladeframe.plans.commands import run
     from cladeframe.plans.options import parse
+    return run(spark, parse(text.split()))
+
+
+def _event_file(spark, d) -> str:
     path = folder(spark)
     sinks.write_phylip(AlignmentView(R.event_sites(spark, d), R.EVENT_TAXA).sequence_chunks(1000), f"{path}/in")
-    run(spark, parse(["--parse", "--msa", f"{path}/in", "--msa-format", "iphylip", "--model", "BIN", "--prefix", f"{path}/out"]))
+    return path
+
+
+def _newick_file(spark, trees) -> str:
+    path = folder(spark)
+    sinks.write_trees(trees, path)
+    return path
+
+
+def _fixed_tree(spark, path: str) -> str:
+    spark.createDataFrame([(LK.EVENT_TREE,)], "value STRING").coalesce(1).write.text(f"{path}/tree")
+    return f"{path}/tree"
+
+
+@query(f"WITH {S.EVENT_SITES} SELECT pattern, count(*)::BIGINT AS weight FROM event_sites GROUP BY 1")
+def cmd_parse(spark, d):
+    path = _event_file(spark, d)
+    command(spark, f"--parse --msa {path}/in --msa-format iphylip --model BIN --prefix {path}/out")
     return store.read_store(spark, f"{path}/out.cladeframe.rba").patterns.select("pattern", "weight")
+
+
+@query(f"WITH {S.ORDER_SITES} SELECT 7::BIGINT AS taxa, count(*) FILTER (translate(pattern, '-N', '') = '')::BIGINT AS gap_columns, 0::BIGINT AS gap_taxa, 0::BIGINT AS duplicates FROM order_sites")
+def cmd_check(spark, d):
+    path = folder(spark)
+    sinks.write_phylip(AlignmentView(R.order_sites(spark, d).withColumn("part_id", F.lit(0)), R.LINE_TAXA).sequence_chunks(1000), path)
+    out = command(spark, f"--check --msa {path} --msa-format iphylip --model GTR --nofiles")
+    row = (out["taxa"], out["gap_columns"], len(out["gap_taxa"]), len(out["duplicates"]))
+    return spark.createDataFrame([row], "taxa BIGINT, gap_columns BIGINT, gap_taxa BIGINT, duplicates BIGINT")
+
+
+@query()
+def cmd_start(spark, d):
+    path = _event_file(spark, d)
+    return command(spark, f"--start --msa {path}/in --msa-format iphylip --model BIN --tree rand{{3}},pars{{3}} --seed 1 --prefix {path}/out")["trees"]
+
+
+@query(f"WITH {LK._BIN} SELECT round(sum(weight * ln(0.5 * (r_0_0 + r_0_1))), 4) AS loglh FROM f")
+def cmd_loglh(spark, d):
+    path = _event_file(spark, d)
+    out = command(spark, f"--loglh --msa {path}/in --msa-format iphylip --model BIN+FE --tree {_fixed_tree(spark, path)}")
+    return out["ml_trees"].select(F.round("loglh", 4).alias("loglh"))
+
+
+@query(f"WITH {TQ.MON}, {TQ._RF} SELECT round(avg(rf),6) AS avg_rf, round(avg(rf)/44.0,6) AS avg_rrf, {TQ._UNIQ} AS unique_trees FROM rf")
+def cmd_rfdist(spark, d):
+    path = _newick_file(spark, TQ.month_trees(spark, d))
+    s = command(spark, f"--rfdist --tree {path} --prefix {path}-out")["summary"]
+    return s.select(F.round("avg_rf", 6).alias("avg_rf"), F.round("avg_rrf", 6).alias("avg_rrf"), "unique_trees")
+
+
+@query(f"WITH {TQ.MON} SELECT count(DISTINCT split)::BIGINT AS n_splits, sum(n)::BIGINT AS support FROM (SELECT split, count(*) AS n FROM splits GROUP BY 1 HAVING count(*) > 6)")
+def cmd_consense(spark, d):
+    """Counts only: taxa are ordered as in the first tree, so split strings depend on it."""
+    path = _newick_file(spark, TQ.month_trees(spark, d))
+    c = command(spark, f"--consense MR --tree {path} --prefix {path}-out")["splits"]
+    return c.agg(F.countDistinct("split").alias("n_splits"), F.sum("n").alias("support"))
+
+
+@query()
+def cmd_support(spark, d):
+    ref = _newick_file(spark, TQ._reference(spark, d))
+    reps = _newick_file(spark, TQ.segment_trees(spark, d))
+    out = command(spark, f"--support --tree {ref} --bs-trees {reps} --bs-metric fbp,tbe --prefix {ref}-out")["support"]
+    return out["fbp"].withColumn("metric", F.lit("fbp")).unionByName(out["tbe"].withColumn("metric", F.lit("tbe")))
+
+
+@query()
+def cmd_bsconverge(spark, d):
+    path = _newick_file(spark, TQ.supplier_trees(spark, d))
+    return command(spark, f"--bsconverge --bs-trees {path} --prefix {path}-out --seed 1")["bootstop"]
+
+
+@query(f"WITH {S.EVENT_SITES} SELECT r::INTEGER AS replicate, (SELECT count(*) FROM event_sites)::BIGINT AS sites FROM (SELECT unnest(range(0,4)) AS r)")
+def cmd_bsmsa(spark, d):
+    path = _event_file(spark, d)
+    w = command(spark, f"--bsmsa --msa {path}/in --msa-format iphylip --model BIN --bs-trees 4 --seed 2 --prefix {path}/out")["weights"]
+    return w.groupBy("replicate").agg(F.sum("weight").alias("sites"))
+
+
+@query(f"WITH {S.EVENT_SITES} SELECT n::INTEGER AS node, (SELECT count(*) FROM event_sites)::BIGINT AS sites FROM (SELECT unnest(range(0,3)) AS n)")
+def cmd_ancestral(spark, d):
+    path = _event_file(spark, d)
+    out = command(spark, f"--ancestral --msa {path}/in --msa-format iphylip --model BIN+FE --opt-model off --opt-branches off "
+                         f"--tree {_fixed_tree(spark, path)} --prefix {path}/out")
+    return out["sequences"].groupBy("node").agg(F.sum(F.length("segment")).alias("sites"))
+
+
+@query("SELECT 1::BIGINT AS size")
+def cmd_terrace(spark, d):
+    """Every event type has data in both halves of the columns, so the tree is alone on its terrace."""
+    path = _event_file(spark, d)
+    n = R.event_sites(spark, d).count()
+    scheme = f"BIN, a = 1-{n // 2}\nBIN, b = {n // 2 + 1}-{n}"
+    spark.createDataFrame([(scheme,)], "value STRING").coalesce(1).write.text(f"{path}/scheme")
+    out = command(spark, f"--terrace --msa {path}/in --msa-format iphylip --model {path}/scheme --brlen unlinked "
+                         f"--tree {_fixed_tree(spark, path)} --prefix {path}/out")
+    return spark.createDataFrame([(out["size"],)], "size BIGINT")
+
+
+@query()
+def cmd_all(spark, d):
+    path = _event_file(spark, d)
+    out = command(spark, f"--all --msa {path}/in --msa-format iphylip --model BIN+FE --tree pars{{1}} --bs-trees 4 --seed 1 --prefix {path}/out")
+    return out["support"]["fbp"]

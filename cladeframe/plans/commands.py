@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,8 @@ class Job:
                 sites = one_based.withColumn("part_id", F.lit(0))
         if self.al.probs is not None and o.prob_msa and len(self.parts) > 1:
             raise ValueError("a probabilistic alignment cannot be partitioned")
-        self.sites = sites
+        # every check and statistic reads the columns again; text is parsed and transposed once
+        self.sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
 
     def alphabets(self) -> dict:
         return {p: m.alphabet for p, m in self.models.items()}

@@ -235,7 +235,7 @@ def _consistency(o: Options) -> None:
         raise OptionError("an alignment is required: --msa FILE")
     if c in NEED_TREE and not o.tree:
         raise OptionError("a Newick file is required: --tree FILE")
-    if c == "start" and o.tree:
+    if c == "start" and "user" in o.start_trees:
         raise OptionError("start generates trees; a user tree makes no sense here")
     if c in ("support", "bsconverge") and not o.bs_trees_file:
         raise OptionError("replicate trees are required: --bs-trees FILE")

@@ -115,9 +115,9 @@ def segment_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _complete(g: DataFrame, keys, taxa: DataFrame) -> DataFrame:
     """Add the taxa a tree lacks with count 0; the taxon list is a dimension-sized array."""
     names = [c for c in g.columns if c not in ("taxon_id", "n")]
-    every = taxa.agg(F.collect_set("taxon_id").alias("_all"))
+    every = taxa.agg(F.collect_set("taxon_id")).scalar()
     m = g.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("taxon_id", "n"))).alias("_m"))
-    return m.crossJoin(every).select(*names, F.explode("_all").alias("taxon_id"), "_m").select(
+    return m.withColumn("_all", every).select(*names, F.explode("_all").alias("taxon_id"), "_m").select(
         *names, "taxon_id", F.coalesce(F.element_at("_m", F.col("taxon_id")), F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(cpus: int | str = "*", app: str = "cladeframe", memory: str = "12g") -> SparkSession:
@@ -29,7 +29,7 @@ def get_spark(cpus: int | str = "*", app: str = "cladeframe", memory: str = "12g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and written intermediates.
+    """Folder for written intermediates.
 
     The cluster names it in ``spark.checkpoint.dir``; only a session without that
     setting (tests, laptops) gets a temporary one.
@@ -48,11 +48,5 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)

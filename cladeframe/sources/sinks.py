@@ -21,9 +21,9 @@ def write_phylip(chunks: DataFrame, path: str, redo: bool = False) -> None:
     head = size.agg(F.count(F.lit(1)).alias("t"), F.max("n").alias("n")).select(
         F.lit(-1).alias("part_id"), F.lit(0).cast("bigint").alias("chunk"), F.lit(0).alias("taxon"),
         F.concat_ws(" ", "t", "n").alias("value"))
-    first = chunks.agg(F.min(F.struct("part_id", "chunk")).alias("m")).select(F.col("m.part_id").alias("_p"), F.col("m.chunk").alias("_c"))
-    body = chunks.crossJoin(first).select("part_id", "chunk", "taxon", F.when(
-        (F.col("part_id") == F.col("_p")) & (F.col("chunk") == F.col("_c")), F.concat_ws(" ", "label", "segment")).otherwise(F.col("segment")).alias("value"))
+    first = chunks.agg(F.min(F.struct("part_id", "chunk"))).scalar()
+    body = chunks.withColumn("_f", first).select("part_id", "chunk", "taxon", F.when(
+        (F.col("part_id") == F.col("_f.part_id")) & (F.col("chunk") == F.col("_f.chunk")), F.concat_ws(" ", "label", "segment")).otherwise(F.col("segment")).alias("value"))
     rows = head.unionByName(body.withColumn("chunk", F.col("chunk").cast("bigint")))
     rows.repartitionByRange("part_id", "chunk").sortWithinPartitions("part_id", "chunk", "taxon").select("value").write.mode(
         _mode(redo)).text(path)
