@@ -283,7 +283,7 @@ def _numbered(spark, d):
 
 _HASH = S.mix("((tree_no % 2147483647) * 48271 + perm * 69621 + 1) % 2147483647")
 _HALVES = f"""no AS (SELECT tree_id, row_number() OVER (ORDER BY tree_id) - 1 AS tree_no FROM (SELECT DISTINCT tree_id FROM counts)),
-pf AS (SELECT (50 * (1 + unnest(range(0, count(*) // 50))))::INTEGER AS prefix FROM no),
+pf AS (SELECT unnest(CASE WHEN count(*) >= 50 THEN list_transform(range(0, count(*) // 50), lambda k: 50 * (k + 1)) ELSE [count(*)] END)::INTEGER AS prefix FROM no),
 hv AS (SELECT prefix, perm::INTEGER AS perm, tree_no, ((row_number() OVER (PARTITION BY prefix, perm ORDER BY {_HASH}, tree_no) - 1) % 2)::INTEGER AS half
   FROM no JOIN pf ON tree_no < prefix CROSS JOIN (SELECT unnest(range(0,{PERMS})) AS perm))"""
 
