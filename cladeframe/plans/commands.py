@@ -41,6 +41,8 @@ BS_BATCH = 50
 class Job:
     """Loaded alignment with partitions and models; the tables stay lazy."""
 
+    opened: list[Job] = []
+
     def __init__(self, spark: SparkSession, o: Options):
         self.spark, self.o = spark, o
         self.al: Alignment = read_alignment(spark, o.msa, o.msa_format)
@@ -61,6 +63,7 @@ class Job:
             raise ValueError("a probabilistic alignment cannot be partitioned")
         # every check and statistic reads the columns again; text is parsed and transposed once
         self.sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
+        Job.opened.append(self)
 
     def alphabets(self) -> dict:
         return {p: m.alphabet for p, m in self.models.items()}
@@ -533,4 +536,9 @@ def run(spark: SparkSession, o: Options) -> dict:
     if o.command == "version":
         return {"text": f"cladeframe {cladeframe.__version__}"}
     fn = {"loglh": cmd_evaluate, "search1": cmd_search, "rf": cmd_rfdist}.get(o.command) or globals()[f"cmd_{o.command}"]
-    return fn(spark, o)
+    try:
+        return fn(spark, o)
+    finally:
+        # a cached plan would also answer for a file that is rewritten under the same name
+        while Job.opened:
+            Job.opened.pop().sites.unpersist()
