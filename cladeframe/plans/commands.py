@@ -249,7 +249,7 @@ def cmd_parse(spark, o: Options) -> dict:
 
 def _searches(job: Job, al, trees) -> list[I.Search]:
     models = job.fitted(al.stats)
-    return [I.Search(i, t, dict(models)) for i, t in enumerate(trees)]
+    return [I.Search(i, t, dict(models), limits=(job.o.blmin, job.o.blmax)) for i, t in enumerate(trees)]
 
 
 def _scored(job: Job, ss) -> DataFrame:
@@ -380,7 +380,7 @@ def cmd_bootstrap(spark, o: Options) -> dict:
             al = L.pack(pats, job.labels, job.models, w, n)
             starts = I.parsimony_trees(al, job.alphabets(), range(o.seed + len(done), o.seed + len(done) + n), range(1, n + 1))
             models = job.fitted(al.stats)
-            ss = [I.Search(k, t, dict(models), k + 1) for k, (t, _) in enumerate(starts)]
+            ss = [I.Search(k, t, dict(models), k + 1, limits=(o.blmin, o.blmax)) for k, (t, _) in enumerate(starts)]
             I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(), fit_models=o.opt_model)
             rows = [(len(done) + s.search_id, float(s.loglh), s.tree.newick(job.labels, o.precision)) for s in ss]
             al.close()

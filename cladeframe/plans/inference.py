@@ -44,6 +44,7 @@ class Search:
     loglh: float = -np.inf
     radius: int = 0
     active: bool = True
+    limits: tuple[float, float] = (MIN_LENGTH, MAX_LENGTH)
 
     def candidate(self, tree: Topology | None = None, models=None, lengths=None) -> Candidate:
         return Candidate(tree or self.tree, models or self.models, self.weight_row,
@@ -88,19 +89,19 @@ def optimise_lengths(al: PackedAlignment, searches: list[Search], eps: float = 0
             break
 
 
-def _newton(t: float, d1: float, d2: float, step: float) -> float:
+def _newton(t: float, d1: float, d2: float, step: float, limits: tuple[float, float]) -> float:
     move = -d1 / d2 if d2 < 0 else np.sign(d1) * max(t, 0.05)
     move = np.clip(move, -0.9 * t, max(2 * t, 0.2))
-    return float(np.clip(t + step * move, MIN_LENGTH, MAX_LENGTH))
+    return float(np.clip(t + step * move, *limits))
 
 
 def _stepped(s: Search, grads: dict, step: float) -> Candidate:
     order, length = s.tree.rooted()
     if s.lengths:  # unlinked: every partition has its own set
-        own = {p: {v: _newton(s.lengths[p][v], *g[v], step) for v in g} for p, g in grads.items()}
+        own = {p: {v: _newton(s.lengths[p][v], *g[v], step, s.limits) for v in g} for p, g in grads.items()}
         return s.candidate(lengths=own)
     both = {v: (sum(g[v][0] for g in grads.values()), sum(g[v][1] for g in grads.values())) for v in length}
-    return s.candidate(tree=s.tree.set_lengths({v: _newton(length[v], *both[v], step) for v in length}))
+    return s.candidate(tree=s.tree.set_lengths({v: _newton(length[v], *both[v], step, s.limits) for v in length}))
 
 
 def unlink(al: PackedAlignment, s: Search) -> None:

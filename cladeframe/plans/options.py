@@ -217,6 +217,8 @@ def _aliases(o: Options) -> None:
     if o.command == "loglh":
         o.opt_model = o.opt_branches = False
         o.nofiles = True
+    if o.blopt == "off":
+        o.opt_branches = False
     if o.command == "rf":
         o.nofiles = True
     if o.command == "search1":

@@ -78,6 +78,9 @@ def test_parse_evaluate_and_store(spark, msa, tmp_path):
     assert abs(a["loglh"] - b["loglh"]) < 1e-9
     e = go(spark, f"--evaluate --msa {msa} --model JC --tree {tree} --prefix {tmp_path}/e --outgroup t1,t2")
     assert e["loglh"] > a["loglh"] and e["best_tree"].first()["monophyletic"]
+    short = go(spark, f"--evaluate --msa {msa} --model JC --tree {tree} --blmax 0.12 --nofiles")
+    t = nw.parse(short["newick"])
+    assert max(t.length[1:]) <= 0.12 + 1e-9 and short["loglh"] <= e["loglh"] + 1e-6
     s = e["scores"].first()
     assert s["free_params"] == 7 and abs(s["aic"] - (14 - 2 * e["loglh"])) < 1e-6
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
