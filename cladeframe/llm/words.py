@@ -56,6 +56,11 @@ def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> n
     return mix((prefix[end] - prefix[start]) * powers(base, len(prefix))[1][start])
 
 
+def ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (size[0] numbers), then those of at[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts; ``first[d]`` to ``first[d + 1]`` are the words of text d."""
