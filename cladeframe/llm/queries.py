@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cladeframe.llm import bpe, digest_index, langid, packing, urlmodel
+from cladeframe.llm import bpe, digest_index, htmltext, langid, packing, toxicity, urlmodel, vptree
 from cladeframe.llm.common import scratch, table
 
 
@@ -27,6 +27,11 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), derive=("n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests))
 
 
+def op4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(vectors.where(F.col("vec_id") % 50 == 0), vptree.index(vectors, 5), 5)
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     index = digest_index.DigestIndex(spark, scratch(spark, "index"))
     out = digest_index.deduplicate(table(spark, sf, "documents").select("doc_id", "text"), index)
@@ -34,6 +39,18 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False))
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where(langid.remainder("doc_id", 4) != 2).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_html(spark: SparkSession, sf: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf, "pages").select("page_id", "html"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     p = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
@@ -44,7 +61,7 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-Q = {f.__name__: f for f in (op1_language, op2_bpe, op5_exact_dedup, op9_packing, op10_urls)}
+Q = {f.__name__: f for f in (op1_language, op2_bpe, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op9_packing, op10_urls)}
 
 O = {
     "op5_exact_dedup": r"""
