@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from cladeframe.session import shared_dir
 
 #: Text handled at a time inside a task, in bytes (a single longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

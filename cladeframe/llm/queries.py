@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cladeframe.llm import bpe, digest_index, htmltext, langid, packing, toxicity, urlmodel, vptree
+from cladeframe.llm import bpe, digest_index, htmltext, langid, packing, repeats, toxicity, urlmodel, vptree
 from cladeframe.llm.common import scratch, table
 
 
@@ -51,6 +51,11 @@ def op7_html(spark: SparkSession, sf: str) -> DataFrame:
     return htmltext.extract(table(spark, sf, "pages").select("page_id", "html"))
 
 
+def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return repeats.deduplicate(docs, 20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     p = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
@@ -61,7 +66,7 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-Q = {f.__name__: f for f in (op1_language, op2_bpe, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op9_packing, op10_urls)}
+Q = {f.__name__: f for f in (op1_language, op2_bpe, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op8_repeats, op9_packing, op10_urls)}
 
 O = {
     "op5_exact_dedup": r"""
