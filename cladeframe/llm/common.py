@@ -58,9 +58,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have at most ``limit`` bytes together, or one row."""
-    _, off = utf8(batch.column(column))
+def slices(batch: pa.RecordBatch, columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (of one column, or several named with spaces between) have at most ``limit`` bytes, or one row."""
+    off = sum(utf8(batch.column(c))[1] for c in columns.split())
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
@@ -72,7 +72,7 @@ def map_slices(df: DataFrame, text: str, schema: T.StructType | str, make: Calla
                at_end: Callable | None = None) -> DataFrame:
     """``mapInArrow`` over bounded slices.
 
-    ``make`` runs once per task and gives a function from a slice to the output columns (numpy arrays, lists or Arrow
+    ``text`` names one column, or several with spaces between.  ``make`` runs once per task and gives a function from a slice to the output columns (numpy arrays, lists or Arrow
     arrays by name); columns of the same name as an input column may be left out and are then passed on.
     """
     schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

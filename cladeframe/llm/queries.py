@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cladeframe.llm import bpe, digest_index, htmltext, langid, packing, repeats, toxicity, urlmodel, vptree
+from cladeframe.llm import bpe, digest_index, htmltext, langid, packing, repeats, toxicity, urlmodel, vptree, weighted_minhash
 from cladeframe.llm.common import scratch, table
 
 
@@ -27,6 +27,11 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), derive=("n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests))
 
 
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return weighted_minhash.classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vptree.nearest(vectors.where(F.col("vec_id") % 50 == 0), vptree.index(vectors, 5), 5)
@@ -66,7 +71,7 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-Q = {f.__name__: f for f in (op1_language, op2_bpe, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op8_repeats, op9_packing, op10_urls)}
+Q = {f.__name__: f for f in (op1_language, op2_bpe, op3_near_duplicates, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op8_repeats, op9_packing, op10_urls)}
 
 O = {
     "op5_exact_dedup": r"""
