@@ -4,9 +4,10 @@ A shingle is five words; its weight is its count in the text times the mean inve
 Samples of the weighted set are banded; documents that share a band are candidates, and a link needs a weighted Jaccard
 similarity of ``THRESHOLD`` or more, computed from the whole texts.  Classes are the connected components of links.
 
-Inside a band's bucket no pairs are formed: every member is compared with the smallest one.  Then members that ended up
-in another component than their bucket's smallest one are compared with all members of the bucket but those that the
-triangle inequality of the Jaccard distance rules out, so no link inside a bucket is lost.
+Inside a band's bucket no pairs are formed: every member is compared with the smallest one.  Members that then are in
+another component than their bucket's smallest one are compared with the bucket's other members, but for those that two
+bounds rule out: the triangle inequality of the Jaccard distance, and the weight of shingles that no other such text
+has.  So no link inside a bucket is lost.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ class Counter:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of a word by place, from 1 (in every text) to 2 (in none), in units; over all texts."""
+    """Weight of a word by place, from 1 (in every text) to 1.5 (in none), in units; over all texts."""
     rows = map_slices(docs.select("text"), "text", "place bigint, n bigint", Counter, Counter.finish).groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(PLACES + 1)
     n[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy()
     total = n[PLACES]
-    return np.round(UNIT * (1 + np.log((total + 1) / (n[:PLACES] + 1)) / np.log(total + 2))).astype(np.int64)
+    return np.round(UNIT * (1 + 0.5 * np.log((total + 1) / (n[:PLACES] + 1)) / np.log(total + 2))).astype(np.int64)
 
 
 class Shingles:
@@ -176,14 +177,20 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     banded = stored(own.select("node", F.explode(F.array_distinct("bands")).alias("band")).distinct(), "bands")
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", "least")
     members = stored(banded.join(buckets, "band"), "members")
+    # later steps read only texts that share a bucket
+    texts = stored(texts.join(members.select(F.col("node").alias("d")).distinct(), "d"), "candidates")
     pairs = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     known = stored(verified(stored(pairs, "pairs"), texts, idf), "verified")
     links = known.where(F.col("similarity") >= threshold).select("a", "b")
     found = stored(components(links), "components")
-    rest = stored(left_over(members, known, found, threshold), "rest")
-    if not rest.isEmpty():
-        more = stored(verified(rest, texts, idf), "verified").where(F.col("similarity") >= threshold).select("a", "b")
-        found = stored(components(links.unionByName(more)), "components")
+    open_ = unsettled(members, known, found, texts, idf, threshold)
+    for choose in (to_closest, to_all):
+        rest = stored(choose(placed(open_, found), threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
+        known = known.unionByName(stored(verified(rest, texts, idf), "verified"))
+        links = known.where(F.col("similarity") >= threshold).select("a", "b")
+        found = stored(components(links), "components")
     named = nodes.join(found, "node", "left")
     named = stored(named.select("p1", "p2", F.coalesce("component", "node").alias("class_id")), "classes")
     out = sig.where("shingles > 0").join(named, ["p1", "p2"]).select(F.col("d").alias(key), "class_id")
@@ -192,19 +199,65 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return out.unionByName(alone).unionByName(none)
 
 
-def left_over(members: DataFrame, known: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that may still be linked.
+def _weights(idf: Broadcast):
+    def make():
+        def work(part: pa.RecordBatch) -> dict:
+            s = Shingles(part.column("text"), idf.value)
+            return {"d": np.asarray(part.column("d"))[s.doc], "shingle": s.hash.view(np.int64), "weight": s.weight}
+        return work
+    return make
 
-    One of them is in another component than the bucket's smallest member.  With distances x and y from that member, two
-    members are at least \\|x - y\\| apart.
-    """
+
+def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their component and ``main``, the component of their bucket's smallest member."""
     m = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.select(F.col("node").alias("least"), F.col("component").alias("main"))
+    return m.join(least, "least", "left").withColumn("main", F.coalesce("main", "least"))
+
+
+def unsettled(members: DataFrame, known: DataFrame, found: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """Members of buckets with several components that may still be linked to another one: (band, least, node, s, total, common).
+
+    ``s`` is the similarity to the bucket's smallest member; ``total`` is a text's weight, ``common`` that of its shingles that
+    another of these texts has.
+    """
+    m = stored(placed(members, found), "placed")
+    m = m.join(m.where("component <> main").select("band").distinct(), "band")
     m = m.join(known.select(F.col("a").alias("least"), F.col("b").alias("node"), "similarity"), ["least", "node"], "left")
-    m = stored(m.select("band", "node", "component", F.coalesce("similarity", F.lit(1.0)).alias("s"), (F.col("node") == F.col("least")).alias("center")), "placed")
-    main = m.where("center").select("band", F.col("component").alias("main"))
-    apart = m.join(main, "band").where("component <> main").select("band", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("s").alias("su"), "main")
-    others = m.where(~F.col("center")).select("band", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("s").alias("sv"))
-    pairs = stored(apart, "apart").join(others, "band").where("cu <> cv").where((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-    pairs = pairs.where(1 - F.abs(F.col("su") - F.col("sv")) >= threshold)
-    pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    m = stored(m.select("band", "least", "node", F.coalesce("similarity", F.lit(1.0)).alias("s")), "mixed")
+    rows = map_slices(texts.join(m.select(F.col("node").alias("d")).distinct(), "d").select("d", "text"), "text", "d bigint, shingle bigint, weight bigint", _weights(idf))
+    by_shingle = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.sum("weight").alias("weight"))
+    lonely = by_shingle.where("n = 1").groupBy("d").agg(F.sum("weight").alias("lonely"))
+    total = rows.groupBy("d").agg(F.sum("weight").alias("total"))
+    weighed = total.join(lonely, "d", "left").select(F.col("d").alias("node"), F.col("total").cast("double"), (F.col("total") - F.coalesce("lonely", F.lit(0))).cast("double").alias("common"))
+    return stored(m.join(weighed.where(F.col("common") >= threshold * F.col("total")), "node"), "unsettled")
+
+
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of pairs of members u and v that no bound rules out.
+
+    With distances x and y from the same text, two texts are at least \|x - y\| apart; and what two texts have in common weighs no more
+    than what either shares with any other.
+    """
+    common = F.least("common_u", "common_v")
+    pairs = pairs.where("component_u <> component_v")
+    pairs = pairs.where((1 - F.abs(F.col("s_u") - F.col("s_v")) >= threshold) & (common >= threshold * (F.col("total_u") + F.col("total_v") - common)))
+    return pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).distinct()
+
+
+def _side(m: DataFrame, name: str) -> DataFrame:
+    return m.select("band", "main", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "s", "total", "common")])
+
+
+def to_closest(m: DataFrame, threshold: float) -> DataFrame:
+    """Each member with the one of its bucket that is most like the smallest: of edits of one text, the least edited."""
+    m = stored(m, "placed")
+    best = m.where("node <> least").groupBy("band").agg(F.max_by("node", F.struct("s", F.col("common") / F.col("total"), "node")).alias("node"))
+    return _possible(_side(m, "u").join(_side(m.join(best, ["band", "node"]), "v").drop("main"), "band"), threshold)
+
+
+def to_all(m: DataFrame, threshold: float) -> DataFrame:
+    """Each member outside the component of its bucket's smallest one with every other member of the bucket."""
+    m = stored(m, "placed")
+    u, v = _side(m.where("component <> main"), "u"), _side(m, "v").drop("main")
+    return _possible(u.join(v, "band").where("component_v = main OR node_u < node_v"), threshold)
