@@ -5,9 +5,8 @@ Samples of the weighted set are banded; documents that share a band are candidat
 similarity of ``THRESHOLD`` or more, computed from the whole texts.  Classes are the connected components of links.
 
 Inside a band's bucket no pairs are formed: every member is compared with the smallest one.  Members that then are in
-another component than their bucket's smallest one are compared with the bucket's other members, but for those that two
-bounds rule out: the triangle inequality of the Jaccard distance, and the weight of shingles that no other such text
-has.  So no link inside a bucket is lost.
+another component than their bucket's smallest one are compared first with a few members of the bucket, then with all
+that an upper bound of the similarity doesn't rule out.  So no link inside a bucket is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Document frequencies are counted by hash in this many places, whatever the vocabulary; weights are in units of 1 / UNIT.
 PLACES, UNIT = 1 << 18, 1024
+#: Members of a bucket that its unlinked members are compared with before all of them are.
+FEW = 8
 #: Random draws by the upper bits of a shingle's hash.
 POOL = 1 << 16
 
@@ -156,9 +157,9 @@ def _similarity(idf: Broadcast):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """(a, b, similarity) of pairs, from whole texts; both joins read one exchange of the texts."""
-    first = pairs.join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """(a, b, similarity) of pairs, from whole texts.  Texts are always shuffled, so that the plan is the same at every size."""
+    first = pairs.hint("merge").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
+    both = first.hint("merge").join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return map_slices(both, "text_a text_b", "a bigint, b bigint, similarity double", _similarity(idf))
 
 
@@ -178,14 +179,15 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", "least")
     members = stored(banded.join(buckets, "band"), "members")
     # later steps read only texts that share a bucket
-    texts = stored(texts.join(members.select(F.col("node").alias("d")).distinct(), "d"), "candidates")
+    texts = stored(texts.hint("merge").join(members.select(F.col("node").alias("d")).distinct(), "d"), "candidates")
     pairs = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     known = stored(verified(stored(pairs, "pairs"), texts, idf), "verified")
     links = known.where(F.col("similarity") >= threshold).select("a", "b")
     found = stored(components(links), "components")
     open_ = unsettled(members, known, found, texts, idf, threshold)
-    for choose in (to_closest, to_all):
-        rest = stored(choose(placed(open_, found), threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    open_ = stored(open_.join(own.select("node", F.array_distinct("bands").alias("bands")).dropDuplicates(["node"]), "node"), "unsettled")
+    for choose in (to_few, to_all):
+        rest = stored(choose(placed(open_, found), known, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             continue
         known = known.unionByName(stored(verified(rest, texts, idf), "verified"))
@@ -216,48 +218,55 @@ def placed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, known: DataFrame, found: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """Members of buckets with several components that may still be linked to another one: (band, least, node, s, total, common).
+    """Members of buckets with several components that may still be linked: (band, least, node, total, common, pivot, total_p).
 
-    ``s`` is the similarity to the bucket's smallest member; ``total`` is a text's weight, ``common`` that of its shingles that
-    another of these texts has.
+    ``total`` is a text's weight, ``common`` that of its shingles that another of these texts has; ``pivot`` is the member most like
+    the bucket's smallest one (of edits of one text, the least edited).
     """
     m = stored(placed(members, found), "placed")
     m = m.join(m.where("component <> main").select("band").distinct(), "band")
     m = m.join(known.select(F.col("a").alias("least"), F.col("b").alias("node"), "similarity"), ["least", "node"], "left")
-    m = stored(m.select("band", "least", "node", F.coalesce("similarity", F.lit(1.0)).alias("s")), "mixed")
-    rows = map_slices(texts.join(m.select(F.col("node").alias("d")).distinct(), "d").select("d", "text"), "text", "d bigint, shingle bigint, weight bigint", _weights(idf))
+    m = m.select("band", "node", "least", F.coalesce("similarity", F.lit(1.0)).alias("s"))
+    m = stored(m, "mixed")
+    rows = map_slices(texts.hint("merge").join(m.select(F.col("node").alias("d")).distinct(), "d").select("d", "text"), "text", "d bigint, shingle bigint, weight bigint", _weights(idf))
     by_shingle = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.sum("weight").alias("weight"))
     lonely = by_shingle.where("n = 1").groupBy("d").agg(F.sum("weight").alias("lonely"))
     total = rows.groupBy("d").agg(F.sum("weight").alias("total"))
     weighed = total.join(lonely, "d", "left").select(F.col("d").alias("node"), F.col("total").cast("double"), (F.col("total") - F.coalesce("lonely", F.lit(0))).cast("double").alias("common"))
-    return stored(m.join(weighed.where(F.col("common") >= threshold * F.col("total")), "node"), "unsettled")
+    m = stored(m.join(weighed.where(F.col("common") >= threshold * F.col("total")), "node"), "weighed")
+    likeness = F.struct((F.col("node") != F.col("least")).alias("other"), F.col("s"), F.col("common") / F.col("total"), F.col("node"))
+    pivots = m.groupBy("band").agg(F.max_by(F.struct("node", "total"), likeness).alias("p"))
+    return m.drop("s").join(pivots.select("band", F.col("p.node").alias("pivot"), F.col("p.total").alias("total_p")), "band")
 
 
-def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of pairs of members u and v that no bound rules out.
-
-    With distances x and y from the same text, two texts are at least \|x - y\| apart; and what two texts have in common weighs no more
-    than what either shares with any other.
-    """
-    common = F.least("common_u", "common_v")
-    pairs = pairs.where("component_u <> component_v")
-    pairs = pairs.where((1 - F.abs(F.col("s_u") - F.col("s_v")) >= threshold) & (common >= threshold * (F.col("total_u") + F.col("total_v") - common)))
-    return pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).distinct()
-
-
-def _side(m: DataFrame, name: str) -> DataFrame:
-    return m.select("band", "main", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "s", "total", "common")])
+def _pair(u: str, v: str) -> list:
+    return [F.least(u, v).alias("a"), F.greatest(u, v).alias("b")]
 
 
-def to_closest(m: DataFrame, threshold: float) -> DataFrame:
-    """Each member with the one of its bucket that is most like the smallest: of edits of one text, the least edited."""
+def to_few(m: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Each member with its bucket's pivot, and each outside the component of the bucket's smallest one with one member of each of
+    ``FEW`` parts of that component, by hash.  What can be linked mostly is so here, by a number of pairs in proportion."""
     m = stored(m, "placed")
-    best = m.where("node <> least").groupBy("band").agg(F.max_by("node", F.struct("s", F.col("common") / F.col("total"), "node")).alias("node"))
-    return _possible(_side(m, "u").join(_side(m.join(best, ["band", "node"]), "v").drop("main"), "band"), threshold)
+    inside = m.where("component = main").withColumn("h", F.xxhash64("node", "band"))
+    few = inside.groupBy("band", F.pmod("h", F.lit(FEW))).agg(F.min_by("node", F.struct("h", "node")).alias("v")).select("band", "v")
+    pairs = m.where("component <> main").join(few, "band").select(*_pair("node", "v"))
+    return pairs.unionByName(m.where("node <> pivot").select(*_pair("node", "pivot"))).where("a <> b").distinct()
 
 
-def to_all(m: DataFrame, threshold: float) -> DataFrame:
-    """Each member outside the component of its bucket's smallest one with every other member of the bucket."""
-    m = stored(m, "placed")
-    u, v = _side(m.where("component <> main"), "u"), _side(m, "v").drop("main")
-    return _possible(u.join(v, "band").where("component_v = main OR node_u < node_v"), threshold)
+def to_all(m: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Each member outside the component of its bucket's smallest one with every other member that no bound rules out, at the
+    first bucket they share.
+
+    What two texts have in common lies in the pivot, where it weighs no more than what either shares with the pivot, or
+    outside, where it weighs no more than what either shares there with any other text.
+    """
+    m = m.select("*", *_pair("node", "pivot")).join(known, ["a", "b"], "left")
+    with_pivot = F.when(F.col("node") == F.col("pivot"), F.col("total")).otherwise(F.col("similarity") * (F.col("total") + F.col("total_p")) / (1 + F.col("similarity")))
+    # shingles that no other text has may be in the pivot only if it is this text, so this is at least 0 but for rounding
+    m = stored(m.withColumn("inner", F.least(with_pivot, "common")).withColumn("outer", F.col("common") - F.col("inner")), "placed")
+    side = lambda d, x: d.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "total", "inner", "outer", "bands")])
+    pairs = side(m.where("component <> main"), "u").join(side(m, "v").join(m.select("band", "main").distinct(), "band"), "band")
+    pairs = pairs.where("component_u <> component_v AND (component_v = main OR node_u < node_v)")
+    both = F.least("inner_u", "inner_v") + F.least("outer_u", "outer_v") + 2
+    pairs = pairs.where(both >= threshold * (F.col("total_u") + F.col("total_v") - both))
+    return pairs.where(F.col("band") == F.array_min(F.array_intersect("bands_u", "bands_v"))).select(*_pair("node_u", "node_v")).distinct()
