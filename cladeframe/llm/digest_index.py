@@ -66,15 +66,16 @@ class DigestIndex:
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Add the rows to the index; every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``, without the text.
+def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
+    """Add the rows to the index; every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``;
+    without the text, unless ``with_text``.
 
     Of equal texts of one call the smallest key stays (of rows that repeat it, one); null keys come after all others.  A
     text that the index already holds stays with its earlier key, and all new rows with it go.  ``group_size`` counts
     the rows of this call.  Input columns with the names of results give way.
     """
     docs = without(docs, ["keep_id", "group_size", "kept", "text_sha256"])
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    others = [F.col(f"`{c}`") for c in docs.columns if with_text or c != text]
     rows = stored(docs.select(F.struct(*others).alias("doc"), F.col(f"`{key}`").cast("bigint").alias("key"), digest(text).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     stays = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row")))
     groups = rows.groupBy("digest").agg(stays.alias("stays"), F.count(F.lit(1)).alias("group_size"))

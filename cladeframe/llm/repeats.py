@@ -170,8 +170,8 @@ def _spans(w: Words, covered: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), runs)
 
 
-def deduplicate(docs: DataFrame, length: int = 20, text: str = "text", key: str = "doc_id", gram: int = GRAM) -> DataFrame:
-    """All columns but the text, with ``n_words``, ``n_removed``, ``kept`` (the kept words, joined by one space) and ``removed``.
+def deduplicate(docs: DataFrame, length: int = 20, text: str = "text", key: str = "doc_id", gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """All columns (the text only ``with_text``), with ``n_words``, ``n_removed``, ``kept`` (the kept words, joined by one space) and ``removed``.
 
     A word goes if a window of ``length`` words covers it that also starts earlier: in a document with a smaller key, or earlier in
     the same one.  ``removed`` holds the maximal removed runs as (first, words), by number of words.  A null text has no
@@ -197,5 +197,5 @@ def deduplicate(docs: DataFrame, length: int = 20, text: str = "text", key: str
     later = found.select("a", "d").join(lowest, "a").where(F.col("low") < F.col("d")).select("d", F.lit(False).alias("whole"), "a", "b")
     gone = again.unionByName(later).groupBy("d").agg(F.collect_list(F.struct("whole", "a", "b")).alias("gone"))
     wide = wide.join(gone, "d", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<whole:boolean,a:bigint,b:bigint>>")))
-    schema = T.StructType([wide.schema["doc"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, removed array<struct<first:bigint,words:bigint>>").fields])
-    return map_slices(wide, "text", schema, _cut(length, gram)).select("doc.*", "n_words", "n_removed", "kept", "removed")
+    schema = T.StructType([wide.schema["doc"], *([wide.schema["text"]] if with_text else []), *T._parse_datatype_string("n_words bigint, n_removed bigint, kept string, removed array<struct<first:bigint,words:bigint>>").fields])
+    return map_slices(wide, "text", schema, _cut(length, gram)).select("doc.*", *([F.col("text").alias(text)] if with_text else []), "n_words", "n_removed", "kept", "removed")
