@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeframe.llm.common import free_name, stored, without
 
-#: Letters without case are symbols 0-25; digits, dot, slash, hyphen, any other ASCII, all the rest.
-SYMBOLS = 32
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Symbols of the models: letters without case, any digit, dot, slash, hyphen, any other ASCII, and all the rest (also what
+#: stands before the beginning).
+REST = "*"
+ALPHABET = LETTERS + "0./-?" + REST
+SYMBOLS = len(ALPHABET)
 #: Resolution and reach of the calibration, in nats per character.
 STEP, REACH = 0.01, 20.0
 
@@ -55,50 +58,39 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return functools.reduce(lambda c, r: c.when(fits(r), r.name), ordered, F.when(F.lit(False), F.lit(None).cast("string")))
 
 
-def codes(url: str) -> Column:
-    """Symbols of a URL, in order."""
-    kinds = LETTERS + "0123456789" + "./-"
-    number = {c: i for i, c in enumerate(LETTERS)} | {str(d): 26 for d in range(10)} | {".": 27, "/": 28, "-": 29}
-    plain = F.translate(F.lower(F.coalesce(F.col(url), F.lit(""))), kinds, "".join(chr(0x41 + number[c]) for c in kinds))
-    # letters now start at 'A'; other ASCII lies elsewhere
-    def one(c):
-        a = F.ascii(c) - 0x41
-        return F.when((a >= 0) & (a < 30), a).when(F.ascii(c) < 128, F.lit(30)).otherwise(F.lit(31))
-    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), one)
+def symbols(url: str, order: int) -> Column:
+    """A URL in symbols, after ``order`` symbols for its beginning."""
+    plain = F.translate(F.lower(F.coalesce(F.col(url), F.lit(""))), "123456789" + REST, "0" * 9 + "?")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", REST), r"[^a-z0./?*-]", "?")
+    return F.concat(F.lit(REST * order), plain)
 
 
-def contexts(code: Column, order: int) -> Column:
-    """For each character: the number of its context of ``order`` symbols (31 before the beginning) and itself."""
-    pad = F.concat(F.array(*[F.lit(31)] * order), code) if order else code
-
-    def at(i):
-        n = F.lit(0)
-        for j in range(order + 1):
-            n = n * SYMBOLS + F.element_at(pad, i + 1 + j)
-        return n
-    return F.when(F.size(code) > 0, F.transform(F.sequence(F.lit(0), F.size(code) - 1), at)).otherwise(F.array().cast("array<int>"))
+def grams(rows: DataFrame, code: str, order: int, to: str) -> DataFrame:
+    """One row per character with its gram: its context of ``order`` symbols and itself; null for an empty URL."""
+    places = F.when(F.length(code) > order, F.sequence(F.lit(1), F.length(code) - order))
+    return rows.withColumn(to, F.explode_outer(places)).withColumn(to, F.substring(F.col(code), F.col(to), F.lit(order + 1)))
 
 
 def model(decided: DataFrame, order: int = 2) -> DataFrame:
-    """One row: ``difference``, log P(accepted) - log P(rejected) of each character in each context.
+    """(g, difference): log P(accepted) - log P(rejected) of the last character of each gram after the ones before it.
 
-    ``decided`` has ``codes`` and ``accepted`` of the URLs that rules decide.  Each order mixes its relative frequencies with
+    ``decided`` has ``code`` and ``accepted`` of the URLs that rules decide.  Each order mixes its relative frequencies with
     the next lower order's by the number of different characters seen in the context (Witten and Bell); below order 0
     stands the uniform distribution.  A context that was never seen is thus judged by its longest seen ending.
     """
-    grams = decided.select(F.explode(contexts(F.col("codes"), order)).alias("g"), F.col("accepted"))
-    counts = grams.groupBy("g").agg(*[F.sum((F.col("accepted") == a).cast("bigint")).alias(n) for n, a in (("c1", True), ("c0", False))])
-    spark = decided.sparkSession
-    grid = spark.range(SYMBOLS ** (order + 1)).select(F.col("id").cast("int").alias("g"))
+    seen = grams(decided, "code", order, "g").where(F.col("g").isNotNull())
+    counts = seen.groupBy("g").agg(*[F.sum((F.col("accepted") == a).cast("bigint")).alias(n) for n, a in (("c1", True), ("c0", False))])
+    digit = lambda k: F.substring(F.lit(ALPHABET), (F.floor(F.col("id") / SYMBOLS**k) % SYMBOLS + 1).cast("int"), F.lit(1))
+    grid = decided.sparkSession.range(SYMBOLS ** (order + 1)).select(F.concat(*[digit(k) for k in range(order, -1, -1)]).alias("g"))
     full = grid.join(counts, "g", "left").na.fill(0, ["c1", "c0"])
     # lower orders are sums over the full grid, so their sizes are fixed too
     levels = full.withColumns({"p1": F.lit(1.0 / SYMBOLS), "p0": F.lit(1.0 / SYMBOLS)})
     for k in range(order + 1):
-        low, ctx = SYMBOLS ** (k + 1), SYMBOLS
-        per = full.groupBy((F.col("g") % low).alias("l")).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-        tot = per.groupBy(F.floor(F.col("l") / ctx).cast("int").alias("x")).agg(
+        ending, context = F.substring("g", order + 1 - k, k + 1), F.substring("g", order + 1 - k, k)
+        per = full.groupBy(ending.alias("l")).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
+        tot = per.groupBy(F.substring("l", 1, k).alias("x")).agg(
             *[F.sum(f"n{a}").alias(f"t{a}") for a in "10"], *[F.sum((F.col(f"n{a}") > 0).cast("bigint")).alias(f"d{a}") for a in "10"])
-        levels = levels.withColumns({"l": F.col("g") % low, "x": F.floor((F.col("g") % low) / ctx).cast("int")}).join(per, "l").join(tot, "x")
+        levels = levels.withColumns({"l": ending, "x": context}).join(per, "l").join(tot, "x")
         mixed = {f"p{a}": F.when(F.col(f"t{a}") > 0, (F.col(f"n{a}") + F.col(f"d{a}") * F.col(f"p{a}")) / (F.col(f"t{a}") + F.col(f"d{a}"))).otherwise(F.col(f"p{a}")) for a in "10"}
         levels = levels.withColumns(mixed).select("g", "c1", "c0", "p1", "p0")
     return levels.select("g", (F.log("p1") - F.log("p0")).alias("difference"))
@@ -110,8 +102,8 @@ def with_ratio(rows: DataFrame, code: Column, difference: DataFrame, order: int)
     The table of differences has ``SYMBOLS ** (order + 1)`` rows whatever the corpus, so it is broadcast.  The characters of a
     row are summed before the shuffle, in the task that split it.
     """
-    row, g = free_name(rows, "row"), free_name(rows, "g")
-    split = rows.withColumn(row, F.monotonically_increasing_id()).withColumn(g, F.explode_outer(contexts(code, order)))
+    row, g, c = (free_name(rows, n) for n in ("row", "g", "code"))
+    split = grams(rows.withColumn(row, F.monotonically_increasing_id()).withColumn(c, code), c, order, g)
     joined = split.join(F.broadcast(difference.select(F.col("g").alias(g), F.col("difference").alias(f"{g}v"))), g, "left")
     maps = [f.name for f in rows.schema if "map<" in f.dataType.simpleString()]  # can't be grouped by
     mean = F.coalesce(F.avg(f"{g}v"), F.lit(0.0)).alias("ratio")
@@ -151,10 +143,10 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", order:
     ruled = pages.withColumns({"host": host(url), "path": path(url)})
     ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowing = [r.name for r in rules if r.verdict == "allow"]
-    decided = ruled.where(F.col("rule").isNotNull()).select(codes(url).alias("codes"), F.col("rule").isin(allowing).alias("accepted"))
+    decided = ruled.where(F.col("rule").isNotNull()).select(symbols(url, order).alias("code"), F.col("rule").isin(allowing).alias("accepted"))
     difference = stored(model(decided, order), "urlmodel")
-    cut = threshold(with_ratio(decided, F.col("codes"), difference, order)).first()
-    out = with_ratio(ruled, codes(url), difference, order)
+    cut = threshold(with_ratio(decided.withColumnRenamed("code", "c"), F.col("c"), difference, order)).first()
+    out = with_ratio(ruled, symbols(url, order), difference, order)
     passes = F.lit(True) if cut["threshold"] is None else F.col("ratio") >= cut["threshold"]
     by_model = F.when(F.coalesce(F.col(url), F.lit("")) == "", "block").when(passes, "allow").otherwise("block")
     return out.withColumn("verdict", F.when(F.col("rule").isNull(), by_model).when(F.col("rule").isin(allowing), "allow").otherwise("block"))
