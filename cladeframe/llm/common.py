@@ -12,16 +12,28 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from cladeframe.session import shared_dir
 
 #: Text handled at a time inside a task, in bytes (a single longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that scratch() has given out, in order.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables under scratch paths.  Only for those that no unfinished result reads."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -88,9 +100,17 @@ def map_slices(df: DataFrame, text: str, schema: T.StructType | str, make: Calla
         if at_end is not None and (last := at_end(work)) is not None:
             yield record(arrow, last, None)
 
+    few_rows(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Texts come to tasks by this many rows at a time, unless the session says otherwise: its default is meant for numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def record(schema: pa.Schema, columns: dict, part: pa.RecordBatch | None) -> pa.RecordBatch:
     out = []
     for f in schema:
