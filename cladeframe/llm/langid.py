@@ -17,7 +17,7 @@ from cladeframe.llm.common import map_slices, utf8, without
 
 UNDETERMINED = "und"
 #: Window length in bytes when scoring, and how many windows run side by side.
-WINDOW, LANES = 128, 4096
+WINDOW, LANES = 128, 2048
 
 
 @dataclass

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cladeframe.llm.common import SLICE_BYTES, slices, stored, utf8
+from cladeframe.llm.common import SLICE_BYTES, few_rows, slices, stored, utf8
 from cladeframe.llm.words import BYTE_BASE, LOWER, ranges, span, sums, words
 
 #: Up to so many partitions, their starts (16 bytes each) are sent to every task; beyond, they are joined.
 FEW_PARTITIONS = 1_000_000
 #: Distinct units whose ids a task keeps; the store starts over beyond this number.
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 400_000
 WHITE, LETTER, DIGIT, MARK, OTHER = range(5)
 KINDS = np.full(256, OTHER, np.uint8)
 KINDS[0x21:0x7F] = MARK
@@ -164,6 +164,7 @@ def tokenised(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([piece.column("key"), binary, pa.array(n), pa.array(np.full(len(n), part)), pa.array(at + ends[:-1])], schema=schema)
                 at += int(n.sum())
 
+    few_rows(docs.sparkSession)
     return rows.mapInArrow(run, "key bigint, ids binary, n_tokens bigint, part bigint, local_start bigint")
 
 
