@@ -148,13 +148,17 @@ def gap_only_taxa(presence: DataFrame, taxa: DataFrame, taxon: str = "taxon_id")
     return taxa.select(taxon).join(presence.select(taxon), taxon, "left_anti")
 
 
-def presence_matrix(presence: DataFrame, taxa: DataFrame, parts: list, taxon: str = "taxon_id",
-                    part: str = "part_id") -> DataFrame:
-    """'0'/'1' string over the partitions per taxon (1: the taxon has data there)."""
-    aggs = [F.max(F.when(F.col(part) == F.lit(p), 1)).alias(f"p{i}") for i, p in enumerate(parts)]
-    have = presence.groupBy(taxon).agg(*aggs)
-    bits = [F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("string") for i in range(len(parts))]
-    return taxa.select(taxon).join(have, taxon, "left").select(taxon, F.concat(*bits).alias("presence"))
+def presence_matrix(presence: DataFrame, taxa: DataFrame, parts: DataFrame, taxon: str = "taxon_id", part: str = "part_id") -> DataFrame:
+    """One 0/1 string per taxon, a digit for each partition of ``parts`` in order; no partition is left out.
+
+    The list of partitions is as long as one taxon's result.
+    """
+    have = presence.groupBy(taxon).agg(F.collect_set(part).alias("_have"))
+    every = parts.agg(F.sort_array(F.collect_set(part)).alias("_all")).scalar()
+    rows = taxa.select(taxon).join(have, taxon, "left").withColumn("_all", every)
+    none = F.col("_have").isNull()
+    bit = F.transform("_all", lambda p: F.when(none, "0").when(F.array_contains("_have", p), "1").otherwise("0"))
+    return rows.select(taxon, F.array_join(bit, "").alias("presence"))
 
 
 def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id") -> DataFrame:
@@ -164,8 +168,7 @@ def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id")
     unknown = count.join(taxa.select("label"), "label", "left_anti").select(
         tree, "label", F.lit("unknown").alias("problem"))
     # The taxon list, as long as one alignment column, is compared with each tree's own list.
-    known = count.join(taxa.select("label"), "label", "left_semi").groupBy(tree).agg(
-        F.collect_set("label").alias("_have"))
+    known = count.groupBy(tree).agg(F.collect_set("label").alias("_have"))  # also of trees without a known tip
     every = taxa.agg(F.sort_array(F.collect_set("label"))).scalar()
     missing = known.withColumn("_all", every).select(
         tree, F.explode(F.array_except("_all", "_have")).alias("label"), F.lit("missing").alias("problem"))

@@ -240,8 +240,7 @@ SELECT c_custkey AS taxon_id, string_agg(CASE WHEN h.o_custkey IS NULL THEN '0'
 FROM customer CROSS JOIN pr LEFT JOIN h ON h.o_custkey=c_custkey AND h.p=pr.p GROUP BY 1""")
 def terrace_presence(spark, d):
     taxa = R.table(spark, d, "customer").select(F.col("c_custkey").alias("taxon_id"))
-    parts = [r[0] for r in R.table(spark, d, "orders").select("o_orderpriority").distinct().orderBy(
-        "o_orderpriority").limit(1000).collect()]
+    parts = R.table(spark, d, "orders").select(F.col("o_orderpriority").alias("part_id")).distinct()
     return checks.presence_matrix(R.customer_presence(spark, d), taxa, parts)
 
 

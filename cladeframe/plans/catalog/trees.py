@@ -283,14 +283,14 @@ def _numbered(spark, d):
 
 _HASH = S.mix("((tree_no % 2147483647) * 48271 + perm * 69621 + 1) % 2147483647")
 _HALVES = f"""no AS (SELECT tree_id, row_number() OVER (ORDER BY tree_id) - 1 AS tree_no FROM (SELECT DISTINCT tree_id FROM counts)),
-pf AS (SELECT unnest(CASE WHEN count(*) >= 50 THEN list_transform(range(0, count(*) // 50), lambda k: 50 * (k + 1)) ELSE [count(*)] END)::INTEGER AS prefix FROM no),
+pf AS (SELECT unnest(list_concat(list_transform(range(0, count(*) // 50), lambda k: 50 * (k + 1)),
+  CASE WHEN count(*) % 50 > 0 OR count(*) = 0 THEN [count(*)] ELSE [] END))::INTEGER AS prefix FROM no),
 hv AS (SELECT prefix, perm::INTEGER AS perm, tree_no, ((row_number() OVER (PARTITION BY prefix, perm ORDER BY {_HASH}, tree_no) - 1) % 2)::INTEGER AS half
   FROM no JOIN pf ON tree_no < prefix CROSS JOIN (SELECT unnest(range(0,{PERMS})) AS perm))"""
 
 
 def _prefixes(t):
-    n = t.count()
-    return [p for p in TS.report_prefixes(n) if p % 50 == 0] or [n]
+    return TS.report_prefixes(t.count())
 
 
 @query(f"WITH {S.line_counts('l_suppkey')}, {_HALVES} SELECT prefix, perm, tree_no, half FROM hv")
@@ -464,13 +464,13 @@ def tip_id_normalise(spark, d):
     return T.normalise_tips(T.tree_tips(supplier_trees(spark, d)), taxa).select("tree_id", "label", "taxon_id")
 
 
-@query("""WITH have AS (SELECT DISTINCT l_suppkey AS t, 'N' || (l_linenumber-1) AS label FROM lineitem WHERE l_quantity > 49),
+@query("""WITH have AS (SELECT DISTINCT l_orderkey AS t, 'N' || (l_linenumber-1) AS label FROM lineitem),
 taxa AS (SELECT 'N' || r_regionkey AS label FROM region)
 SELECT t AS tree_id, label, 'unknown' AS problem FROM have WHERE label NOT IN (SELECT label FROM taxa)
-UNION ALL SELECT t, x.label, 'missing' FROM (SELECT DISTINCT t FROM have WHERE label IN (SELECT label FROM taxa)) CROSS JOIN taxa x WHERE (t, x.label) NOT IN (SELECT t, label FROM have)""")
+UNION ALL SELECT t, x.label, 'missing' FROM (SELECT DISTINCT t FROM have) CROSS JOIN taxa x WHERE (t, x.label) NOT IN (SELECT t, label FROM have)""")
 def check_tree_taxa(spark, d):
-    li = R.table(spark, d, "lineitem").where("l_quantity > 49")
-    tips = li.select(F.col("l_suppkey").alias("tree_id"), F.concat(F.lit("N"), (F.col("l_linenumber") - 1).cast("string")).alias("label")).distinct()
+    li = R.table(spark, d, "lineitem")
+    tips = li.select(F.col("l_orderkey").alias("tree_id"), F.concat(F.lit("N"), (F.col("l_linenumber") - 1).cast("string")).alias("label")).distinct()
     taxa = R.table(spark, d, "region").select(F.concat(F.lit("N"), F.col("r_regionkey").cast("string")).alias("label"))
     return checks.tree_taxa_mismatch(tips, taxa)
 

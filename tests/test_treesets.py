@@ -186,3 +186,21 @@ def test_stream_reports_like_the_batch(spark, tmp_path):
     s = T.tree_splits(t, LABELS).select(F.col("tree_id").alias("tree_no"), "split")
     want = {r["trees"]: r["avg_wrf"] for r in TS.bootstop(s, t.select(F.col("tree_id").alias("tree_no")), 9, [20, 40], 6).collect()}
     assert {r["trees"]: r["avg_wrf"] for r in seen} == want
+
+
+def test_newick_quotes_labels():
+    from cladeframe.functions import newick
+
+    text = "(a,'b c',(d,'e''s(1)'));"
+    again = newick.parse(newick.write(newick.parse(text), lengths=False))
+    assert sorted(again.label[v] for v in again.tips()) == sorted(newick.parse(text).label[v] for v in newick.parse(text).tips())
+    assert len(again.tips()) == 4
+
+
+def test_missing_tips_of_a_tree_without_known_ones(spark):
+    from cladeframe.operators.checks import tree_taxa_mismatch
+
+    tips = spark.createDataFrame([("t", "x"), ("t", "y")], "tree_id string, label string")
+    taxa = spark.createDataFrame([("a",), ("b",)], "label string")
+    got = {(r.label, r.problem) for r in tree_taxa_mismatch(tips, taxa).collect()}
+    assert got == {("x", "unknown"), ("y", "unknown"), ("a", "missing"), ("b", "missing")}
