@@ -31,8 +31,8 @@ def get_spark(cpus: int | str = "*", app: str = "cladeframe", memory: str = "12g
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (tests, laptops) gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session without that
+    setting (tests, laptops) gets a temporary one, as other machines couldn't see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="cladeframe-")
     sc.setCheckpointDir(made)
     return made
