@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,5 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Let tasks import this package wherever the driver was started.
+
+    Executors on the driver's machine find its folder on their path; others get the package as a file.
+    """
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
+    if not sc.master.startswith("local"):
+        archive = os.path.join(tempfile.mkdtemp(prefix="cladeframe-"), "cladeframe.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "cladeframe")):
+                for n in names:
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.relpath(path, root))
+        sc.addPyFile(archive)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
