@@ -105,12 +105,6 @@ def words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = WHITE, fold: n
     return Words(start, np.flatnonzero(end) + 1, np.searchsorted(start, off), sums(data.astype(U) + U(1), BYTE_BASE[0]), data)
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, k: int, base: int = WORD_BASE[0]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every k consecutive words of one text: (position of the first word, hash), in order."""
-    at = run_starts(first, k)
-    return at, span(sums(hashes, base), at, at + k, base)
-
-
 def run_starts(first: np.ndarray, k: int) -> np.ndarray:
     """Word positions from which k words of the same text follow."""
     n = int(first[-1])
