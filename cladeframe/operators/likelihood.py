@@ -226,14 +226,37 @@ def _tasks(al: PackedAlignment, cands: Sequence[Candidate]):
     return sc.broadcast((_payload(cands), {p: r["site_count"] for p, r in al.stats.items()}, len(al.labels), al.lanes))
 
 
+def _constant_columns(m: Model, n_taxa: int) -> Block:
+    """One column per state in which all taxa have it: those that ascertainment leaves out."""
+    probe = np.array([[ord(s)] * n_taxa for s in m.alphabet.states], dtype=np.uint8)
+    return Block(probe, m.alphabet.table(), m.states)
+
+
 def _asc_term(rates: Rates, m: Model, order, length, n_taxa: int, sites: float) -> float:
     """Correction for the columns that could not be observed: the constant ones."""
-    probe = np.array([[ord(s)] * n_taxa for s in m.alphabet.states], dtype=np.uint8)
-    lk = np.exp(Block(probe, m.alphabet.table(), m.states).loglh(rates, order, length))
+    lnl = _constant_columns(m, n_taxa).loglh(rates, order, length)
     if m.asc == "LEWIS":
-        return -sites * np.log(1 - lk.sum())
+        return -sites * np.log(1 - np.exp(lnl).sum())
     w = np.array(m.asc_weights)
-    return float(w[0] * np.log(lk.sum()) if m.asc == "FELS" else (w * np.log(lk)).sum())
+    return float(w[0] * np.log(np.exp(lnl).sum()) if m.asc == "FELS" else (w * lnl).sum())
+
+
+def _asc_terms(rates: Rates, m: Model, order, length, n_taxa: int, sites: float):
+    """The correction and, for every branch, its first and second derivative."""
+    lnl, grad = _constant_columns(m, n_taxa).branch_terms(rates, order, length, np.eye(m.states))
+    value = _asc_term(rates, m, order, length, n_taxa, sites)
+    w = np.array(m.asc_weights) if m.asc != "LEWIS" else None
+    if m.asc == "STAM":
+        return value, {v: (float(w @ r), float(w @ c)) for v, (r, c) in grad.items()}
+    lk = np.exp(lnl)
+    rest, factor = (1 - lk.sum(), sites) if m.asc == "LEWIS" else (lk.sum(), w[0])
+    sign = 1 if m.asc == "LEWIS" else -1
+    out = {}
+    for v, (r, c) in grad.items():
+        # the sum of the constant columns' likelihoods changes by ``one`` and bends by ``two``
+        one, two = (lk @ r) / rest, (lk @ (c + r * r)) / rest
+        out[v] = (float(factor * one), float(factor * (two + sign * one * one)))
+    return value, out
 
 
 def score_table(al: PackedAlignment, cands: Sequence[Candidate]) -> DataFrame:
@@ -320,6 +343,16 @@ def derivatives(al: PackedAlignment, cands: Sequence[Candidate]):
             lnl[r["cand"]] += r["d1"]
         else:
             grads[r["cand"]].setdefault(r["part_id"], {})[names[r["cand"]][r["branch"]]] = (r["d1"], r["d2"])
+    for i, c in enumerate(cands):
+        for p, m in c.models.items():
+            if m.asc and p in al.stats:
+                order, length = c.tree.rooted()
+                term, slopes = _asc_terms(Rates(m), m, order, c.lengths.get(p, length), len(al.labels), al.stats[p]["site_count"])
+                lnl[i] += term
+                have = grads[i].setdefault(p, {})
+                for v, (d1, d2) in slopes.items():
+                    a, b = have.get(v, (0.0, 0.0))
+                    have[v] = (a + d1, b + d2)
     return lnl, grads
 
 

@@ -265,3 +265,26 @@ def test_ancestral_states(spark):
     post /= post.sum(axis=1, keepdims=True)
     mine = rows[rows.pattern == "ACACA"].sort_values("node").probs.to_list()
     assert np.allclose(mine, post)
+
+
+@pytest.mark.parametrize("asc", ["+ASC_LEWIS", "+ASC_FELS{30}", "+ASC_STAM{5/6/7/8}"])
+def test_ascertainment_in_branch_fitting(spark, asc):
+    """Slopes match differences of the scored value, and fitting reports what scoring reports."""
+    m = M.parse_model("JC+G4{0.7}" + asc)
+    al = L.pack(frame(spark, [c for c in columns(80, seed=6, alphabet="ACGT") if len(set(c)) > 1]), LABELS, m)
+    tree = L.Topology.from_newick(TREE, LABELS)
+    lnl, grads = L.derivatives(al, [L.Candidate(tree, {0: m})])
+    assert lnl[0] == pytest.approx(L.score(al, [L.Candidate(tree, {0: m})]).sum(), abs=1e-8)
+    _, length = tree.rooted()
+    h, names = 1e-4, sorted(length)
+    moved = [tree.set_lengths({**length, v: length[v] + d}) for v in names for d in (h, -h)]
+    f = L.score(al, [L.Candidate(t, {0: m}) for t in moved]).sum(axis=1)
+    for k, v in enumerate(names):
+        up, down = f[2 * k], f[2 * k + 1]
+        assert grads[0][0][v][0] == pytest.approx((up - down) / (2 * h), abs=1e-3)
+        assert grads[0][0][v][1] == pytest.approx((up + down - 2 * lnl[0]) / h**2, rel=1e-3, abs=1e-2)
+    s = I.Search(0, tree, {0: m})
+    I.optimise_lengths(al, [s], 1e-6)
+    assert s.loglh > lnl[0] + 0.5
+    assert s.loglh == pytest.approx(L.score(al, [s.candidate()]).sum(), abs=1e-8)
+    al.close()
