@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.rng import with_uniform
 from cladeframe.operators.partitions import row_of
 from cladeframe.operators.sites import dense_offsets
-from cladeframe.session import parallelism
 
 
 def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
@@ -31,79 +30,66 @@ def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
     return hit.groupBy("replicate", "part_id", "pattern").agg(F.sum("_k").alias("weight"))
 
 
-PATTERNS_PER_BLOCK = 250_000
+#: Columns by their first position in a unit, and units in a group.  Fixed, so that draws depend on data and seed only.
+UNIT, GROUP = 16_384, 4_096
 
 
-def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1, blocks: int | None = None) -> DataFrame:
+def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """The same distribution, drawn over patterns instead of columns.
 
-    A multinomial splits exactly into a multinomial over blocks of patterns followed by one
-    inside each block, so the cost follows the number of patterns, whatever they weigh.
-    The block level is a ``blocks``-row table per partition (by default as many as keep a
-    block at a quarter of a million patterns); each block is drawn by its own
-    task from a generator seeded by (seed, part, block, replicate): retries repeat it.
+    A multinomial splits exactly into one over groups of units, one over the units of each group and one inside each
+    unit, so the cost follows the number of patterns, whatever they weigh, and every draw is a bounded task of its own.
+    Generators are seeded by (seed, level, part, number, replicate): retries and other layouts repeat the draws.
     """
-    if blocks is None:
-        blocks = max(parallelism(patterns.sparkSession), patterns.count() // PATTERNS_PER_BLOCK)
-    keyed = patterns.select("part_id", "pattern", "weight", "first_site",
-                            F.pmod(F.xxhash64("pattern"), F.lit(blocks)).cast("int").alias("block"))
-    totals = keyed.groupBy("part_id", "block").agg(F.sum("weight").alias("w"))
-    per_part = totals.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("block", "w"))).alias("_l"))
-
-    def over_blocks(it):
-        for pdf in it:
-            out = []
-            for part, lst in zip(pdf.part_id, pdf._l):
-                w = np.array([x["w"] for x in lst], dtype=np.float64)
-                n = int(sum(x["w"] for x in lst))
-                for r in range(replicates):
-                    rng = np.random.Generator(np.random.Philox(key=[seed, (int(part) << 32) + r]))
-                    k = rng.multinomial(n, w / w.sum())
-                    out.append(pd.DataFrame({"part_id": part, "block": [x["block"] for x in lst],
-                                             "replicate": r, "n": k}))
-            if out:
-                yield pd.concat(out)
-
-    quota = per_part.mapInPandas(over_blocks, "part_id INT, block INT, replicate INT, n BIGINT")
-    wide = quota.groupBy("part_id", "block").agg(F.array_sort(F.collect_list(F.struct("replicate", "n"))).alias("q"))
-    # Within a block the split goes on down the sorted patterns as conditional binomials,
-    # one streamed batch at a time: a block is never held whole.
-    suffix = Window.partitionBy("part_id", "block").orderBy("first_site").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    ready = keyed.join(wide, ["part_id", "block"]).withColumn("_rest", F.sum("weight").over(suffix))
-
-    def inside(it):
-        state = None
-        for pdf in it:
-            rows_r, rows_p, rows_pat, rows_w = [], [], [], []
-            for part, block, pat, w, rest, q in zip(pdf.part_id, pdf.block, pdf.pattern, pdf.weight, pdf._rest, pdf.q):
-                if state is None or state[0] != (part, block):
-                    rng = np.random.Generator(np.random.Philox(key=[seed + 1, (int(part) << 32) + int(block)]))
-                    state = ((part, block), np.array([x["n"] for x in q], dtype=np.int64), rng)
-                left = state[1]
-                k = state[2].binomial(left, min(1.0, w / rest))
-                state = (state[0], left - k, state[2])
-                nz = np.flatnonzero(k)
-                rows_r.extend(nz.tolist())
-                rows_w.extend(k[nz].tolist())
-                rows_p.extend([part] * len(nz))
-                rows_pat.extend([pat] * len(nz))
-            yield pd.DataFrame({"replicate": rows_r, "part_id": rows_p, "pattern": rows_pat, "weight": rows_w})
-
-    ordered = ready.select("part_id", "block", "first_site", "pattern", "weight", "_rest", "q").repartition(
-        "part_id", "block").sortWithinPartitions("part_id", "block", "first_site")
-    return ordered.mapInPandas(inside, "replicate INT, part_id INT, pattern STRING, weight BIGINT")
+    keyed = patterns.select("part_id", "pattern", "weight", "first_site", F.floor(F.col("first_site") / UNIT).alias("unit"))
+    units = keyed.groupBy("part_id", "unit").agg(F.sum("weight").alias("weight")).withColumn("grp", F.floor(F.col("unit") / GROUP))
+    groups = units.groupBy("part_id", "grp").agg(F.sum("weight").alias("weight"))
+
+    def shares(level: int, n: np.ndarray, pdf: pd.DataFrame, name: str, part: int, number: int) -> pd.DataFrame:
+        """Draws n[r] out of the weights of the rows, for every replicate r; rows that none hits are left out."""
+        w = pdf.weight.to_numpy(dtype=np.float64)
+        k = np.stack([np.random.default_rng([seed, level, part, number, r]).multinomial(n[r], w / w.sum()) for r in range(replicates)])
+        r, i = np.nonzero(k)
+        return pd.DataFrame({"part_id": part, name: pdf[name].to_numpy()[i], "replicate": r, "n": k[r, i]})
+
+    def over_groups(key, pdf):
+        pdf = pdf.sort_values("grp")
+        return shares(0, np.full(replicates, pdf.weight.sum()), pdf, "grp", int(key[0]), 0)
+
+    def within(level, name, order):
+        def draw(key, pdf, quota):
+            n = np.zeros(replicates, np.int64)
+            n[quota.replicate.to_numpy()] = quota.n.to_numpy()
+            return shares(level, n, pdf.sort_values(order), name, int(key[0]), int(key[1]))
+        return draw
+
+    quota = groups.groupBy("part_id").applyInPandas(over_groups, "part_id INT, grp BIGINT, replicate INT, n BIGINT")
+    quota = units.groupBy("part_id", "grp").cogroup(quota.groupBy("part_id", "grp")).applyInPandas(
+        within(1, "unit", "unit"), "part_id INT, unit BIGINT, replicate INT, n BIGINT")
+    drawn = keyed.groupBy("part_id", "unit").cogroup(quota.groupBy("part_id", "unit")).applyInPandas(
+        within(2, "pattern", "first_site"), "part_id INT, pattern STRING, replicate INT, n BIGINT")
+    return drawn.select("replicate", "part_id", "pattern", F.col("n").alias("weight"))
+
+
+def _cut(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Runs of output columns (``start`` to ``stop``) cut at multiples of ``size``, with the number of the piece."""
+    cut = df.withColumn(name, F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))))
+    return cut.withColumn("start", F.greatest("start", F.col(name) * size)).withColumn("stop", F.least("stop", (F.col(name) + 1) * size))
 
 
 def replicate_chunks(weights: DataFrame, patterns: DataFrame, n_taxa: int, chunk: int = 1000) -> DataFrame:
     """Replicate alignments in segments: (replicate, part_id, chunk, taxon, segment).
 
-    A chunk holds the drawn columns whose pattern first occurs inside one range of columns.
+    Drawn columns stand in the order of their pattern's first column and are cut every ``chunk`` of them, so a pattern
+    that fills most of an alignment covers many chunks.  Runs are cut coarsely first and dealt out before they are cut finely.
     """
-    j = weights.join(patterns.select("part_id", "pattern", "first_site"), ["part_id", "pattern"])
-    j = j.withColumn("chunk", F.floor(F.col("first_site") / chunk))
-    g = j.groupBy("replicate", "part_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("first_site", "pattern", F.col("weight").cast("int").alias("w")))).alias("_c"))
+    j = weights.where("weight > 0").join(patterns.select("part_id", "pattern", "first_site"), ["part_id", "pattern"])
+    j = dense_offsets(j, "first_site", F.col("weight"), by=("replicate", "part_id"), name="start")
+    j = j.withColumn("stop", F.col("start") + F.col("weight")).drop("weight")
+    keys = ["replicate", "part_id", "_run"]
+    pieces = _cut(_cut(j, chunk * 4096, "_run").repartition(*keys), chunk, "chunk")
+    g = pieces.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(
+        F.struct("start", "pattern", (F.col("stop") - F.col("start")).cast("int").alias("w")))).alias("_c"))
     entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("taxon"), row_of("_c", i).alias("segment"))
                         for i in range(n_taxa)])
     return g.select("replicate", "part_id", "chunk", F.explode(entries).alias("e")).select(

@@ -120,9 +120,11 @@ def support_fbp(reference: DataFrame, splits: DataFrame, n_trees: int | None = N
         "split", share.alias("support"), F.floor(share * 100 + 0.5).cast("bigint").alias("percent"))
 
 
-def support_tbe(reference: Sequence[str], splits: DataFrame) -> DataFrame:
+def support_tbe(reference: Sequence[str], splits: DataFrame, trees: DataFrame) -> DataFrame:
     """Transfer support: 1 - mean over trees of the smallest transfer distance / (p - 1).
 
+    A tree without splits has no rows in ``splits``; its distance is p - 1 everywhere.
+
     The reference tree's splits (n-3, a driver-side tree) go with the task; each tree's
     distances are one matrix product, and only per-task sums are shuffled.
     """
@@ -144,10 +146,12 @@ def support_tbe(reference: Sequence[str], splits: DataFrame) -> DataFrame:
                 k += 1
         yield pd.DataFrame({"split": ref, "d": total, "k": k})
 
-    part = per_tree.mapInPandas(sums, "split STRING, d DOUBLE, k BIGINT")
+    part = per_tree.mapInPandas(sums, "split STRING, d DOUBLE, k BIGINT").groupBy("split").agg(F.sum("d").alias("d"), F.sum("k").alias("k"))
     p = F.least(F.length(F.translate("split", "1", "")), F.length(F.translate("split", "0", "")))
-    return part.groupBy("split").agg(F.sum("d").alias("d"), F.sum("k").alias("k")).select(
-        "split", (1 - F.col("d") / F.col("k") / (p - 1)).alias("support"))
+    found = splits.sparkSession.createDataFrame([(x,) for x in ref], "split STRING").join(part, "split", "left").withColumn(
+        "_t", trees.agg(F.count(F.lit(1))).scalar())
+    none = F.col("_t") - F.coalesce("k", F.lit(0))
+    return found.select("split", (1 - (F.coalesce("d", F.lit(0.0)) / (p - 1) + none) / F.col("_t")).alias("support"))
 
 
 def draw_support(tree: str, support: DataFrame, labels: Sequence[str], text: str = "percent") -> DataFrame:

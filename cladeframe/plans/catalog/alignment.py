@@ -423,9 +423,10 @@ def bs_drop_zero(spark, d):
 
 @query(f"""WITH {S.LINE_SITES}, {_DRAWS},
 f AS (SELECT part_id, pattern, min(site) AS first_site FROM line_sites GROUP BY 1,2),
-c AS (SELECT replicate, b.part_id, t.taxon, f.first_site // 1000 AS chunk, f.first_site, repeat(substr(b.pattern, t.taxon::INTEGER, 1), b.weight) AS s
-  FROM bw b JOIN f USING (part_id, pattern) CROSS JOIN (SELECT unnest(range(1,8)) AS taxon) t)
-SELECT replicate, part_id, chunk, taxon - 1 AS taxon, string_agg(s, '' ORDER BY first_site) AS segment FROM c GROUP BY 1,2,3,4""")
+c AS (SELECT replicate, b.part_id, t.taxon, string_agg(repeat(substr(b.pattern, t.taxon::INTEGER, 1), b.weight), '' ORDER BY f.first_site) AS s
+  FROM bw b JOIN f USING (part_id, pattern) CROSS JOIN (SELECT unnest(range(1,8)) AS taxon) t GROUP BY 1,2,3),
+k AS (SELECT *, unnest(range(0, (length(s) + 999) // 1000)) AS chunk FROM c)
+SELECT replicate, part_id, chunk, taxon - 1 AS taxon, substr(s, chunk * 1000 + 1, 1000) AS segment FROM k""")
 def bootstrap_msa(spark, d):
     s = R.line_sites(spark, d)
     return bootstrap.replicate_chunks(bootstrap.draw_weights(s, REPS), sites.compress_patterns(s), len(R.LINES), 1000)

@@ -161,7 +161,8 @@ p AS (SELECT split, tree_id, d, least(length(replace(split,'0','')), length(repl
 SELECT split, round(1 - avg(least(d, p - 1)) / (p - 1), 6) AS support FROM p GROUP BY split, p""")
 def support_tbe(spark, d):
     ref = [r.split for r in splits(_reference(spark, d), NATIONS).collect()]
-    r = TS.support_tbe(ref, splits(segment_trees(spark, d), NATIONS))
+    t = segment_trees(spark, d)
+    r = TS.support_tbe(ref, splits(t, NATIONS), t)
     return r.select("split", r6("support").alias("support"))
 
 
@@ -184,7 +185,7 @@ def support_multi(spark, d):
     sp = splits(t, NATIONS)
     ref = splits(_reference(spark, d), NATIONS)
     fbp = TS.support_fbp(ref, sp, trees=t).select(F.lit("fbp").alias("metric"), "split", "support")
-    tbe = TS.support_tbe([r.split for r in ref.collect()], sp).select(F.lit("tbe").alias("metric"), "split", "support")
+    tbe = TS.support_tbe([r.split for r in ref.collect()], sp, t).select(F.lit("tbe").alias("metric"), "split", "support")
     return fbp.unionByName(tbe).select("metric", "split", r6("support").alias("support"))
 
 

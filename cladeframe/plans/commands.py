@@ -445,7 +445,7 @@ def _support(spark, o: Options, reference: str, trees: DataFrame, labels) -> dic
             s = TS.support_fbp(ref, splits, trees=trees)
             out[metric] = TS.draw_support(reference, s, labels)
         else:
-            s = TS.support_tbe([r["split"] for r in ref.collect()], splits)
+            s = TS.support_tbe([r["split"] for r in ref.collect()], splits, trees)
             s = s.withColumn("text", F.format_string(f"%.{o.precision}f", F.col("support")))
             out[metric] = TS.draw_support(reference, s, labels, "text")
         kind = "support_tree" if len(o.bs_metric) == 1 else f"{metric}_support_tree"

@@ -50,9 +50,12 @@ def write_trees(trees: DataFrame, path: str, redo: bool = False) -> None:
 
 
 def write_rf(pairs: DataFrame, trees: DataFrame, path: str, redo: bool = False, precision: int = 6) -> None:
-    """``i j rf rrf`` (0-based tree numbers, tab-separated)."""
-    fmt = F.format_string(f"%.{precision}f", F.col("rrf"))
-    pairs.select("tree_i", "tree_j", "rf", fmt.alias("rrf")).write.mode(_mode(redo)).option("sep", "\t").csv(path)
+    """``i j rf rrf`` (0-based tree numbers in the order of their ids, tab-separated), sorted."""
+    number = dense_offsets(trees.select("tree_id").distinct(), "tree_id", name="k").select("tree_id", "k")
+    rows = pairs.join(number.select(F.col("tree_id").alias("tree_i"), F.col("k").alias("i")), "tree_i").join(
+        number.select(F.col("tree_id").alias("tree_j"), F.col("k").alias("j")), "tree_j")
+    rows.repartitionByRange("i", "j").sortWithinPartitions("i", "j").select(
+        "i", "j", "rf", F.format_string(f"%.{precision}f", F.col("rrf")).alias("rrf")).write.mode(_mode(redo)).option("sep", "\t").csv(path)
 
 
 def write_ancestral_probs(states: DataFrame, alphabet_states: str, path: str, parts: int, redo: bool = False, precision: int = 6) -> None:

@@ -120,8 +120,38 @@ def test_resampling(spark):
         for r in w.groupBy("replicate", "part_id").agg(F.sum("weight").alias("n")).collect():
             assert r["n"] == n[r["part_id"]]
         assert w.join(p, ["part_id", "pattern"], "left_anti").count() == 0
-    a = BS.multinomial_weights(p, 5, 3)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, a.collect()))
+    a = sorted(map(tuple, BS.multinomial_weights(p, 5, 3).collect()))
+    assert a == sorted(map(tuple, BS.multinomial_weights(p.repartition(7), 5, 3).collect()))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert a == sorted(map(tuple, BS.multinomial_weights(p.coalesce(1), 5, 3).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_draws_over_several_units(spark, monkeypatch):
+    """Group, unit and pattern levels together draw as many columns as there are."""
+    monkeypatch.setattr(BS, "UNIT", 4)
+    monkeypatch.setattr(BS, "GROUP", 3)
+    p = spark.range(50).selectExpr("0 AS part_id", "concat('A', id) AS pattern", "1 + id % 7 AS weight", "id * 3 AS first_site")
+    got = BS.multinomial_weights(p, 400, 5)
+    assert {r["n"] for r in got.groupBy("replicate").agg(F.sum("weight").alias("n")).collect()} == {p.agg(F.sum("weight")).first()[0]}
+    mean = {r["pattern"]: r["m"] for r in got.groupBy("pattern").agg((F.sum("weight") / 400).alias("m")).collect()}
+    for r in p.collect():
+        assert abs(mean[r["pattern"]] - r["weight"]) < 5 * np.sqrt(r["weight"] / 400)
+
+
+def test_replicate_chunks_are_cut_by_output(spark):
+    """A pattern that holds most columns covers many chunks, none of them longer than asked for."""
+    p = spark.createDataFrame([(0, "AC", 3, 5), (0, "GT", 9, 7), (1, "TT", 1, 0)], "part_id INT, pattern STRING, weight BIGINT, first_site BIGINT")
+    w = spark.createDataFrame([(0, 0, "AC", 2), (0, 0, "GT", 25), (1, 0, "AC", 27), (0, 1, "TT", 1)], "replicate INT, part_id INT, pattern STRING, weight BIGINT")
+    rows = BS.replicate_chunks(w, p, 2, 10).collect()
+    text = {}
+    for r in sorted(rows):
+        assert len(r["segment"]) <= 10
+        text[r["replicate"], r["part_id"], r["taxon"]] = text.get((r["replicate"], r["part_id"], r["taxon"]), "") + r["segment"]
+    assert text == {(0, 0, 0): "AA" + "G" * 25, (0, 0, 1): "CC" + "T" * 25, (1, 0, 0): "A" * 27, (1, 0, 1): "C" * 27, (0, 1, 0): "T", (0, 1, 1): "T"}
 
 
 def test_multinomial_has_the_right_distribution(spark):

@@ -8,6 +8,7 @@ from cladeframe.functions import newick as nw
 from cladeframe.operators import trees as T
 from cladeframe.operators import treesets as TS
 from cladeframe.streaming.convergence import watch
+from cladeframe.sources.sinks import write_rf
 
 LABELS = [f"x{i}" for i in range(9)]
 INDEX = {x: i for i, x in enumerate(LABELS)}
@@ -82,7 +83,20 @@ def test_support_of_identical_trees(spark):
     s = T.tree_splits(many, LABELS).select("tree_id", "split")
     ref = T.tree_splits(t, LABELS)
     assert {r["percent"] for r in TS.support_fbp(ref, s, trees=many).collect()} == {100}
-    assert {round(r["support"], 9) for r in TS.support_tbe([r["split"] for r in ref.collect()], s).collect()} == {1.0}
+    assert {round(r["support"], 9) for r in TS.support_tbe([r["split"] for r in ref.collect()], s, many).collect()} == {1.0}
+    # a replicate without splits supports nothing and counts
+    star = many.unionByName(spark.createDataFrame([(9, "(" + ",".join(LABELS) + ");")], many.schema))
+    s = T.tree_splits(star, LABELS).select("tree_id", "split")
+    got = TS.support_tbe([r["split"] for r in ref.collect()], s, star).collect()
+    assert {round(r["support"], 9) for r in got} == {round(5 / 6, 9)}
+
+
+def test_rf_file_numbers_trees_from_zero(spark, tmp_path):
+    trees = spark.createDataFrame([(7, "x"), (30, "y"), (12, "z")], "tree_id BIGINT, newick STRING")
+    pairs = spark.createDataFrame([(12, 30, 4, 0.5), (7, 30, 2, 0.25), (7, 12, 0, 0.0)], "tree_i BIGINT, tree_j BIGINT, rf INT, rrf DOUBLE")
+    write_rf(pairs, trees, str(tmp_path / "rf"), precision=2)
+    lines = [x for f in sorted((tmp_path / "rf").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ["0\t1\t0\t0.00", "0\t2\t2\t0.25", "1\t2\t4\t0.50"]
 
 
 def test_tbe_against_a_loop(spark):
@@ -90,7 +104,7 @@ def test_tbe_against_a_loop(spark):
     ref = similar(spark, 1)
     sets = split_sets(t)
     got = {r["split"]: r["support"] for r in TS.support_tbe([r["split"] for r in T.tree_splits(ref, LABELS).collect()],
-                                                             T.tree_splits(t, LABELS)).collect()}
+                                                             T.tree_splits(t, LABELS), t).collect()}
     for s, _ in nw.splits(nw.parse(ref.first()["newick"]), INDEX):
         b = nw.bits(s)
         p = min(b.sum(), 9 - b.sum())
