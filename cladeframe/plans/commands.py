@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +116,23 @@ class Job:
         return I.Constraint(text, self.labels)
 
 
+class InvalidCharacters(ValueError):
+    """``cells`` is the table of all of them: (part_id, site, taxon_id, symbol)."""
+
+    def __init__(self, message: str, cells: DataFrame):
+        super().__init__(message)
+        self.cells = cells
+
+
+def _by_alphabet(job: Job, step) -> DataFrame:
+    """``step(sites, alphabet)`` over all partitions, with one branch for each alphabet, not for each partition."""
+    groups: dict = {}
+    for p, a in job.alphabets().items():
+        groups.setdefault((a.states, tuple(sorted(a.masks.items()))), (a, []))[1].append(p)
+    every = [step(job.sites.where(F.col("part_id").isin(ids)), a) for a, ids in groups.values()]
+    return reduce(DataFrame.unionByName, every)
+
+
 def validate(job: Job) -> dict:
     """All alignment checks; raises on errors, returns warnings and the reduced view."""
     o, active = job.o, job.o.checks()
@@ -125,21 +143,22 @@ def validate(job: Job) -> dict:
         raise ValueError(f"duplicate sequence names: {dup}")
     fixed = {x: "".join("_" if c in C.RESERVED else c for c in x) for x in job.labels if any(c in C.RESERVED for c in x)}
     out: dict = {"invalid_names": fixed if "msa_names" in active else {}}
-    for p, m in job.models.items():
-        bad = C.invalid_cells(job.sites.where(F.col("part_id") == p), m.alphabet)
-        first = bad.orderBy("site", "taxon_id").limit(10).collect()
-        if first:
-            r = first[0]
-            raise ValueError(f"invalid character {r['symbol']!r} in sequence {r['taxon_id'] + 1} at position {r['site']} "
-                             f"({bad.count()} in total)")
+    bad = _by_alphabet(job, C.invalid_cells)
+    where = bad.select(F.struct("site", "taxon_id", "symbol", "part_id").alias("w")).agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if where["n"]:
+        table = None if o.nofiles else job.name("invalid")
+        if table:
+            bad.repartitionByRange("site", "taxon_id").sortWithinPartitions("site", "taxon_id").select(
+                (F.col("taxon_id") + 1).alias("sequence"), (F.col("site")).alias("position"), "symbol").write.mode(
+                "overwrite" if o.redo else "errorifexists").option("sep", "\t").option("header", True).csv(table)
+        r = where["w"]
+        raise InvalidCharacters(f"invalid character {r['symbol']!r} in sequence {r['taxon_id'] + 1} at position {r['site']} "
+                                f"({where['n']} in total{f', all in {table}' if table else ''})", bad)
     raw = S.compress_patterns(job.sites, weight="weight" if "weight" in job.sites.columns else None)
     gaps = C.undetermined_taxa(raw, job.alphabets()) if "msa_allgaps" in active else []
     pairs = C.identical_taxa(raw, len(job.labels)) if "msa_dups" in active else []
     pairs = [(a, b) for a, b in pairs if a not in gaps and b not in gaps]
-    gap_cols = None
-    for p, m in job.models.items():
-        g = S.gap_columns(job.sites.where(F.col("part_id") == p), m.alphabet).select("part_id", "site")
-        gap_cols = g if gap_cols is None else gap_cols.unionByName(g)
+    gap_cols = _by_alphabet(job, S.gap_columns).select("part_id", "site")
     n_gap = gap_cols.count() if "msa_allgaps" in active else 0
     view = AlignmentView(job.sites, job.labels).rename(out["invalid_names"]).exclude_taxa(set(gaps) | {b for _, b in pairs})
     if n_gap:
@@ -525,6 +544,7 @@ def cmd_terrace(spark, o: Options) -> dict:
     have = {(r["taxon_id"], r["part_id"]) for r in cells.where(known).select("taxon_id", "part_id").distinct().collect()}
     presence = {x: "".join("1" if (i, p.part_id) in have else "0" for p in job.parts) for i, x in enumerate(job.labels)}
     out = {"size": TR.terrace_size(spark, text, presence), "trees": TR.enumerate_terrace(text, presence, o.terrace_max)}
+    out["listed"] = out["trees"] is not None
     if out["trees"]:
         _put(job, "terrace", spark.createDataFrame(list(enumerate(out["trees"])), "tree_id BIGINT, newick STRING"))
     return out

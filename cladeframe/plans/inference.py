@@ -205,9 +205,9 @@ class _Quasi:
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.02, 2.0)
 
 
-def optimise_models(al: PackedAlignment, searches: list[Search], eps: float = 0.1, rounds: int = 30,
+def optimise_models(al: PackedAlignment, searches: list[Search], eps: float = 0.1,
                     scaled: bool = False) -> None:
-    """All free parameters of all partitions of all searches, in lockstep.
+    """All free parameters of all partitions of all searches, in lockstep, until a round gains no more than ``eps`` / 2.
 
     Partitions are independent given the tree, so one pass perturbs parameter i of every
     partition at once: a gradient costs two passes' worth of settings per parameter of the
@@ -224,9 +224,7 @@ def optimise_models(al: PackedAlignment, searches: list[Search], eps: float = 0.
     moved: dict = {}
     live = {k for k in range(len(searches)) if any(not fits[k, p].done for p in parts)}
     delta = 1e-4
-    for _ in range(rounds):
-        if not live:
-            break
+    while live:
         cands, tags = [], []
         for k in sorted(live):
             for i in range(max(len(fits[k, p].x) for p in parts)):
@@ -284,18 +282,18 @@ def optimise_models(al: PackedAlignment, searches: list[Search], eps: float = 0.
                 live.discard(k)
 
 
-def optimise_all(al: PackedAlignment, searches: list[Search], eps: float, linkage: str = "scaled", rounds: int = 10,
+def optimise_all(al: PackedAlignment, searches: list[Search], eps: float, linkage: str = "scaled",
                  lengths: bool = True, models: bool = True) -> None:
     """Alternate models and branch lengths until a round gains no more than ``eps``."""
     live = list(searches)
-    for _ in range(rounds):
+    while live:
         before = [s.loglh for s in live]
         if models:
             optimise_models(al, live, eps, scaled=linkage == "scaled")
         if lengths:
             optimise_lengths(al, live, eps)
         live = [s for s, b in zip(live, before) if s.loglh - b > eps]
-        if not live or not (lengths and models):
+        if not (lengths and models):
             break
     if linkage == "scaled":
         for s in searches:
@@ -414,8 +412,9 @@ def spr_round(al: PackedAlignment, searches: list[Search], lo: int, hi: int, tho
     """One round of subtree moves for every search.
 
     All rearrangements of all searches are scored together; the best ``keep`` of each search
-    go to branch-length fitting (a fixed beam of the algorithm, not of the data), together
-    with a tree that takes several non-overlapping improvements at once.
+    (a beam of the algorithm, not of the data: the same in fast and thorough rounds, 0 while
+    the radius is sought) go to branch-length fitting, together with a tree that takes all
+    improvements that don't overlap at once.
     """
     cands, tags, seen = [], [], {}
     for k, s in enumerate(searches):
@@ -436,15 +435,16 @@ def spr_round(al: PackedAlignment, searches: list[Search], lo: int, hi: int, tho
     owner: list[int] = []
     for k, s in enumerate(searches):
         mine = sorted((i for i, t in enumerate(tags) if t[0] == k), key=lambda i: -val[i])
-        best = mine[:keep if thorough else max(3, keep // 4)]
-        for i in best:
+        for i in mine[:keep]:
             trial.append(replace(s, tree=cands[i].tree, lengths=cands[i].lengths, search_id=len(trial), loglh=val[i]))
             owner.append(k)
-        merged = _merge(s, [tags[i][1] for i in mine if val[i] > s.loglh], constraint)
-        if merged is not None and topology_key(merged) not in seen[k]:
+        merged = _merge(s, [tags[i][1] for i in mine if val[i] > s.loglh], constraint, 2 if keep else 1)
+        if merged is not None and (not keep or topology_key(merged) not in seen[k]):
             trial.append(replace(s, tree=merged, lengths=_inherit(s, merged), search_id=len(trial)))
             owner.append(k)
-    optimise_lengths(al, trial, eps=1.0 if not thorough else 0.1, rounds=4 if not thorough else 10)
+    if not trial:
+        return
+    optimise_lengths(al, trial, eps=1.0 if not thorough else 0.1)
     for t, k in zip(trial, owner):
         if t.loglh > searches[k].loglh:
             searches[k].tree, searches[k].lengths, searches[k].loglh = t.tree, t.lengths, t.loglh
@@ -458,8 +458,8 @@ def _inherit(s: Search, t: Topology) -> dict[int, dict[int, float]]:
     return {p: {v: own.get(v, x) for v, x in length.items()} for p, own in s.lengths.items()}
 
 
-def _merge(s: Search, moves, constraint) -> Topology | None:
-    """Apply improving moves one after the other where their surroundings are untouched."""
+def _merge(s: Search, moves, constraint, least: int) -> Topology | None:
+    """Apply improving moves one after the other where their surroundings are untouched; at least ``least`` of them."""
     t, used, n = s.tree, set(), 0
     for a, b, (u, w) in moves:
         x = {a, b, u, w, *s.tree.near[a]}
@@ -473,7 +473,7 @@ def _merge(s: Search, moves, constraint) -> Topology | None:
             continue
         t, n = new, n + 1
         used |= x
-    return t if n > 1 else None
+    return t if n >= least else None
 
 
 def _connected(t: Topology) -> bool:
@@ -555,7 +555,7 @@ def _detect_radius(al, searches, top, constraint):
     b = min(AUTO_RADIUS_STEP, top)
     while live and b < top:
         before = [s.loglh for s in live]
-        spr_round(al, live, max(1, b - AUTO_RADIUS_STEP + 1), b, False, 1.0, constraint)
+        spr_round(al, live, max(1, b - AUTO_RADIUS_STEP + 1), b, False, 1.0, constraint, keep=0)
         live = [s for s, x in zip(live, before) if s.loglh - x > 0.1]
         b = min(b + AUTO_RADIUS_STEP, top)
         for s in live:

@@ -13,6 +13,7 @@ LINE = re.compile(r"^(?P<model>.+?),(?P<name>[^=,]+)=(?P<ranges>.+)$")
 
 # Suffixes of the result files.
 OUTPUTS = {
+    "invalid": "invalidCells",
     "log": "log", "checkpoint": "ckp", "start_tree": "startTree", "best_tree": "bestTree", "best_model": "bestModel",
     "partition_trees": "bestPartitionTrees", "ml_trees": "mlTrees", "bootstrap_trees": "bootstraps", "support_tree": "support",
     "fbp_support_tree": "supportFBP", "tbe_support_tree": "supportTBE", "terrace": "terrace", "binary_msa": "rba",

@@ -65,6 +65,13 @@ def test_check_reports(spark, tmp_path):
     p.write_text(">a\nACZ\n>b\nACG\n>c\nACT\n>d\nTCG\n")
     with pytest.raises(ValueError, match="invalid character 'Z' in sequence 1 at position 3"):
         go(spark, f"--check --msa {p} --model GTR --nofiles")
+    # every bad symbol is reported, not the first ones
+    p.write_text(">a\n" + "ACZ" * 8 + "\n>b\n" + "ACG" * 8 + "\n>c\n" + "AJT" * 8 + "\n>d\n" + "TCG" * 8 + "\n")
+    with pytest.raises(ValueError, match="16 in total") as e:
+        go(spark, f"--check --msa {p} --model GTR --prefix {tmp_path}/bad")
+    assert e.value.cells.count() == 16
+    lines = [x for f in sorted(tmp_path.glob("bad*invalidCells*/part-*")) for x in f.read_text().splitlines() if not x.startswith("sequence")]
+    assert len(lines) == 16 and lines[0] == "3\t2\tJ"
     p.write_text(">a b\nACG\n>b\nACC\n>c\nACT\n>d\nTCG\n")
     with pytest.raises(ValueError, match="reserved"):
         go(spark, f"--check --msa {p} --model GTR --nofiles")
@@ -201,6 +208,7 @@ def test_terrace_size_against_enumeration(spark, pattern):
     sets = [{x for x in labels if presence[x][p] == "1"} for p in range(2)]
     want = sum(all(induced(u, s) == induced(t, s) for s in sets) for u in unrooted(labels))
     assert TR.terrace_size(spark, text, presence) == want
+    assert want < 2 or TR.enumerate_terrace(text, presence, want - 1) is None
     got = TR.enumerate_terrace(text, presence, 1000)
     assert len(set(got)) == want
     for g in got:
