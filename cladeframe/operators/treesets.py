@@ -6,17 +6,19 @@ of the same group: sums over pairs of trees come from counts per split.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
 from cladeframe.functions.rng import with_hash31
-from cladeframe.operators.trees import _id_type
+from cladeframe.operators.trees import _id_type, _per_tree
 
 PAIR_BLOCK = 512
 GREEDY_BATCH = 4096
@@ -35,19 +37,26 @@ def relative(rf: Column, n_taxa: int) -> Column:
     return rf / float(2 * (n_taxa - 3))
 
 
-def rf_average(splits: DataFrame, trees: DataFrame, n_taxa: int) -> DataFrame:
+def rf_average(trees: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Mean pairwise distance and number of distinct topologies, in linear work.
 
     Each split held by c of T trees is shared by c(c-1)/2 pairs, and every tree takes part
-    in T-1 pairs, so the sum over pairs needs no pair.
+    in T-1 pairs, so the sum over pairs needs no pair.  A tree is parsed once: its splits and
+    a digest of all of them (equal for trees without any) are counted in the same pass.
     """
-    c = split_counts(splits).agg(F.sum("n").cast("double").alias("_all"),
-                                 F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("_shared"))
-    c = c.withColumn("_t", trees.agg(F.count(F.lit(1)).cast("double")).scalar())
-    avg = F.try_divide(F.col("_all") * (F.col("_t") - 1) - 2 * F.col("_shared"), F.col("_t") * (F.col("_t") - 1) / 2)
-    avg = F.coalesce(avg, F.lit(0.0))  # no split at all (star trees), or a single tree
-    return c.select(avg.alias("avg_rf"), relative(avg, n_taxa).alias("avg_rrf"),
-                    unique_topologies(splits, trees).scalar().alias("unique_trees"))
+    index = {x: i for i, x in enumerate(labels)}
+
+    def rows(_, text):
+        held = sorted({s for s, _ in nw.splits(nw.parse(text), index)})
+        return [(False, s) for s in held] + [(True, hashlib.sha256(",".join(held).encode()).hexdigest())]
+
+    n = _per_tree(trees, rows, "whole BOOLEAN, k STRING").groupBy("whole", "k").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    part = lambda v, whole: F.coalesce(F.sum(F.when(F.col("whole") == whole, v)), F.lit(0.0))
+    c = n.agg(part(F.col("n"), False).alias("_all"), part(F.col("n") * (F.col("n") - 1), False).alias("_shared"),
+              part(F.col("n"), True).alias("_t"), F.count_if("whole").alias("unique_trees"))
+    avg = F.try_divide(F.col("_all") * (F.col("_t") - 1) - F.col("_shared"), F.col("_t") * (F.col("_t") - 1) / 2)
+    avg = F.coalesce(avg, F.lit(0.0))  # a single tree
+    return c.select(avg.alias("avg_rf"), relative(avg, len(labels)).alias("avg_rrf"), "unique_trees")
 
 
 def topology_keys(splits: DataFrame) -> DataFrame:
@@ -187,9 +196,11 @@ def consensus_mre(counts: DataFrame, n_trees: int, n_taxa: int) -> DataFrame:
     Majority splits are mutually compatible and at most n-3.  The rest are filtered in
     parallel against everything accepted, and only a bounded best batch of the survivors is
     ranked centrally per round; an accepted batch prunes the pool for the next one, until
-    the tree is full or the pool is empty, so no candidate is ever skipped.
+    the tree is full or the pool is empty, so no candidate is ever skipped.  The counts are
+    kept for the rounds, which so don't parse the trees again.
     """
     spark = counts.sparkSession
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     rank = [F.col("n").desc(), F.col("split")]
     taken = [(r.split, r.n) for r in counts.where(F.col("n") / n_trees > 0.5).collect()]
     pool = counts.where(F.col("n") / n_trees <= 0.5)
@@ -215,7 +226,8 @@ def consensus_mre(counts: DataFrame, n_trees: int, n_taxa: int) -> DataFrame:
         if len(batch) < GREEDY_BATCH:
             break
         last = (batch[-1].split, batch[-1].n)
-    return spark.createDataFrame(taken, "split STRING, n BIGINT") if taken else counts.limit(0)
+    counts.unpersist()
+    return spark.createDataFrame(taken, "split STRING, n BIGINT")
 
 
 def consensus_splits(splits: DataFrame, n_trees: int, n_taxa: int, kind: str = "MR") -> DataFrame:

@@ -92,7 +92,7 @@ def rf_relative(spark, d):
 @query(f"WITH {SUP}, {_RF} SELECT round(avg(rf),6) AS avg_rf, round(avg(rf)/8.0,6) AS avg_rrf, {_UNIQ} AS unique_trees FROM rf")
 def rf_average(spark, d):
     t = supplier_trees(spark, d)
-    r = TS.rf_average(splits(t, LINES), t, 7)
+    r = TS.rf_average(t, LINES)
     return r.select(r6("avg_rf").alias("avg_rf"), r6("avg_rrf").alias("avg_rrf"), "unique_trees")
 
 
@@ -101,7 +101,7 @@ a AS (SELECT ((SELECT sum(n) FROM c) * (t - 1) - (SELECT sum(n * (n - 1)) FROM c
 SELECT round(avg_rf, 6) AS avg_rf, round(avg_rf / 8, 6) AS avg_rrf, {_UNIQ} AS unique_trees FROM a""")
 def rf_lowmem(spark, d):
     t = part_trees(spark, d)
-    r = TS.rf_average(splits(t, LINES), t, 7)
+    r = TS.rf_average(t, LINES)
     return r.select(r6("avg_rf").alias("avg_rf"), r6("avg_rrf").alias("avg_rrf"), "unique_trees")
 
 

@@ -496,7 +496,7 @@ def cmd_rfdist(spark, o: Options) -> dict:
     labels = _tips(trees.orderBy("tree_id").first()["newick"])
     _same_taxa(trees, labels)
     s = T.tree_splits(trees, labels).select("tree_id", "split")
-    out = {"summary": TS.rf_average(s, trees, len(labels))}
+    out = {"summary": TS.rf_average(trees, labels)}
     if not o.nofiles:
         out["pairs"] = TS.rf_pairwise(s, trees, len(labels))
         sinks.write_rf(out["pairs"], trees, output_name("rfdist", o.prefix), o.redo, o.precision)

@@ -64,7 +64,7 @@ def test_rf_is_a_metric_and_blocks_agree(spark):
     for block in (4, 512):
         got = {(r["tree_i"], r["tree_j"]): r["rf"] for r in TS.rf_pairwise(s, t, 9, block).collect()}
         assert got == {(i, j): len(sets[i] ^ sets[j]) for i, j in itertools.combinations(sorted(sets), 2)}
-    avg = TS.rf_average(s, t, 9).first()
+    avg = TS.rf_average(t, LABELS).first()
     assert np.isclose(avg["avg_rf"], np.mean(list(got.values()))) and np.isclose(avg["avg_rrf"], avg["avg_rf"] / 12)
     assert avg["unique_trees"] == len({frozenset(x) for x in sets.values()})
 
@@ -74,7 +74,7 @@ def test_star_trees_have_no_splits(spark):
     t = spark.createDataFrame([(0, star), (1, star), (2, randoms(spark, 1).first()["newick"])], "tree_id BIGINT, newick STRING")
     s = T.tree_splits(t, LABELS).select("tree_id", "split")
     assert {(r["tree_i"], r["tree_j"]): r["rf"] for r in TS.rf_pairwise(s, t, 9).collect()} == {(0, 1): 0, (0, 2): 6, (1, 2): 6}
-    assert TS.rf_average(s, t, 9).first()["unique_trees"] == 2
+    assert TS.rf_average(t, LABELS).first()["unique_trees"] == 2
 
 
 def test_support_of_identical_trees(spark):
