@@ -1,7 +1,7 @@
 """Visible text of HTML pages as a browser would lay it out.
 
 A tree builder with implied tags and a visibility test make a tree; rendering walks it and keeps block spacing, lists and
-aligned table cells.
+aligned table cells.  Of SVG the ``text`` and ``foreignObject`` elements show their text, of MathML all but annotations.
 """
 
 from __future__ import annotations
@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame, types as T
 
 from cladeframe.llm.common import map_slices, without
 
-#: Elements below this depth are added to the one at it, as browsers do; the text stays.
+#: Elements below this depth are opened and closed like others, but what they hold is added to the one at it; the text stays.
 DEPTH = 200
 #: Table columns are padded up to this width; a longer cell sticks out.
 COLUMN = 60
 #: How HTML's elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes xmp".split())
-UNSEEN = RAW | frozenset("head title meta link base object video audio canvas svg math datalist".split())
+UNSEEN = RAW | frozenset("head title meta link base object video audio canvas datalist".split())
+#: What may stand in a head without ending it.
+HEAD = RAW - {"iframe", "noembed", "xmp"} | frozenset("head title meta link base basefont bgsound".split())
+#: Where HTML begins again inside SVG and MathML, their parts that show nothing, and tags of HTML that end them.
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol marker pattern clippath mask filter lineargradient radialgradient annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure fieldset table hr".split())
 BLOCKS = SPACED | frozenset("html body main section article aside header footer nav address div center form li dt dd details summary figcaption legend hgroup search option optgroup dialog".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
@@ -33,27 +39,32 @@ ENDS = {
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "caption": ({"caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"body"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: What begins and ends on a line of its own.
+APART = BLOCKS | SECTIONS | frozenset("tr td th caption".split())
 CLOSE_P = BLOCKS - {"html", "body", "option", "optgroup"}
 P_SCOPE = frozenset("td th table button caption object".split())
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.S)
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+UNQUOTED = re.compile(r"=\s*+[^\s\"'>]++\Z")
+BLANK = " \t\n\r\f"
 BLANKS = re.compile("[ \t\n\r\f]+")
 BREAK = "\0"
 
 
 class Node:
-    __slots__ = ("tag", "kids", "number", "span", "unseen")
+    __slots__ = ("tag", "kids", "number", "span", "unseen", "space")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.kids, self.number, self.span = tag, [], None, 1
-        self.unseen = tag in UNSEEN
+    def __init__(self, tag: str, attributes: str = "", space: str = ""):
+        """``space`` is "math", "svg", "text" (inside an SVG text) or, for HTML, empty."""
+        self.tag, self.kids, self.number, self.span, self.space = tag, [], None, 1, space
+        self.unseen = tag in UNSEEN or space != "" and tag in FOREIGN_UNSEEN
         if attributes and not attributes.isspace():
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "style" and HIDES.search(value):
+                if name == "hidden" or name == "style" and HIDES.search(value) or space and name in ("display", "visibility") and HIDES.match(f"{name}:{value}"):
                     self.unseen = True
                 elif name in ("start", "value") and re.fullmatch(r"-?\d{1,9}", value):
                     self.number = int(value)
@@ -65,22 +76,57 @@ def tree(page: str) -> Node:
     """The tree of a page; never fails, however broken the markup is."""
     root = Node("html")
     open_ = [root]
+    places: dict[str, list[int]] = {}  # of the open elements but the root, by tag
     at, end = 0, len(page)
+    begun = False  # something that ends or begins the head has come
+
+    def last(tags) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=0)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(open_))
+        open_.append(node)
+
+    def drop(i: int) -> None:
+        apart = i >= DEPTH and any(n.tag in APART for n in open_[i:])
+        for n in open_[i:]:
+            places[n.tag].pop()
+        del open_[i:]
+        if apart:
+            open_[-1].kids.append(Node("div"))
 
     def close(tags, scope) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                # an outer one of the kinds may be open too (a section around a row)
-                del open_[i:]
-                if len(tags) > 2:
-                    close(tags, scope)
-                return
-            if open_[i].tag in scope:
-                return
+        while (i := last(tags)) and i >= last(scope):
+            drop(i)
+            if len(tags) <= 2:
+                break  # else an outer one of the kinds may be open too (a section around a row)
+
+    def foreign() -> bool:
+        return open_[-1].space != "" and open_[-1].tag not in POINTS
 
     def add(text: str) -> None:
-        if not (text.isspace() and (open_[-1].tag in SECTIONS or open_[-1].tag in ("table", "tr"))):
-            open_[-1].kids.append(text)
+        nonlocal begun
+        if text.strip(BLANK):
+            begun = True
+            if open_[-1].tag == "head":
+                drop(len(open_) - 1)
+        top = open_[-1]
+        if top.space == "svg" and top.tag not in POINTS:
+            return  # not in an SVG text
+        if not (text.isspace() and (top.tag in SECTIONS or top.tag in ("table", "tr"))):
+            top.kids.append(text)
+
+    def put(node: Node, opens: bool) -> None:
+        """Add to the innermost element.  Below DEPTH an element that opens shares its list, or holds a lost one if unseen."""
+        if opens and len(open_) >= DEPTH:
+            if node.tag in APART:
+                open_[-1].kids.append(Node("div"))
+            if not node.unseen:
+                node.kids = open_[-1].kids
+        else:
+            open_[-1].kids.append(node)
+        if opens:
+            push(node)
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -91,20 +137,39 @@ def tree(page: str) -> Node:
             add(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
+            if foreign() and page.startswith("<![CDATA[", m.start()):
+                stop = page.find("]]>", m.start() + 9)
+                add(page[m.start() + 9 : stop if stop >= 0 else end])
+                at = stop + 3 if stop >= 0 else end
             continue
         tag = m[2].lower()
         if m[1]:
+            if open_[-1].tag == "head" and tag in ("br", "body", "html"):
+                drop(len(open_) - 1)
             if tag == "br":
                 open_[-1].kids.append(Node("br"))
                 continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("td", "th", "table") and tag not in SECTIONS and tag not in ("table", "tr", "td", "th", "body"):
-                    break
+            i = last((tag,))
+            if i and (tag in SECTIONS or tag in ("table", "tr", "td", "th", "body") or i > last(("td", "th", "table"))):
+                drop(i)
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in open_):
+        if foreign():
+            if tag not in BREAKOUT:
+                top = open_[-1]
+                space = tag if tag in ("svg", "math") else "text" if top.space == "svg" and tag == "text" else top.space
+                put(Node(tag, m[3], space), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
+                continue
+            i = len(open_) - 1
+            while open_[i].space != "" and open_[i].tag not in POINTS:
+                i -= 1
+            drop(i + 1)
+        if tag == "html" or tag == "body" and places.get("body") or tag == "head" and begun:
+            continue
+        begun = True
+        if open_[-1].tag == "head" and tag not in HEAD:
+            drop(len(open_) - 1)
+        if tag in ("svg", "math"):
+            put(Node(tag, m[3], tag), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
             continue
         if tag in CLOSE_P:
             close({"p"}, P_SCOPE)
@@ -113,28 +178,22 @@ def tree(page: str) -> Node:
         elif tag == "table" and (open_[-1].tag in SECTIONS or open_[-1].tag in ("table", "tr")):
             close({"table"}, {"td", "th"})
         if tag in ("td", "th"):
-            if not any(n.tag == "table" for n in open_):
+            if not places.get("table"):
                 continue
             if open_[-1].tag not in ("tr",):
-                row = Node("tr")
-                open_[-1].kids.append(row)
-                open_.append(row)
+                put(Node("tr"), True)
         elif tag in SECTIONS or tag in ("tr", "caption"):
             if open_[-1].tag != "table" and open_[-1].tag not in SECTIONS:
                 continue
         node = Node(tag, m[3])
-        open_[-1].kids.append(node)
-        if tag in VOID:
-            continue
-        if tag in RAW or tag in ("title", "textarea"):
+        raw = tag in RAW or tag in ("title", "textarea")
+        put(node, not raw and tag not in VOID)
+        if raw:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             if tag == "textarea":
                 node.kids.append(html.unescape(page[at : stop.start() if stop else end]))
             after = page.find(">", stop.end() - 1) if stop else -1
             at = after + 1 if after >= 0 else end
-            continue
-        if len(open_) < DEPTH:
-            open_.append(node)
     return root
 
 
@@ -183,7 +242,7 @@ def walk(node: Node, out: Flow, tight: bool) -> None:
             continue
         if tag == "br":
             out.run.append(BREAK)
-        elif tag not in BLOCKS and tag not in SECTIONS and tag not in ("tr", "td", "th", "caption"):
+        elif tag not in APART and not (kid.space and tag in ("text", "foreignobject")):
             walk(kid, out, tight)
         else:
             between = out.gap if tag in SPACED and not (tight and tag in ("ul", "ol", "menu")) else out.flush

@@ -303,6 +303,28 @@ def test_page(page, text):
     assert htmltext.render(page) == text
 
 
+WHOLE_PAGES = [
+    ("<!doctype html><html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\n Hello <b>you", "Hello you"),
+    ("<head><style>a</style><link rel=x><script>b</script><div>c</div>", "c"), ("<head><title>T</title></head><body>a", "a"), ("<p>a<head><p>b", "a\n\nb"),
+    ("<html><head>&nbsp;a", "\xa0a"), ("<head></p></div><title>no</title></body>a", "a"),
+    ("a<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs>no<path d='M0'/><text>b <tspan>c</tspan></text><text display='none'>no</text></svg>d", "a\nb c\nd"),
+    ("<svg><style/><text><![CDATA[a>b]]></text><foreignObject><p>c</p></foreignObject></svg>d", "a>b\n\nc\n\nd"),
+    ("x <math><mi>y</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> z", "x y=1 z"), ("<svg><path><p>a", "a"), ("<a href=/><svg/>b</a>c", "bc"),
+    ("<svg>" + "<path/>" * 400 + "<text>a</text></svg>b", "a\nb"),
+    ("<div hidden>" + "<div>" * 250 + "no" + "</div>" * 250 + "no</div>yes", "yes"), ("<div>" * 250 + "a<div hidden>no<div>no</div>no</div>b" + "</div>" * 250 + "c", "a\nb\nc"),
+    ("<section hidden>" + "<b>" * 199 + "<section>no</section>no" + "</b>" * 199 + "no</section>yes", "yes"), ("<i>" * 250 + "a<br>b<script>no</script>c", "a\nbc"),
+]
+
+
+@pytest.mark.parametrize("page,text", WHOLE_PAGES)
+def test_whole_page(page, text):
+    assert htmltext.render(page) == text
+
+
+def test_deep_page_in_linear_time():
+    assert htmltext.render("<p><button>" + "<div>" * 100_000 + "x" + "</div>" * 100_000 + "y") == "x\ny"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</b>", "<div>", "</div>", "<br>", "w1 ", "w2 ", "w3 "]), max_size=40))
 def test_no_text_is_lost(parts):
