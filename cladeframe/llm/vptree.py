@@ -29,11 +29,19 @@ def usable(vector: str) -> Column:
 
 
 def build(x: np.ndarray, ids: np.ndarray, k: int) -> dict:
-    """Tree over one shard.  Equal vectors are one point, with its k + 1 smallest ids (a query leaves out its own)."""
+    """Tree over one shard.  Equal vectors are one point, with its k + 1 smallest different ids (a query leaves out its own).
+
+    An id with several vectors is at several points, of which one is its main point.
+    """
     order = np.lexsort([ids, *x.T])
     x, ids = x[order], ids[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)]) if len(x) else np.zeros(0, bool)
+    other = new.copy()
+    other[1:] |= ids[1:] != ids[:-1]
+    x, ids, new = x[other], ids[other], new[other]
     first = np.flatnonzero(new)
+    main = np.zeros(len(first), bool)
+    main[np.searchsorted(first, np.unique(ids, return_index=True)[1], "right") - 1] = True
     length = np.diff(np.append(first, len(x)))
     points = x[first]
     # scaling by the largest component first, so that no square overflows or vanishes
@@ -62,11 +70,11 @@ def build(x: np.ndarray, ids: np.ndarray, k: int) -> dict:
 
     if len(points):
         split(np.arange(len(points)))
-    return {"points": points, "unit": unit, "names": names, "nodes": nodes}
+    return {"points": points, "unit": unit, "names": names, "main": main, "nodes": nodes}
 
 
 def search(tree: dict, q: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, cosine) of at least the k best of the tree for each query; ties to smaller ids."""
+    """(query row, id, cosine) of the k best ids of the tree for each query, each id by its best vector; ties to smaller ids."""
     scaled = q / np.abs(q).max(1, keepdims=True)
     norm = np.linalg.norm(scaled, axis=1)
     unit = scaled / norm[:, None]
@@ -79,7 +87,8 @@ def search(tree: dict, q: np.ndarray, own: np.ndarray, k: int, factor: float) ->
         d = np.sqrt(np.maximum(2 - 2 * (unit[rows] @ tree["unit"][at].T), 0))
         hit, point = np.nonzero(d <= kth[rows, None] + SLACK)
         found.append((rows[hit], at[point], d[hit, point]))
-        part = np.partition(np.concatenate([best[rows], d], axis=1), k, axis=1)[:, : k + 1]
+        # k + 1 main points are of as many ids, so at least k others are no farther than the last of them
+        part = np.partition(np.concatenate([best[rows], d[:, tree["main"][at]]], axis=1), k, axis=1)[:, : k + 1]
         best[rows] = part
         kth[rows] = part.max(1)
 
@@ -119,6 +128,11 @@ def search(tree: dict, q: np.ndarray, own: np.ndarray, k: int, factor: float) ->
     p = points[at]
     p_scaled = p / np.abs(p).max(1, keepdims=True)
     cosine = np.clip(np.einsum("ij,ij->i", scaled[rows], p_scaled) / (norm[rows] * np.linalg.norm(p_scaled, axis=1)), -1, 1) if len(rows) else np.zeros(0)
+    order = np.lexsort([-cosine, ids, rows])
+    rows, ids, cosine = rows[order], ids[order], cosine[order]
+    once = np.ones(len(rows), bool)
+    once[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+    rows, ids, cosine = rows[once], ids[once], cosine[once]
     order = np.lexsort([ids, -cosine, rows])
     rows, ids, cosine = rows[order], ids[order], cosine[order]
     begin = np.searchsorted(rows, np.arange(len(q)))
@@ -127,7 +141,7 @@ def search(tree: dict, q: np.ndarray, own: np.ndarray, k: int, factor: float) ->
 
 
 def index(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(shard, tree): every usable vector is in one tree; trees are stored in the shared folder."""
+    """(shard, tree): every usable vector is in one tree, rows that repeat it under its id once; trees are stored in the shared folder."""
     v = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.size(vector).alias("size"))
     shards = max(1, -(-v.count() // SHARD))
 
@@ -137,20 +151,21 @@ def index(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedd
             trees.append((size, build(np.stack(g["x"].to_numpy()), g["id"].to_numpy(), k)))
         return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "tree": [pickle.dumps(dict(trees), protocol=5)]})
 
-    rows = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    rows = v.distinct().withColumn("shard", F.pmod(F.xxhash64("id", "x"), F.lit(shards)).cast("int"))
     return stored(rows.groupBy("shard").applyInPandas(grow, "shard int, tree binary"), "trees")
 
 
 def nearest(queries: DataFrame, trees: DataFrame, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each usable query but itself, the nearest first, ties to smaller ids.
 
-    Queries come in blocks and each block meets each tree once, so tasks hold one tree and one block.  Rows that repeat an id
-    are one vector each; a query's own id is never among its neighbours.  No usable query or vector: no row.
+    Queries come in blocks and each block meets each tree once, so tasks hold one tree and one block.  Neighbours are
+    different ids, never the query's own: rows that repeat an id with its vector count once, and an id with several vectors has the
+    score of the nearest, whether it asks or is found.  No usable query or vector: no row.
     """
-    q = queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    q = queries.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x")).distinct()
     blocks, shards = max(1, -(-q.count() // BLOCK)), trees.agg(F.max("shard")).first()[0]
     every = F.sequence(F.lit(0), F.lit(0 if shards is None else shards))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(every))
+    q = q.withColumn("block", F.pmod(F.xxhash64("id", "x", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(every))
     t = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -167,6 +182,7 @@ def nearest(queries: DataFrame, trees: DataFrame, k: int = 5, factor: float = 1.
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     found = t.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may be in several trees
     best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     top = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("p", "b"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))

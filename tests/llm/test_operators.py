@@ -257,6 +257,32 @@ def test_neighbours(spark):
     assert vptree.nearest(v.limit(3), vptree.index(e, 5)).count() == 0 and vptree.nearest(e, vptree.index(v, 5)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8192, 40])
+def test_neighbours_of_repeated_rows(spark, monkeypatch, shard):
+    monkeypatch.setattr(vptree, "SHARD", shard)
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, np.round(rng.normal(size=4), 2)) for i in range(120)]
+    rows += [(1000, rows[0][1] * 1.01)] * 6 + [(5, rows[5][1])] * 9  # copies of a neighbour, and of a query
+    rows += [(i, rows[7][1]) for i in range(200, 220) for _ in range(8)]  # many ids, one vector, each repeated
+    rows += [(9, rows[9][1] + 0.001 * j) for j in range(12)] + [(300, rows[11][1] * j) for j in range(1, 9)] + [(301, rows[11][1] + 0.001 * j) for j in range(9)]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    asked = [0, 5, 7, 9, 11, 210, 300, 1000]
+    got = collections.defaultdict(list)
+    for r in vptree.nearest(v.where(F.col("vec_id").isin(asked)), vptree.index(v, 5), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for q in asked:
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = max([best.get(i, -1.0), *(round(cosine(x, y), 12) for j, y in rows if j == q)])
+        want = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:5]
+        assert [r for r, _, _ in got[q]] == [1, 2, 3, 4, 5] and len({n for _, n, _ in got[q]}) == 5
+        assert np.allclose([s for _, _, s in got[q]], [s for _, s in want], atol=1e-9)
+        assert all(abs(best[n] - s) < 1e-9 for _, n, s in got[q])
+
+
 def test_neighbours_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     trees = vptree.index(v, 5)
