@@ -68,7 +68,7 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return urlmodel.judge(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    return urlmodel.judge(table(spark, sf, "pages").select("page_id", "url"), order=5, folded=False).select("page_id", "host", "path", "rule", "verdict")
 
 
 Q = {f.__name__: f for f in (op1_language, op2_bpe, op3_near_duplicates, op4_neighbours, op5_exact_dedup, op6_toxicity, op7_html, op8_repeats, op9_packing, op10_urls)}

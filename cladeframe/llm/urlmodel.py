@@ -2,8 +2,8 @@
 
 Two smoothed variable-order Markov models over characters, one for accepted and one for rejected URLs, give a
 log-likelihood difference, divided by the length of the URL; a threshold calibrated on the URLs decided by rules splits
-it.  Everything is a DataFrame expression: counts are a grouped aggregate over all decided URLs, the models one table of
-``SYMBOLS ** (order + 1)`` differences, whatever the size of the corpus.
+it.  Everything is a DataFrame expression: counts are grouped aggregates over all decided URLs, the models tables of the grams
+of each order that occur, which grow with the corpus, and shorter contexts are met by ordinary joins.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cladeframe.llm.common import free_name, stored, without
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Symbols of the models: letters without case, any digit, dot, slash, hyphen, any other ASCII, and all the rest (also what
+#: Symbols of folded models: letters without case, any digit, dot, slash, hyphen, any other ASCII, and all the rest (also what
 #: stands before the beginning).
 REST = "*"
 ALPHABET = LETTERS + "0./-?" + REST
 SYMBOLS = len(ALPHABET)
+#: What stands before the beginning of a URL whose characters are kept: no character.
+START = "\uffff"
+#: Grams that make up more than one of this many places are joined by broadcast, so there are fewer of them than this.
+COMMON = 2000
 #: Resolution and reach of the calibration, in nats per character.
 STEP, REACH = 0.01, 20.0
 
@@ -58,8 +62,10 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return functools.reduce(lambda c, r: c.when(fits(r), r.name), ordered, F.when(F.lit(False), F.lit(None).cast("string")))
 
 
-def symbols(url: str, order: int) -> Column:
-    """A URL in symbols, after ``order`` symbols for its beginning."""
+def symbols(url: str, order: int, folded: bool = True) -> Column:
+    """A URL in symbols, or in its own characters, after ``order`` symbols for its beginning."""
+    if not folded:
+        return F.concat(F.lit(START * order), F.translate(F.coalesce(F.col(url), F.lit("")), START, "\ufffd"))
     plain = F.translate(F.lower(F.coalesce(F.col(url), F.lit(""))), "123456789" + REST, "0" * 9 + "?")
     plain = F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", REST), r"[^a-z0./?*-]", "?")
     return F.concat(F.lit(REST * order), plain)
@@ -71,44 +77,57 @@ def grams(rows: DataFrame, code: str, order: int, to: str) -> DataFrame:
     return rows.withColumn(to, F.explode_outer(places)).withColumn(to, F.substring(F.col(code), F.col(to), F.lit(order + 1)))
 
 
-def model(decided: DataFrame, order: int = 2) -> DataFrame:
-    """(g, difference): log P(accepted) - log P(rejected) of the last character of each gram after the ones before it.
+def model(urls: DataFrame, order: int, symbols: int | None) -> DataFrame:
+    """(g, n, difference, own1, own0) of every gram of ``order`` + 1 characters in ``code`` of ``urls``.
 
-    ``decided`` has ``code`` and ``accepted`` of the URLs that rules decide.  Each order mixes its relative frequencies with
-    the next lower order's by the number of different characters seen in the context (Witten and Bell); below order 0
-    stands the uniform distribution.  A context that was never seen is thus judged by its longest seen ending.
+    ``difference`` is log P(accepted) - log P(rejected) of the last character after the ones before it, learnt from the URLs
+    with ``accepted``; in the others it is null and only their grams count.  Each order mixes its relative frequencies with the next
+    lower order's by the number of different characters seen in the context (Witten and Bell); below order 0 stands the uniform
+    distribution over ``symbols`` (None: over the characters that occur).  A context that was never seen is thus judged by its
+    longest seen ending.  ``own1`` and ``own0`` are the differences for a place of an accepted and a rejected URL by the counts
+    without that place.
     """
-    seen = grams(decided, "code", order, "g").where(F.col("g").isNotNull())
-    counts = seen.groupBy("g").agg(*[F.sum((F.col("accepted") == a).cast("bigint")).alias(n) for n, a in (("c1", True), ("c0", False))])
-    digit = lambda k: F.substring(F.lit(ALPHABET), (F.floor(F.col("id") / SYMBOLS**k) % SYMBOLS + 1).cast("int"), F.lit(1))
-    grid = decided.sparkSession.range(SYMBOLS ** (order + 1)).select(F.concat(*[digit(k) for k in range(order, -1, -1)]).alias("g"))
-    full = grid.join(counts, "g", "left").na.fill(0, ["c1", "c0"])
-    # lower orders are sums over the full grid, so their sizes are fixed too
-    levels = full.withColumns({"p1": F.lit(1.0 / SYMBOLS), "p0": F.lit(1.0 / SYMBOLS)})
-    for k in range(order + 1):
-        ending, context = F.substring("g", order + 1 - k, k + 1), F.substring("g", order + 1 - k, k)
-        per = full.groupBy(ending.alias("l")).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-        tot = per.groupBy(F.substring("l", 1, k).alias("x")).agg(
-            *[F.sum(f"n{a}").alias(f"t{a}") for a in "10"], *[F.sum((F.col(f"n{a}") > 0).cast("bigint")).alias(f"d{a}") for a in "10"])
-        levels = levels.withColumns({"l": ending, "x": context}).join(per, "l").join(tot, "x")
-        mixed = {f"p{a}": F.when(F.col(f"t{a}") > 0, (F.col(f"n{a}") + F.col(f"d{a}") * F.col(f"p{a}")) / (F.col(f"t{a}") + F.col(f"d{a}"))).otherwise(F.col(f"p{a}")) for a in "10"}
-        levels = levels.withColumns(mixed).select("g", "c1", "c0", "p1", "p0")
-    return levels.select("g", (F.log("p1") - F.log("p0")).alias("difference"))
-
-
-def with_ratio(rows: DataFrame, code: Column, difference: DataFrame, order: int) -> DataFrame:
-    """Rows with ``ratio``, the mean difference per character; 0 for an empty URL.
-
-    The table of differences has ``SYMBOLS ** (order + 1)`` rows whatever the corpus, so it is broadcast.  The characters of a
-    row are summed before the shuffle, in the task that split it.
+    seen = grams(urls, "code", order, "g").where(F.col("g").isNotNull())
+    counts = [seen.groupBy("g").agg(F.count_if("accepted").alias("c1"), F.count_if(~F.col("accepted")).alias("c0"), F.count(F.lit(1)).alias("n"))]
+    counts[0] = stored(counts[0], "grams")
+    for k in range(order, 0, -1):  # every place has one gram of each order, so shorter ones are sums over longer ones
+        counts.insert(0, stored(counts[0].groupBy(F.substring("g", 2, k).alias("g")).agg(*[F.sum(c).alias(c) for c in ("c1", "c0", "n")]), "grams"))
+    below = None
+    uniform = F.lit(1.0 / (symbols or max(1, counts[0].count())))
+    for k, per in enumerate(counts):
+        tot = per.groupBy(F.substring("g", 1, k).alias("x")).agg(
+            *[F.sum(f"c{a}").alias(f"t{a}") for a in "10"], *[F.count_if(F.col(f"c{a}") > 0).alias(f"d{a}") for a in "10"])
+        rows = per.withColumn("x", F.substring("g", 1, k)).join(tot, "x")
+        if below is None:
+            rows = rows.withColumns({c: uniform for c in ("p1", "p0", "q1", "q0")})
+        else:
+            rows = rows.withColumn("l", F.substring("g", 2, k)).join(below.withColumnRenamed("g", "l").drop("n"), "l")
+        mixed = {}
+        for a in "10":
+            c, t, d, p, q = (F.col(f"{x}{a}") for x in "ctdpq")
+            mixed[f"p{a}"] = F.when(t > 0, (c + d * p) / (t + d)).otherwise(p)
+            rest = d - (c == 1).cast("int")
+            mixed[f"q{a}"] = F.when((c > 0) & (t > 1), (c - 1 + rest * q) / (t - 1 + rest)).otherwise(q)
+        below = stored(rows.withColumns(mixed).select("g", "n", "p1", "p0", "q1", "q0"), "urlmodel")
+    log = {c: F.log(c) for c in ("p1", "p0", "q1", "q0")}
+    return below.select("g", "n", (log["p1"] - log["p0"]).alias("difference"), (log["q1"] - log["p0"]).alias("own1"), (log["p1"] - log["q0"]).alias("own0"))
+
+
+def ratios(urls: DataFrame, difference: DataFrame, order: int) -> DataFrame:
+    """(row, ratio, own) of the URLs that aren't empty: mean difference per character, and for decided ones that without their own places.
+
+    The table grows with the corpus, so places are joined to it by their gram; grams that are common (fewer than ``COMMON``)
+    are joined by broadcast, as all their places would meet in one task.
     """
-    row, g, c = (free_name(rows, n) for n in ("row", "g", "code"))
-    split = grams(rows.withColumn(row, F.monotonically_increasing_id()).withColumn(c, code), c, order, g)
-    joined = split.join(F.broadcast(difference.select(F.col("g").alias(g), F.col("difference").alias(f"{g}v"))), g, "left")
-    maps = [f.name for f in rows.schema if "map<" in f.dataType.simpleString()]  # can't be grouped by
-    mean = F.coalesce(F.avg(f"{g}v"), F.lit(0.0)).alias("ratio")
-    out = joined.groupBy(row, *[f"`{c}`" for c in rows.columns if c not in maps]).agg(*[F.first(f"`{c}`").alias(c) for c in maps], mean)
-    return out.select(*[f"`{c}`" for c in rows.columns], "ratio")
+    places = difference.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = difference.withColumn("common", F.col("n") * COMMON > places).drop("n")
+    common, others = table.where("common").drop("common"), table.where("NOT common").drop("common")
+    split = grams(urls, "code", order, "g").where(F.col("g").isNotNull()).select("row", "g", "accepted")
+    rare = split.join(F.broadcast(common.select("g")), "g", "left_anti")
+    met = split.join(F.broadcast(common), "g").unionByName(rare.join(others, "g"))
+    own = F.when(F.col("accepted"), F.col("own1")).when(~F.col("accepted"), F.col("own0"))
+    # sums in another order differ in the last places, and equal URLs shall get equal verdicts
+    return met.groupBy("row").agg(F.round(F.avg("difference"), 12).alias("ratio"), F.round(F.avg(own), 12).alias("own"))
 
 
 def threshold(decided: DataFrame) -> DataFrame:
@@ -124,6 +143,7 @@ def threshold(decided: DataFrame) -> DataFrame:
     one = seen.agg(every.alias("bins"), F.sum("a").alias("na"), F.sum("r").alias("nr"))
     sums = lambda f, below: F.aggregate(F.filter("bins", below), F.lit(0).cast("bigint"), lambda s, x: s + x[f])
     cuts = F.array_union(F.transform("bins", lambda x: x["b"]), F.transform("bins", lambda x: x["b"] + 1))
+    cuts = F.array_union(cuts, F.array(F.lit(round(REACH / STEP))))  # 0 itself, as it may be in a gap
 
     def judged(t):
         missed, passed = sums("a", lambda x: x["b"] < t), sums("r", lambda x: x["b"] >= t)
@@ -133,20 +153,26 @@ def threshold(decided: DataFrame) -> DataFrame:
     return one.select(F.when((F.col("na") > 0) & (F.col("nr") > 0), best).alias("threshold"))
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", order: int = 2) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", order: int = 2, folded: bool = True) -> DataFrame:
     """All columns but a clashing one, with ``host``, ``path``, ``rule``, ``ratio`` and ``verdict`` (allow or block).
 
     The longest rule that fits decides, else the ratio against the calibrated threshold.  A null or empty URL is blocked.
-    If the rules leave one class without a URL, the other URLs are allowed.
+    If the rules leave one class without a URL, the other URLs are allowed.  Contexts have up to ``order`` characters.  ``folded``
+    reads characters as ``SYMBOLS`` symbols, for small tables; else they are taken as they are, and the threshold is calibrated
+    on each decided URL by counts without its own places, as long contexts know what they have learnt from.
     """
     pages = without(pages, ["host", "path", "rule", "ratio", "verdict"])
-    ruled = pages.withColumns({"host": host(url), "path": path(url)})
-    ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    row = free_name(pages, "row")
+    ruled = pages.withColumns({"host": host(url), "path": path(url), row: F.monotonically_increasing_id()})
+    ruled = stored(ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     allowing = [r.name for r in rules if r.verdict == "allow"]
-    decided = ruled.where(F.col("rule").isNotNull()).select(symbols(url, order).alias("code"), F.col("rule").isin(allowing).alias("accepted"))
-    difference = stored(model(decided, order), "urlmodel")
-    cut = threshold(with_ratio(decided.withColumnRenamed("code", "c"), F.col("c"), difference, order)).first()
-    out = with_ratio(ruled, symbols(url, order), difference, order)
+    accepted = F.when(F.col("rule").isNotNull(), F.col("rule").isin(allowing))
+    urls = ruled.select(F.col(row).alias("row"), symbols(url, order, folded).alias("code"), accepted.alias("accepted"))
+    found = stored(ratios(urls, model(urls, order, SYMBOLS if folded else None), order), "ratios")
+    decided = urls.where(F.col("accepted").isNotNull()).select("row", "accepted").join(found, "row", "left")
+    cut = threshold(decided.select("accepted", F.coalesce("ratio" if folded else "own", F.lit(0.0)).alias("ratio"))).first()
+    out = ruled.join(found.select(F.col("row").alias(row), "ratio"), row, "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     passes = F.lit(True) if cut["threshold"] is None else F.col("ratio") >= cut["threshold"]
     by_model = F.when(F.coalesce(F.col(url), F.lit("")) == "", "block").when(passes, "allow").otherwise("block")
-    return out.withColumn("verdict", F.when(F.col("rule").isNull(), by_model).when(F.col("rule").isin(allowing), "allow").otherwise("block"))
+    out = out.withColumn("verdict", F.when(F.col("rule").isNull(), by_model).when(F.col("rule").isin(allowing), "allow").otherwise("block"))
+    return out.select(*[f"`{c}`" for c in pages.columns], "host", "path", "rule", "ratio", "verdict")

@@ -427,3 +427,29 @@ def test_urls(spark):
     assert min(map(loss, between)) <= min(loss(t) for t in np.arange(-2, 2, 0.01)) + 0.02
     assert urlmodel.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert {r.verdict for r in urlmodel.judge(spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")).collect()} == {"allow"}
+
+
+def test_urls_in_real_characters(spark):
+    rng = random.Random(9)
+    rules = [urlmodel.Rule("allow", "a.org", "/"), urlmodel.Rule("block", "b.org", "/")]
+    ends = {"a": ["id=1357", "é%20", "Ab_c", "日本"], "b": ["id=2468", "è%2F", "aB=c", "中国"]}
+    urls = [f"http://{side}.org/{rng.choice('xyz')}{rng.choice('xyz')}?{rng.choice(ends[side])}" for side in "ab" for _ in range(60)]
+    asked = {f"http://c.org/{x}?{e}": "allow" if side == "a" else "block" for side in "ab" for e in ends[side] for x in ("xy", "zz")}
+    urls += [*asked, "http://d.org/\U0001f600", ""]
+    got = urlmodel.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, order=5, folded=False).collect()
+    assert len(got) == len(urls)
+    assert {r.url: r.verdict for r in got if r.url in asked} == asked
+    code = lambda u: [tuple(("\uffff" * 5 + u)[i : i + 6]) for i in range(len(u))]
+    uniform = 1 / len({c for u in urls for c in u})
+    n = {s: [collections.Counter(g[5 - k :] for u in urls if u.startswith(f"http://{s}.org/") for g in code(u)) for k in range(6)] for s in "ab"}
+
+    def prob(g, s):
+        q = uniform
+        for k in range(6):
+            same = [v for y, v in n[s][k].items() if y[:-1] == g[5 - k : 5]]
+            if same:
+                q = (n[s][k][g[5 - k :]] + len(same) * q) / (sum(same) + len(same))
+        return q
+    for r in got:
+        want = np.mean([np.log(prob(g, "a")) - np.log(prob(g, "b")) for g in code(r.url)]) if r.url else 0.0
+        assert abs(r.ratio - want) < 1e-9
