@@ -296,6 +296,7 @@ def cmd_terrace(spark, d):
 
 @query()
 def cmd_all(spark, d):
+    """All in one by its defaults: 20 starts, replicates until they converge or are 1,000."""
     path = _event_file(spark, d)
-    out = command(spark, f"--all --msa {path}/in --msa-format iphylip --model BIN+FE --tree pars{{1}} --bs-trees 4 --seed 1 --prefix {path}/out")
+    out = command(spark, f"--all --msa {path}/in --msa-format iphylip --model BIN+FE --seed 1 --prefix {path}/out")
     return out["support"]["fbp"]

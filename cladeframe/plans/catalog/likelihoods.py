@@ -302,28 +302,33 @@ def brlen_unlinked(spark, d):
     return _fit(spark, d, "JC", lambda al, s: I.evaluate(al, [s], 0.1, "unlinked"))
 
 
-def _event_search(spark, d, n: int, constraint=None, replicates: int = 0):
+def _event_search(spark, d, randoms: int, parsimony: int = 0, constraint=None, replicates: int = 0):
+    """Searches with the model fitted, from random and parsimony trees; with replicates, one from a parsimony tree of each."""
     st = R.event_sites(spark, d)
     p = sites.compress_patterns(st)
     m = parse_model("BIN+FE")
     extra = bootstrap.draw_weights(st, replicates) if replicates else None
     al = L.pack(p, R.EVENT_TAXA, m, extra, replicates)
-    ids = spark.range(n).select(F.col("id").alias("tree_id"))
-    starts = T.random_trees(ids, R.EVENT_TAXA, seed=5, constraint=constraint).orderBy("tree_id").collect()
-    ss = [I.Search(r.tree_id, L.Topology.from_newick(r.newick, R.EVENT_TAXA), {0: m}, (r.tree_id + 1) if replicates else 0) for r in starts]
-    I.search(al, ss, constraint=I.Constraint(constraint, R.EVENT_TAXA) if constraint else None, fit_models=False)
+    ids = spark.range(randoms).select(F.col("id").alias("tree_id"))
+    starts = [L.Topology.from_newick(r.newick, R.EVENT_TAXA) for r in T.random_trees(ids, R.EVENT_TAXA, seed=5, constraint=constraint).orderBy("tree_id").collect()]
+    if parsimony or replicates:
+        rows = range(1, replicates + 1) if replicates else None
+        starts += [t for t, _ in I.parsimony_trees(al, {0: m.alphabet}, range(5, 5 + (replicates or parsimony)), rows)]
+    ss = [I.Search(k, t, {0: m}, k + 1 if replicates else 0) for k, t in enumerate(starts)]
+    I.search(al, ss, constraint=I.Constraint(constraint, R.EVENT_TAXA) if constraint else None)
     al.close()
     return spark.createDataFrame([(s.search_id, float(s.loglh), s.tree.newick(R.EVENT_TAXA)) for s in ss], "tree_id BIGINT, loglh DOUBLE, newick STRING")
 
 
 @query()
 def cmd_search(spark, d):
-    """Best tree of searches from random starts over the event alignment."""
-    return T.best_tree(_event_search(spark, d, 4))
+    """Best tree of searches from the default 10 random and 10 parsimony trees over the event alignment."""
+    return T.best_tree(_event_search(spark, d, 10, 10))
 
 
 @query()
 def cmd_search1(spark, d):
+    """One search, from a random tree, as the command does."""
     return _event_search(spark, d, 1)
 
 
@@ -341,13 +346,14 @@ def search_pipeline(spark, d):
 
 @query()
 def constraint_search(spark, d):
-    return T.best_tree(_event_search(spark, d, 2, "((click,view),error,purchase,signup);"))
+    """Best tree under a constraint, from the default 20 random trees."""
+    return T.best_tree(_event_search(spark, d, 20, constraint="((click,view),error,purchase,signup);"))
 
 
 @query()
 def cmd_bootstrap(spark, d):
-    """One search per replicate, all replicates in the same jobs."""
-    return _event_search(spark, d, 10, replicates=10)
+    """One search from a parsimony tree for each of the default 100 replicates, all in the same jobs."""
+    return _event_search(spark, d, 0, replicates=100)
 
 
 @query()

@@ -272,7 +272,9 @@ def splits_compatible(spark, d):
 
 # -- convergence ------------------------------------------------------------------------
 
+#: Permutations of the reduced queries named ``_20``, which have SQL beside them; the others take the default of ``bootstop``.
 PERMS = 20
+ALL_PERMS = 1000
 
 
 def _numbered(spark, d):
@@ -295,21 +297,32 @@ def _prefixes(t):
 
 
 @query(f"WITH {S.line_counts('l_suppkey')}, {_HALVES} SELECT prefix, perm, tree_no, half FROM hv")
-def bootstop_halves(spark, d):
+def bootstop_halves_20(spark, d, perms: int = PERMS):
+    """Reduced to 20 permutations."""
     t, _ = _numbered(spark, d)
-    return TS.halves(t, PERMS, _prefixes(t))
+    return TS.halves(t, perms, _prefixes(t))
+
+
+@query()
+def bootstop_halves(spark, d):
+    return bootstop_halves_20(spark, d, ALL_PERMS)
 
 
 @query(f"""WITH {SUP}, {_HALVES} SELECT prefix, perm, split, count(*) FILTER (half=0)::BIGINT AS n0, count(*) FILTER (half=1)::BIGINT AS n1
 FROM hv JOIN no USING (tree_no) JOIN splits USING (tree_id) GROUP BY 1,2,3""")
-def bootstop_half_support(spark, d):
+def bootstop_half_support_20(spark, d, perms: int = PERMS):
+    """Reduced to 20 permutations."""
     t, sp = _numbered(spark, d)
-    return TS.half_support(sp, TS.halves(t, PERMS, _prefixes(t)))
+    return TS.half_support(sp, TS.halves(t, perms, _prefixes(t)))
 
 
-def _half_consensus(spark, d):
-    t, sp = _numbered(spark, d)
-    return TS.half_consensus(TS.half_support(sp, TS.halves(t, PERMS, _prefixes(t))), 7, F.col("prefix"))
+@query()
+def bootstop_half_support(spark, d):
+    return bootstop_half_support_20(spark, d, ALL_PERMS)
+
+
+def _half_consensus(spark, d, perms: int):
+    return TS.half_consensus(bootstop_half_support_20(spark, d, perms), 7, F.col("prefix"))
 
 
 _GREEDY = f"""hs AS (SELECT prefix, perm, split, count(*) FILTER (half=0)::BIGINT AS n0, count(*) FILTER (half=1)::BIGINT AS n1
@@ -332,13 +345,25 @@ _BOOT = f"WITH RECURSIVE {SUP}, {_HALVES}, {_GREEDY} "
 
 
 @query(_BOOT + "SELECT prefix, perm, half, split, n FROM cons")
+def bootstop_mre_20(spark, d):
+    """Reduced to 20 permutations."""
+    return _half_consensus(spark, d, PERMS)
+
+
+@query()
 def bootstop_mre(spark, d):
-    return _half_consensus(spark, d)
+    return _half_consensus(spark, d, ALL_PERMS)
 
 
 @query(_BOOT + "SELECT prefix, perm, wrf, n_splits FROM wrf")
+def bootstop_wrf_20(spark, d):
+    """Reduced to 20 permutations."""
+    return TS.weighted_rf(_half_consensus(spark, d, PERMS))
+
+
+@query()
 def bootstop_wrf(spark, d):
-    return TS.weighted_rf(_half_consensus(spark, d))
+    return TS.weighted_rf(_half_consensus(spark, d, ALL_PERMS))
 
 
 def _rounded(report):
@@ -346,14 +371,26 @@ def _rounded(report):
 
 
 @query(_BOOT + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict")
+def bootstop_converged_20(spark, d):
+    """Reduced to 20 permutations."""
+    return _rounded(TS.convergence(TS.weighted_rf(_half_consensus(spark, d, PERMS)), PERMS))
+
+
+@query()
 def bootstop_converged(spark, d):
-    return _rounded(TS.convergence(TS.weighted_rf(_half_consensus(spark, d)), PERMS))
+    return _rounded(TS.convergence(TS.weighted_rf(_half_consensus(spark, d, ALL_PERMS)), ALL_PERMS))
 
 
 @query(_BOOT + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict WHERE trees <= coalesce((SELECT min(trees) FROM verdict WHERE converged), 1000000000)")
-def bootstop_report(spark, d):
+def bootstop_report_20(spark, d, perms: int = PERMS):
+    """Reduced to 20 permutations."""
     t, sp = _numbered(spark, d)
-    return _rounded(TS.until_converged(TS.bootstop(sp, t, 7, _prefixes(t), PERMS)))
+    return _rounded(TS.until_converged(TS.bootstop(sp, t, 7, _prefixes(t), perms)))
+
+
+@query()
+def bootstop_report(spark, d):
+    return bootstop_report_20(spark, d, ALL_PERMS)
 
 
 # -- single-tree operators --------------------------------------------------------------

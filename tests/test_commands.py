@@ -213,3 +213,22 @@ def test_terrace_size_against_enumeration(spark, pattern):
     assert len(set(got)) == want
     for g in got:
         assert all(induced(nw.parse(g), s) == induced(t, s) for s in sets)
+
+
+def test_registered_searches_run_at_the_defaults(spark, sf, monkeypatch):
+    from cladeframe.plans.catalog import files, likelihoods, trees
+    seen = []
+
+    def search(al, searches, **options):
+        seen.append((len(searches), len({s.tree.newick(al.labels) for s in searches}) > 1, options.get("fit_models", True)))
+        for s in searches:
+            s.loglh = 0.0
+    monkeypatch.setattr(likelihoods.I, "search", search)
+    for name in ("cmd_search", "cmd_search1", "constraint_search", "cmd_bootstrap"):
+        likelihoods.Q[name](spark, sf)
+    assert [n for n, _, _ in seen] == [20, 1, 20, 100] and all(fit for _, _, fit in seen)
+    lines = []
+    monkeypatch.setattr(files, "command", lambda spark, line: lines.append(line) or {"support": {"fbp": None}})
+    files.Q["cmd_all"](spark, sf)
+    assert "--tree" not in lines[0] and "--bs-trees" not in lines[0]
+    assert {r.perm for r in trees.Q["bootstop_halves"](spark, sf).select("perm").distinct().collect()} == set(range(1000))
