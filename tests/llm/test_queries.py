@@ -57,3 +57,9 @@ def test_pipeline(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, sf).count() == 0
+
+
+def test_language_stage_without_labels(spark, sf):
+    docs = spark.createDataFrame([(1, "clean text", None), (2, "12 34 !", None), (3, None, None), (4, "\u65e5\u672c", None), (5, "", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language(spark, docs, sf)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
