@@ -23,7 +23,8 @@ from cladeframe.llm.common import map_slices, stored, utf8, without
 from cladeframe.llm.words import WORD_BASE, U, Words, mix, ranges, run_starts, span, sums, words
 
 GRAM = 5
-LAST = (1 << 63) - 1
+#: Rows without a key are numbered down from the first by a hash of their text, less than the second; keys are smaller than those numbers.
+LAST, SPARE = (1 << 63) - 1, 1 << 40
 
 
 class Text:
@@ -175,11 +176,12 @@ def deduplicate(docs: DataFrame, length: int = 20, text: str = "text", key: str
 
     A word goes if a window of ``length`` words covers it that also starts earlier: in a document with a smaller key, or earlier in
     the same one.  ``removed`` holds the maximal removed runs as (first, words), by number of words.  A null text has no
-    words.  A null key comes after all others; rows that share a key aren't earlier than each other.  Input columns with
-    names of results give way.
+    words.  Rows without a key come after all others, in an order by a hash of their texts, so that no group holds all of them; rows that
+    share a key aren't earlier than each other.  Input columns with names of results give way.
     """
     docs = without(docs, ["n_words", "n_removed", "kept", "removed"])
-    d = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("d")
+    unkeyed = F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(SPARE))
+    d = F.coalesce(F.col(key).cast("bigint"), unkeyed).alias("d")
     rest = [f for f in docs.schema.fields if f.name != text]
     wide = docs.select(d, F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("doc"))
     cells = map_slices(wide.select("d", "text"), "text", "anchor bigint, reach bigint, d bigint", _cells(length, gram))

@@ -11,6 +11,7 @@ that an upper bound of the similarity doesn't rule out.  So no link inside a buc
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,9 @@ from cladeframe.llm.words import BREAKS, LOWER, U, WORD_BASE, mix, run_starts, s
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9992.
 BANDS, ROWS = 10, 3
-#: Document frequencies are counted by hash in this many places, whatever the vocabulary; weights are in units of 1 / UNIT.
-PLACES, UNIT = 1 << 18, 1024
+#: Frequencies of all words are counted; weights of this many of the commonest words are told one by one, in units of 1 / UNIT.
+#: All rarer words have the weight of the rarest of them, so what tasks hold is bounded and what is counted grows with the corpus.
+TOLD, UNIT = 1 << 18, 1024
 #: Members of a bucket that its unlinked members are compared with before all of them are.
 FEW = 8
 #: Random draws by the upper bits of a shingle's hash.
@@ -34,41 +36,60 @@ POOL = 1 << 16
 
 
 class Counter:
-    """Document frequencies of one task; the number of documents stands at ``PLACES``."""
-
-    def __init__(self) -> None:
-        self.total = np.zeros(PLACES + 1, np.int64)
+    """Words of each text once, added up for a slice; the number of texts stands beside a null word."""
 
     def __call__(self, part: pa.RecordBatch) -> dict:
         w = words(*utf8(part.column("text")), BREAKS, LOWER)
-        place = w.hashes() & U(PLACES - 1)
-        one = np.unique(w.doc.astype(U) * U(PLACES) + place) & U(PLACES - 1)
-        self.total += np.bincount(one.astype(np.int64), minlength=PLACES + 1)
-        self.total[PLACES] += part.num_rows
-        return {"place": [], "n": []}
+        h, doc = w.hashes(), w.doc
+        order = np.lexsort([doc, h])
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        word, n = np.unique(h[new], return_counts=True)
+        return {"word": pa.array([None, *word.view(np.int64).tolist()], pa.int64()), "n": np.append(part.num_rows, n)}
+
+
+@dataclass
+class Weights:
+    """Weight of each told word, by its hash in order, and the one of all others."""
 
-    def finish(self) -> dict:
-        at = np.flatnonzero(self.total)
-        return {"place": at, "n": self.total[at]}
+    word: np.ndarray
+    weight: np.ndarray
+    rest: int
 
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.full(len(h), self.rest, np.int64)
+        h, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, self.weight[at], self.rest)[back]
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of a word by place, from 1 (in every text) to 1.5 (in none), in units; over all texts."""
-    rows = map_slices(docs.select("text"), "text", "place bigint, n bigint", Counter, Counter.finish).groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(PLACES + 1)
-    n[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    total = n[PLACES]
-    return np.round(UNIT * (1 + 0.5 * np.log((total + 1) / (n[:PLACES] + 1)) / np.log(total + 2))).astype(np.int64)
+
+def inverse_frequencies(docs: DataFrame, told: int = TOLD) -> Weights:
+    """Weights of words from 1 (in every text) to 1.5 (in none), in units; frequencies are counted over all texts.
+
+    The table of words grows with the corpus and stays in Spark; the ``told`` commonest words in more than one text reach
+    the driver, ties to the smaller hash.
+    """
+    rows = map_slices(docs.select("text"), "text", "word bigint, n bigint", Counter).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = stored(rows, "frequencies")
+    total = (rows.where("word IS NULL").first() or (None, 0))[1]
+    common = rows.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(told).toPandas()
+    word, n = common["word"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.float64)
+    weight = np.round(UNIT * (1 + 0.5 * np.log((total + 1) / (n + 1)) / np.log(total + 2))).astype(np.int64)
+    order = np.argsort(word)
+    alone = round(UNIT * (1 + 0.5 * np.log((total + 1) / 2) / np.log(total + 2)))
+    return Weights(word[order], weight[order], int(weight[-1]) if len(word) == told else alone)
 
 
 class Shingles:
     """Distinct shingles of each text, in order of text and hash, with integer weights."""
 
-    def __init__(self, column: pa.Array, idf: np.ndarray):
+    def __init__(self, column: pa.Array, idf: Weights):
         w = words(*utf8(column), BREAKS, LOWER)
         h = w.hashes()
         prefix = sums(h, WORD_BASE[0])
-        weight = np.concatenate([[0], np.cumsum(idf[(h & U(PLACES - 1)).astype(np.int64)])])
+        weight = np.concatenate([[0], np.cumsum(idf.of(h))])
         start = run_starts(w.first, SHINGLE)
         end = start + SHINGLE
         doc = np.searchsorted(w.first, start, "right") - 1
@@ -167,9 +188,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     """(key, class_id) for every row: the smallest key of its class.
 
     Texts with the same shingles, each as often, are one node (so copies are linked without a comparison).  A text without
-    a word is a class of its own.  Rows that share a key are one node; a null key has a null class.
+    a word is a class of its own.  Rows that share a key are one node; a null key has a null class.  Other columns aren't returned; if
+    the key's name is ``class_id``, the class is named ``class_id_``.
     """
-    spark = docs.sparkSession
+    spark, named_ = docs.sparkSession, "class_id_" if key.lower() == "class_id" else "class_id"
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
     sig = stored(map_slices(texts, "text", "d bigint, p1 bigint, p2 bigint, shingles bigint, bands array<bigint>", _signature(idf)), "signatures")
@@ -195,9 +217,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         found = stored(components(links), "components")
     named = nodes.join(found, "node", "left")
     named = stored(named.select("p1", "p2", F.coalesce("component", "node").alias("class_id")), "classes")
-    out = sig.where("shingles > 0").join(named, ["p1", "p2"]).select(F.col("d").alias(key), "class_id")
-    alone = sig.where("shingles = 0").select(F.col("d").alias(key), F.col("d").alias("class_id"))
-    none = docs.where(F.col(key).isNull()).select(F.col(key).cast("bigint").alias(key), F.lit(None).cast("bigint").alias("class_id"))
+    out = sig.where("shingles > 0").join(named, ["p1", "p2"]).select(F.col("d").alias(key), F.col("class_id").alias(named_))
+    alone = sig.where("shingles = 0").select(F.col("d").alias(key), F.col("d").alias(named_))
+    none = docs.where(F.col(key).isNull()).select(F.col(key).cast("bigint").alias(key), F.lit(None).cast("bigint").alias(named_))
     return out.unionByName(alone).unionByName(none)
 
 

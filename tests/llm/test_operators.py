@@ -219,7 +219,7 @@ def test_near_duplicates(spark):
 
 def test_weighted_samples_estimate_similarity():
     rng = random.Random(8)
-    idf = np.full(weighted_minhash.PLACES, weighted_minhash.UNIT)
+    idf = weighted_minhash.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), weighted_minhash.UNIT)
     a = prose(rng, 3000).split()
     b = a[:2500] + prose(rng, 500).split()
     s = weighted_minhash.samples(weighted_minhash.Shingles(pa.array([" ".join(a), " ".join(b)]), idf))
@@ -429,6 +429,25 @@ def test_urls(spark):
     assert {r.verdict for r in urlmodel.judge(spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_word_weights(spark):
+    texts = ["a b b c", "A c d", "a c", "a", None, "日本 a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = collections.Counter(w for t in texts if t for w in set(t.lower().split()))
+    want = lambda n: round(1024 * (1 + 0.5 * np.log(7 / (n + 1)) / np.log(8)))
+    h = words_of("a c b d 日本 never")
+    full = weighted_minhash.inverse_frequencies(docs)
+    assert list(full.of(h)) == [want(seen[w]) if seen[w] > 1 else want(1) for w in ("a", "c", "b", "d", "日本", "never")]
+    one = weighted_minhash.inverse_frequencies(docs, told=1)
+    assert set(one.of(h)) == {want(5)} and one.word.size == 1  # all others have the weight of the rarest one told
+    none = weighted_minhash.inverse_frequencies(docs.where("false"))
+    assert none.of(h).shape == (6,)
+    assert weighted_minhash.classes(docs.withColumn("class_id", F.lit(1)), key="class_id").columns == ["class_id", "class_id_"]
+
+
+def words_of(text):
+    return weighted_minhash.words(*weighted_minhash.utf8(pa.array([text])), weighted_minhash.BREAKS, weighted_minhash.LOWER).hashes()
+
+
 def test_urls_in_real_characters(spark):
     rng = random.Random(9)
     rules = [urlmodel.Rule("allow", "a.org", "/"), urlmodel.Rule("block", "b.org", "/")]
@@ -453,3 +472,13 @@ def test_urls_in_real_characters(spark):
     for r in got:
         want = np.mean([np.log(prob(g, "a")) - np.log(prob(g, "b")) for g in code(r.url)]) if r.url else 0.0
         assert abs(r.ratio - want) < 1e-9
+
+
+def test_repeats_without_keys(spark):
+    rng = random.Random(12)
+    shared = prose(rng, 30)
+    texts = [prose(rng, 15) + " " + shared, shared + " " + prose(rng, 15), prose(rng, 10) + " " + shared, shared]
+    rows = [(4, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3])]
+    got = repeats.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 20, with_text=True).collect()
+    removed = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got)
+    assert removed == sorted([(4, 45, 0), (0, 45, 30), (0, 40, 30), (0, 30, 30), (0, 30, 30)])

@@ -63,3 +63,12 @@ def test_language_stage_without_labels(spark, sf):
     docs = spark.createDataFrame([(1, "clean text", None), (2, "12 34 !", None), (3, None, None), (4, "\u65e5\u672c", None), (5, "", None)], "doc_id long, text string, lang string")
     out = corpus_pipeline.language(spark, docs, sf)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
+def test_near_stage_keeps_texts_of_shared_ids(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b + " more"), (9, c), (None, a + " x"), (None, "alone on this row " + c[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("own"))
+    out = corpus_pipeline.near(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, b), (5, a), (9, c), (0, rows[5][1])])
