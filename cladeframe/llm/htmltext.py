@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -46,7 +47,10 @@ APART = BLOCKS | SECTIONS | frozenset("tr td th caption".split())
 CLOSE_P = BLOCKS - {"html", "body", "option", "optgroup"}
 P_SCOPE = frozenset("td th table button caption object".split())
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.S)
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: One declaration of a style, as semicolons may stand in strings and parentheses.
+DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+\"?|'[^']*+'?|\([^)]*+\)?)++")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+NESTED = re.compile(r"<(/?)template(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 UNQUOTED = re.compile(r"=\s*+[^\s\"'>]++\Z")
 BLANK = " \t\n\r\f"
@@ -54,22 +58,49 @@ BLANKS = re.compile("[ \t\n\r\f]+")
 BREAK = "\0"
 
 
+def declared(style: str) -> dict[str, str]:
+    """Values of the properties that a style declares, in lower case; the last one counts, important ones before others."""
+    out: dict[str, tuple[bool, str]] = {}
+    for d in DECLARATION.findall(COMMENT.sub("", html.unescape(style))):
+        name, colon, value = d.partition(":")
+        if colon:
+            value, mark, rest = value.strip(BLANK).lower().partition("!")
+            important = mark != "" and rest.strip(BLANK) == "important"
+            name = name.strip(BLANK).lower()
+            if important or not out.get(name, (False, ""))[0]:
+                out[name] = important, value.strip(BLANK)
+    return {k: v for k, (_, v) in out.items()}
+
+
 class Node:
-    __slots__ = ("tag", "kids", "number", "span", "unseen", "space")
+    __slots__ = ("tag", "kids", "number", "span", "rows", "unseen", "shows", "closed", "space")
 
-    def __init__(self, tag: str, attributes: str = "", space: str = ""):
-        """``space`` is "math", "svg", "text" (inside an SVG text) or, for HTML, empty."""
-        self.tag, self.kids, self.number, self.span, self.space = tag, [], None, 1, space
+    def __init__(self, tag: str, attributes: str = "", space: str = "", shows: bool = True):
+        """``space`` is "math", "svg", "text" (inside an SVG text) or, for HTML, empty; ``shows`` whether the parent's own text does."""
+        self.tag, self.kids, self.number, self.span, self.rows, self.space, self.shows = tag, [], None, 1, 1, space, shows
         self.unseen = tag in UNSEEN or space != "" and tag in FOREIGN_UNSEEN
+        open_, css = False, {}
         if attributes and not attributes.isspace():
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "style" and HIDES.search(value) or space and name in ("display", "visibility") and HIDES.match(f"{name}:{value}"):
+                if name == "hidden":
                     self.unseen = True
+                elif name == "style":
+                    css |= declared(value)
+                elif space and name in ("display", "visibility"):
+                    css.setdefault(name, value.strip(BLANK).lower())
+                elif name == "open":
+                    open_ = True
                 elif name in ("start", "value") and re.fullmatch(r"-?\d{1,9}", value):
                     self.number = int(value)
                 elif name == "colspan" and re.fullmatch(r"\d{1,4}", value):
                     self.span = max(1, min(int(value), 1000))
+                elif name == "rowspan" and re.fullmatch(r"\d{1,5}", value):
+                    self.rows = min(int(value), 65534)
+        self.closed = tag == "details" and not open_  # becomes None when its summary has come
+        self.unseen |= css.get("display") == "none" or tag == "dialog" and not open_
+        if css.get("visibility") in ("hidden", "collapse", "visible"):
+            self.shows = css["visibility"] == "visible"
 
 
 def tree(page: str) -> Node:
@@ -111,13 +142,17 @@ def tree(page: str) -> Node:
             if open_[-1].tag == "head":
                 drop(len(open_) - 1)
         top = open_[-1]
-        if top.space == "svg" and top.tag not in POINTS:
-            return  # not in an SVG text
+        if top.space == "svg" and top.tag not in POINTS or not top.shows or top.closed is not False:
+            return  # not in an SVG text, or hidden, or in a closed element beside its summary
         if not (text.isspace() and (top.tag in SECTIONS or top.tag in ("table", "tr"))):
             top.kids.append(text)
 
     def put(node: Node, opens: bool) -> None:
         """Add to the innermost element.  Below DEPTH an element that opens shares its list, or holds a lost one if unseen."""
+        if open_[-1].closed is not False:  # of closed details only the first summary is seen
+            node.unseen |= node.tag != "summary" or open_[-1].closed is None
+            if node.tag == "summary":
+                open_[-1].closed = None
         if opens and len(open_) >= DEPTH:
             if node.tag in APART:
                 open_[-1].kids.append(Node("div"))
@@ -157,7 +192,7 @@ def tree(page: str) -> Node:
             if tag not in BREAKOUT:
                 top = open_[-1]
                 space = tag if tag in ("svg", "math") else "text" if top.space == "svg" and tag == "text" else top.space
-                put(Node(tag, m[3], space), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
+                put(Node(tag, m[3], space, top.shows), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
                 continue
             i = len(open_) - 1
             while open_[i].space != "" and open_[i].tag not in POINTS:
@@ -169,7 +204,7 @@ def tree(page: str) -> Node:
         if open_[-1].tag == "head" and tag not in HEAD:
             drop(len(open_) - 1)
         if tag in ("svg", "math"):
-            put(Node(tag, m[3], tag), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
+            put(Node(tag, m[3], tag, open_[-1].shows), not (m[3].endswith("/") and not UNQUOTED.search(m[3])))
             continue
         if tag in CLOSE_P:
             close({"p"}, P_SCOPE)
@@ -181,18 +216,26 @@ def tree(page: str) -> Node:
             if not places.get("table"):
                 continue
             if open_[-1].tag not in ("tr",):
-                put(Node("tr"), True)
+                put(Node("tr", shows=open_[-1].shows), True)
         elif tag in SECTIONS or tag in ("tr", "caption"):
             if open_[-1].tag != "table" and open_[-1].tag not in SECTIONS:
                 continue
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], shows=open_[-1].shows)
         raw = tag in RAW or tag in ("title", "textarea")
         put(node, not raw and tag not in VOID)
         if raw:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if tag == "textarea":
+            if tag == "template":  # templates stand in templates
+                inside = 1
+                for stop in NESTED.finditer(page, at):
+                    inside += -1 if stop[1] else 1
+                    if not inside:
+                        break
+                else:
+                    stop = None
+            if tag == "textarea" and node.shows:
                 node.kids.append(html.unescape(page[at : stop.start() if stop else end]))
-            after = page.find(">", stop.end() - 1) if stop else -1
+            after = page.find(">", stop.end() - (tag != "template")) if stop else -1
             at = after + 1 if after >= 0 else end
     return root
 
@@ -260,7 +303,7 @@ def walk(node: Node, out: Flow, tight: bool) -> None:
             elif tag == "li":
                 out.lines += bulleted(kid, "- ")
             elif tag == "hr":
-                out.lines.append("---")
+                out.lines += ["---"] if kid.shows else []
             else:
                 walk(kid, out, tight and tag not in SPACED)
             between()
@@ -269,6 +312,8 @@ def walk(node: Node, out: Flow, tight: bool) -> None:
 def bulleted(item: Node, mark: str) -> list[str]:
     inner = Flow()
     walk(item, inner, True)
+    if not item.shows:
+        return inner.result()
     lines = inner.result() or [""]
     return [(mark + lines[0]).rstrip(" ")] + [" " * len(mark) + x if x else x for x in lines[1:]]
 
@@ -298,8 +343,12 @@ def preformatted(node: Node) -> str:
 
 
 def cells(table: Node) -> list[str]:
-    """Content outside cells, as browsers move it, caption, then rows; a cell of several lines makes its row as high."""
+    """Content outside cells, as browsers move it, caption, then rows; a cell of several lines makes its row as high.
+
+    A cell that spans rows stands in the first of them and keeps its columns free in the others, as far as its section goes.
+    """
     rows, caption, stray = [], [], Node("div")
+    busy: list[int] = []  # rows for which each column is still taken
 
     def visit(node: Node) -> None:
         for kid in node.kids:
@@ -308,14 +357,28 @@ def cells(table: Node) -> list[str]:
             elif kid.tag == "caption" and not kid.unseen:
                 caption.extend(flow(kid))
             elif kid.tag in SECTIONS and not kid.unseen:
+                busy.clear()
                 visit(kid)
+                busy.clear()
             elif kid.tag == "tr" and not kid.unseen:
                 rows.append([])
                 for cell in kid.kids:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
-                        rows[-1] += [[] if cell.unseen else flow(cell), *[[]] * (cell.span - 1)]
+                        if cell.unseen:
+                            rows[-1].append([])
+                            continue
+                        at = len(rows[-1])
+                        while at < len(busy) and busy[at]:
+                            rows[-1].append([])
+                            at += 1
+                        rows[-1] += [flow(cell), *[[]] * (cell.span - 1)]
+                        if cell.rows != 1:
+                            busy.extend([0] * (at + cell.span - len(busy)))
+                            for i in range(at, at + cell.span):
+                                busy[i] = cell.rows or 1 << 30  # 0 means all rows of the section
                     else:
                         stray.kids.append(cell)
+                busy[:] = [max(0, n - 1) for n in busy]
             else:
                 stray.kids.append(kid)
 
@@ -325,21 +388,37 @@ def cells(table: Node) -> list[str]:
         for i, cell in enumerate(line):
             if i == len(width):
                 width.append(0)
-            width[i] = max([width[i], *(len(x) for x in cell if len(x) <= COLUMN)])
+            width[i] = max([width[i], *(w for w in map(columns, cell) if w <= COLUMN)])
     out = flow(stray) + caption
     for line in rows:
         for k in range(max([len(c) for c in line], default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(line, width)).rstrip(" "))
+            out.append("  ".join(padded(c[k] if k < len(c) else "", w) for c, w in zip(line, width)).rstrip(" "))
     return out
 
 
+def columns(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def padded(text: str, width: int) -> str:
+    return text + " " * (width - columns(text))
+
+
 def render(page: str | None) -> str:
     """Visible text; empty for null, empty or invisible pages."""
     return "\n".join(flow(tree(page.replace(BREAK, "�").replace("\r\n", "\n")))).strip("\n") if page else ""
 
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """All columns but the markup, and ``text``; an input column of that name gives way."""
+    """All columns but the markup, and ``text``; an input column of that name gives way.
+
+    Null, empty and invisible pages have an empty text; each row is rendered by itself, so repeated rows come out as often.
+    Hidden are what ``hidden`` (also until found) or a style attribute hides, dialogs that aren't open and, of details that aren't, all
+    but the summary; style sheets aren't read.  A visible part of an element with hidden visibility is shown.
+    """
     pages = without(pages, ["text"] if markup != "text" else [])
     rest = [f for f in pages.schema.fields if f.name != markup]
     schema = T.StructType([*rest, T.StructField("text", T.StringType())])

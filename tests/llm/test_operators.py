@@ -482,3 +482,58 @@ def test_repeats_without_keys(spark):
     got = repeats.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 20, with_text=True).collect()
     removed = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got)
     assert removed == sorted([(4, 45, 0), (0, 45, 30), (0, 40, 30), (0, 30, 30), (0, 30, 30)])
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div style="backface-visibility:hidden">shown</div>', "shown"), ('<p style="-webkit-backface-visibility: hidden; --nodisplay:none">a', "a"),
+    ('<p style="display:none; display:block">a', "a"), ('<p style="display:none!important; display:block">a', ""), ('<p style="background:url(x;display:none);color:red">a', "a"),
+    ("<p style=\"content:';display:none'\">a", "a"), ('<p style="DISPLAY : None ;">a', ""), ('<p style="display:/* ; */none">a', ""),
+    ('<div style="visibility:hidden">a<p style="visibility:visible">b<span>c</span></p>d</div>e', "bc\n\ne"), ('<div style="visibility:hidden"><ul><li>a<li style="visibility:visible">b</ul></div>', "- b"),
+    ('<div style="display:none">a<p style="visibility:visible">b</div>c', "c"), ('<p hidden="until-found">a</p>b', "b"), ('<div style="visibility:hidden"><hr><textarea>a</textarea></div>b', "b"),
+    ("<dialog>a</dialog>b<dialog open>c</dialog>", "b\nc"), ("<details>x<summary>a</summary>b<p>c<details open><summary>d</summary>e</details></details>f", "a\nf"),
+    ("<details open><summary>a</summary>b</details>c", "a\nb\nc"), ("<details><p>x</p><summary>a</summary><summary>b</summary></details>", "a"),
+    ("<template><template>a</template>b</template>c", "c"), ("<template>a<template>b</template>c", ""), ("a<template></template>b", "ab"),
+    ("<table><tr><td rowspan=2>A<td>1<tr><td>2</table>", "A  1\n   2"), ("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d<tbody><tr><td>e<td>f</table>", "a  b\nc     d\ne  f"),
+    ("<table><tr><td rowspan=2 colspan=2>A<td>1<tr><td>2<tr><td>x<td>y<td>z</table>", "A     1\n      2\nx  y  z"), ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
+])
+def test_hidden_and_spanned(page, text):
+    assert htmltext.render(page) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9))
+def test_visible_words_against_a_plain_walk(seed):
+    """Random well-formed pages; a plain recursion over the same tree says which words a browser shows, in order."""
+    rng, n, want = random.Random(seed), [0], []
+    hide = [("", {}), (" hidden", {"gone": True}), (' style="display:none"', {"gone": True}), (' style="visibility:hidden"', {"see": False}), (' style="color:red; visibility: visible"', {"see": True}), (' style="x-display:none"', {})]
+
+    def build(depth, gone, see, where):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                n[0] += 1
+                out.append(f" w{n[0]} ")
+                if not gone and see:
+                    want.append(f"w{n[0]}")
+                continue
+            tag = rng.choice(["div", "span", "section", "ul", "blockquote", "details", "dialog", "template", "table", "b"])
+            text, how = rng.choice(hide) if rng.random() < 0.5 else hide[0]
+            g, s = gone or how.get("gone", False), how.get("see", see)
+            if tag == "ul":
+                inner = "".join(f"<li>{build(depth - 1, g, s, tag)}</li>" for _ in range(2))
+            elif tag == "table":
+                inner = f"<tr><td>{build(depth - 1, g, s, tag)}</td></tr>"
+            elif tag == "details":
+                shut = rng.random() < 0.5
+                text += "" if shut else " open"
+                inner = f"<summary>{build(0, g, s, tag)}</summary>{build(depth - 1, g or shut, s, tag)}"
+            else:
+                if tag == "dialog":
+                    shut = rng.random() < 0.5
+                    text += "" if shut else " open"
+                    g |= shut
+                inner = build(depth - 1, g or tag == "template", s, tag)
+            out.append(f"<{tag}{text}>{inner}</{tag}>")
+        return "".join(out)
+    page = build(4, False, True, "")
+    assert re.findall(r"w\d+", htmltext.render(page)) == want, page
