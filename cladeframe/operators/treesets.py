@@ -13,11 +13,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
-from cladeframe.functions.rng import with_hash31
 from cladeframe.operators.trees import _id_type, _per_tree
 
 PAIR_BLOCK = 512
@@ -261,101 +260,7 @@ def consensus_tree(consensus: DataFrame, labels: Sequence[str]) -> DataFrame:
     return one.mapInPandas(run, "newick STRING")
 
 
-# -- bootstrap convergence --------------------------------------------------------------
-
-def halves(trees: DataFrame, permutations: int, prefixes: Sequence[int], seed: int = 1) -> DataFrame:
-    """Random halves of the first B trees, for every permutation and prefix B.
-
-    ``trees(tree_no)`` is numbered from 0.  A tree's half is the parity of its rank under a
-    per-permutation hash; each (prefix, permutation) group is one prefix of trees.
-    """
-    pre = F.array(*[F.lit(int(b)) for b in prefixes])
-    t = trees.select("tree_no", F.explode(F.filter(pre, lambda b: b > F.col("tree_no"))).alias("prefix"))
-    p = t.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    p = with_hash31(p, "_h", F.col("perm"), F.col("tree_no"), seed)
-    w = Window.partitionBy("prefix", "perm").orderBy("_h", "tree_no")
-    return p.withColumn("half", ((F.row_number().over(w) - 1) % 2).cast("int")).drop("_h")
-
-
-def half_support(splits: DataFrame, half: DataFrame) -> DataFrame:
-    """Trees per split in either half: (prefix, perm, split, n0, n1)."""
-    j = half.join(splits.select("tree_no", "split"), "tree_no")
-    return j.groupBy("prefix", "perm", "split").agg(
-        F.count(F.when(F.col("half") == 0, 1)).alias("n0"), F.count(F.when(F.col("half") == 1, 1)).alias("n1"))
-
-
-def half_consensus(support: DataFrame, n_taxa: int, trees_in: Column) -> DataFrame:
-    """Greedy consensus of each half: (prefix, perm, half, split, n).
-
-    Candidates arrive sorted by falling support inside their task (a secondary sort), so the
-    pass keeps only the accepted splits, at most n-3, and never a whole group.  A support
-    above a quarter of all trees is a majority of the half and is accepted outright.
-    """
-    pairs = F.array(F.struct(F.lit(0).alias("half"), F.col("n0").alias("n")), F.struct(F.lit(1).alias("half"), F.col("n1").alias("n")))
-    long = support.select("prefix", "perm", "split", F.explode(pairs).alias("e")).select(
-        "prefix", "perm", "e.half", "split", "e.n", F.floor(trees_in / 4).cast("bigint").alias("sure"))
-    keys = ["prefix", "perm", "half"]
-    ranked = long.repartition(*keys).sortWithinPartitions(*keys, F.col("n").desc(), "split")
-    room = n_taxa - 3
-
-    def greedy(it):
-        group, held, count = None, np.zeros((room, n_taxa), dtype=np.uint8), 0
-        for pdf in it:
-            keep = []
-            for row, (a, b, c, s, n, sure) in enumerate(zip(pdf.prefix, pdf.perm, pdf.half, pdf.split, pdf.n, pdf.sure)):
-                if (a, b, c) != group:
-                    group, count = (a, b, c), 0
-                if count == room:
-                    continue
-                v = nw.bits(s)
-                if n > sure or nw.compatible(held[:count], v).all():
-                    held[count] = v
-                    count += 1
-                    keep.append(row)
-            yield pdf.iloc[keep][["prefix", "perm", "half", "split", "n"]]
-
-    return ranked.mapInPandas(greedy, "prefix INT, perm INT, half INT, split STRING, n BIGINT")
-
-
-def weighted_rf(consensus: DataFrame) -> DataFrame:
-    """Sum over the union of both halves' splits of the support difference, per permutation."""
-    u = consensus.groupBy("prefix", "perm", "split").agg(
-        F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0)).alias("b"),
-        F.count(F.lit(1)).alias("k"))
-    return u.groupBy("prefix", "perm").agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("wrf"), F.sum("k").alias("n_splits"))
-
-
-def convergence(wrf: DataFrame, permutations: int, cutoff: float = 0.03) -> DataFrame:
-    """Verdict per prefix: enough permutations below their threshold, and the mean as well."""
-    half_total = 0.5 * F.col("prefix") * F.col("n_splits")
-    limit = cutoff * half_total
-    agg = wrf.groupBy("prefix").agg(
-        F.avg("wrf").alias("avg_wrf"), F.avg(F.try_divide(F.col("wrf"), half_total) * 100).alias("avg_pct"),
-        F.count(F.when(F.col("wrf") <= limit, 1)).alias("better"), F.avg(limit).alias("_t"))
-    ok = (F.col("better") >= int(0.99 * permutations)) & (F.col("avg_wrf") <= F.col("_t"))
-    return agg.select(F.col("prefix").alias("trees"), "avg_wrf", "avg_pct", "better", ok.alias("converged"))
-
-
-def bootstop(splits: DataFrame, trees: DataFrame, n_taxa: int, prefixes: Sequence[int],
-             permutations: int = 1000, cutoff: float = 0.03, seed: int = 1) -> DataFrame:
-    """Convergence table over growing prefixes of the replicate trees."""
-    h = halves(trees, permutations, prefixes, seed)
-    c = half_consensus(half_support(splits, h), n_taxa, F.col("prefix"))
-    return convergence(weighted_rf(c), permutations, cutoff)
-
-
-def until_converged(report: DataFrame) -> DataFrame:
-    """Rows up to and including the first prefix that converged."""
-    first = report.where("converged").agg(F.min("trees")).scalar()
-    return report.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("trees") <= F.col("_stop"))).drop("_stop")
-
-
-def report_prefixes(n_trees: int, interval: int = 50) -> list[int]:
-    """Every ``interval`` trees, and the last one."""
-    p = list(range(interval, n_trees + 1, interval))
-    return p if p and p[-1] == n_trees else p + [n_trees]
-
+# -- bootstrap convergence (see halves) --------------------------------------------------
 
 def check_metric(name: str) -> str:
     if name.lower() in ("automr", "autofc"):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from cladeframe.operators import checks, trees as T, treesets as TS
+from cladeframe.operators import checks, halves as H, trees as T, treesets as TS
 from cladeframe.plans import recipes as R
 from cladeframe.plans.catalog import sql as S
+from cladeframe.session import shared_dir
 
 Q: dict = {}
 O: dict = {}
@@ -272,7 +275,7 @@ def splits_compatible(spark, d):
 
 # -- convergence ------------------------------------------------------------------------
 
-#: Permutations of the reduced queries named ``_20``, which have SQL beside them; the others take the default of ``bootstop``.
+#: Permutations of the reduced queries named ``_20``; the others take the default of ``bootstop``.
 PERMS = 20
 ALL_PERMS = 1000
 
@@ -284,113 +287,136 @@ def _numbered(spark, d):
     return t, splits(t, LINES).join(t.select("tree_id", "tree_no"), "tree_id").select("tree_no", "split")
 
 
-_HASH = S.mix("((tree_no % 2147483647) * 48271 + perm * 69621 + 1) % 2147483647")
-_HALVES = f"""no AS (SELECT tree_id, row_number() OVER (ORDER BY tree_id) - 1 AS tree_no FROM (SELECT DISTINCT tree_id FROM counts)),
+_HASH = S.mix("((tree_no // 2 % 2147483647) * 48271 + perm * 69621 + 1) % 2147483647")
+
+
+def _halves(perms: int) -> str:
+    return f"""no AS (SELECT tree_id, row_number() OVER (ORDER BY tree_id) - 1 AS tree_no FROM (SELECT DISTINCT tree_id FROM counts)),
 pf AS (SELECT unnest(list_concat(list_transform(range(0, count(*) // 50), lambda k: 50 * (k + 1)),
   CASE WHEN count(*) % 50 > 0 OR count(*) = 0 THEN [count(*)] ELSE [] END))::INTEGER AS prefix FROM no),
-hv AS (SELECT prefix, perm::INTEGER AS perm, tree_no, ((row_number() OVER (PARTITION BY prefix, perm ORDER BY {_HASH}, tree_no) - 1) % 2)::INTEGER AS half
-  FROM no JOIN pf ON tree_no < prefix CROSS JOIN (SELECT unnest(range(0,{PERMS})) AS perm))"""
+hv AS (SELECT tree_no, perm, (({_HASH} + tree_no) % 2)::INTEGER AS half
+  FROM no CROSS JOIN (SELECT unnest(range(0,{perms}))::INTEGER AS perm))"""
+
+
+def _boot(perms: int) -> str:
+    """Counts are summed once per tree and step of 50, then over the steps of a prefix."""
+    return f"""WITH RECURSIVE {SUP}, {_halves(perms)}, st AS (SELECT (SELECT min(prefix) FROM pf WHERE prefix > tree_no) AS step, perm, split,
+  count(*) FILTER (half=0) AS n0, count(*) FILTER (half=1) AS n1 FROM hv JOIN no USING (tree_no) JOIN splits USING (tree_id) GROUP BY 1,2,3),
+hs AS (SELECT prefix, perm, split, sum(n0)::BIGINT AS n0, sum(n1)::BIGINT AS n1 FROM pf JOIN st ON step <= prefix GROUP BY 1,2,3),
+cand AS (SELECT *, row_number() OVER (PARTITION BY prefix, perm, half ORDER BY n DESC, split) AS rk FROM
+  (SELECT prefix, perm, 0 AS half, split, n0 AS n FROM hs UNION ALL SELECT prefix, perm, 1, split, n1 FROM hs)),
+walk AS (SELECT DISTINCT prefix, perm, half, 0::BIGINT AS rk, []::VARCHAR[] AS acc FROM cand UNION ALL
+  SELECT c.prefix, c.perm, c.half, c.rk, CASE WHEN len(w.acc) < 4 AND (c.n > c.prefix // 4 OR
+    list_bool_and(list_concat([true], list_transform(w.acc, lambda a: {_fits(7)})))) THEN list_append(w.acc, c.split) ELSE w.acc END
+  FROM walk w JOIN cand c ON c.prefix = w.prefix AND c.perm = w.perm AND c.half = w.half AND c.rk = w.rk + 1),
+fin AS (SELECT prefix, perm, half, unnest(arg_max(acc, rk)) AS split FROM walk GROUP BY 1,2,3),
+cons AS (SELECT prefix, perm, half, split, n FROM fin JOIN cand USING (prefix, perm, half, split)),
+wrf AS (SELECT prefix, perm, sum(abs(a - b))::BIGINT AS wrf, sum(k)::BIGINT AS n_splits FROM (SELECT prefix, perm, split,
+  coalesce(sum(n) FILTER (half=0),0) AS a, coalesce(sum(n) FILTER (half=1),0) AS b, count(*) AS k FROM cons GROUP BY 1,2,3) GROUP BY 1,2),
+conv AS (SELECT prefix AS trees, avg(wrf) AS avg_wrf, avg(wrf / (0.5 * prefix * n_splits) * 100) AS avg_pct,
+  count(*) FILTER (wrf <= 0.03 * (0.5 * prefix * n_splits)) AS better, avg(0.03 * (0.5 * prefix * n_splits)) AS t FROM wrf GROUP BY 1),
+verdict AS (SELECT trees, round(avg_wrf,6)::DOUBLE AS avg_wrf, round(avg_pct,6)::DOUBLE AS avg_pct, better::BIGINT AS better,
+  better >= {int(0.99 * perms)} AND avg_wrf <= t AS converged FROM conv) """
+
+
+_UNTIL = "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict WHERE trees <= coalesce((SELECT min(trees) FROM verdict WHERE converged), 1000000000)"
 
 
 def _prefixes(t):
-    return TS.report_prefixes(t.count())
+    return H.report_prefixes(t.count())
 
 
-@query(f"WITH {S.line_counts('l_suppkey')}, {_HALVES} SELECT prefix, perm, tree_no, half FROM hv")
+@query(f"WITH {S.line_counts('l_suppkey')}, {_halves(PERMS)} SELECT tree_no, perm, half FROM hv")
 def bootstop_halves_20(spark, d, perms: int = PERMS):
     """Reduced to 20 permutations."""
-    t, _ = _numbered(spark, d)
-    return TS.halves(t, perms, _prefixes(t))
+    return H.halves(_numbered(spark, d)[0], perms)
 
 
-@query()
+@query(f"WITH {S.line_counts('l_suppkey')}, {_halves(ALL_PERMS)} SELECT tree_no, perm, half FROM hv")
 def bootstop_halves(spark, d):
     return bootstop_halves_20(spark, d, ALL_PERMS)
 
 
-@query(f"""WITH {SUP}, {_HALVES} SELECT prefix, perm, split, count(*) FILTER (half=0)::BIGINT AS n0, count(*) FILTER (half=1)::BIGINT AS n1
-FROM hv JOIN no USING (tree_no) JOIN splits USING (tree_id) GROUP BY 1,2,3""")
-def bootstop_half_support_20(spark, d, perms: int = PERMS):
-    """Reduced to 20 permutations."""
+def _check(of, spark, d, perms: int):
     t, sp = _numbered(spark, d)
-    return TS.half_support(sp, TS.halves(t, perms, _prefixes(t)))
-
-
-@query()
-def bootstop_half_support(spark, d):
-    return bootstop_half_support_20(spark, d, ALL_PERMS)
+    return of(sp, t, 7, _prefixes(t), perms)
 
 
-def _half_consensus(spark, d, perms: int):
-    return TS.half_consensus(bootstop_half_support_20(spark, d, perms), 7, F.col("prefix"))
+@query(_boot(PERMS) + "SELECT prefix, perm, split, n0, n1 FROM hs")
+def bootstop_half_support_20(spark, d):
+    """Reduced to 20 permutations."""
+    return _check(H.half_support, spark, d, PERMS)
 
 
-_GREEDY = f"""hs AS (SELECT prefix, perm, split, count(*) FILTER (half=0)::BIGINT AS n0, count(*) FILTER (half=1)::BIGINT AS n1
-  FROM hv JOIN no USING (tree_no) JOIN splits USING (tree_id) GROUP BY 1,2,3),
-cand AS (SELECT *, row_number() OVER (PARTITION BY prefix, perm, half ORDER BY n DESC, split) AS rk FROM
-  (SELECT prefix, perm, 0 AS half, split, n0 AS n FROM hs UNION ALL SELECT prefix, perm, 1, split, n1 FROM hs)),
-walk AS (SELECT DISTINCT prefix, perm, half, 0::BIGINT AS rk, []::VARCHAR[] AS acc FROM cand UNION ALL
-  SELECT c.prefix, c.perm, c.half, c.rk, CASE WHEN len(w.acc) < 4 AND (c.n > c.prefix // 4 OR
-    list_bool_and(list_concat([true], list_transform(w.acc, lambda a: {_fits(7)})))) THEN list_append(w.acc, c.split) ELSE w.acc END
-  FROM walk w JOIN cand c ON c.prefix = w.prefix AND c.perm = w.perm AND c.half = w.half AND c.rk = w.rk + 1),
-fin AS (SELECT prefix, perm, half, unnest(arg_max(acc, rk)) AS split FROM walk GROUP BY 1,2,3),
-cons AS (SELECT prefix, perm, half, split, n FROM fin JOIN cand USING (prefix, perm, half, split)),
-wrf AS (SELECT prefix, perm, sum(abs(a - b))::BIGINT AS wrf, sum(k)::BIGINT AS n_splits FROM (SELECT prefix, perm, split,
-  coalesce(sum(n) FILTER (half=0),0) AS a, coalesce(sum(n) FILTER (half=1),0) AS b, count(*) AS k FROM cons GROUP BY 1,2,3) GROUP BY 1,2),
-conv AS (SELECT prefix AS trees, avg(wrf) AS avg_wrf, avg(wrf / (0.5 * prefix * n_splits) * 100) AS avg_pct,
-  count(*) FILTER (wrf <= 0.03 * (0.5 * prefix * n_splits)) AS better, avg(0.03 * (0.5 * prefix * n_splits)) AS t FROM wrf GROUP BY 1),
-verdict AS (SELECT trees, round(avg_wrf,6)::DOUBLE AS avg_wrf, round(avg_pct,6)::DOUBLE AS avg_pct, better::BIGINT AS better,
-  better >= {int(0.99 * PERMS)} AND avg_wrf <= t AS converged FROM conv)"""
-_BOOT = f"WITH RECURSIVE {SUP}, {_HALVES}, {_GREEDY} "
+@query(_boot(ALL_PERMS) + "SELECT prefix, perm, split, n0, n1 FROM hs")
+def bootstop_half_support(spark, d):
+    return _check(H.half_support, spark, d, ALL_PERMS)
 
 
-@query(_BOOT + "SELECT prefix, perm, half, split, n FROM cons")
+@query(_boot(PERMS) + "SELECT prefix, perm, half, split, n FROM cons")
 def bootstop_mre_20(spark, d):
     """Reduced to 20 permutations."""
-    return _half_consensus(spark, d, PERMS)
+    return _check(H.half_consensus, spark, d, PERMS)
 
 
-@query()
+@query(_boot(ALL_PERMS) + "SELECT prefix, perm, half, split, n FROM cons")
 def bootstop_mre(spark, d):
-    return _half_consensus(spark, d, ALL_PERMS)
+    return _check(H.half_consensus, spark, d, ALL_PERMS)
 
 
-@query(_BOOT + "SELECT prefix, perm, wrf, n_splits FROM wrf")
+def _wrf(spark, d, perms: int):
+    t, sp = _numbered(spark, d)
+    return H.weighted_rf(H.in_blocks(sp, t, perms), 7, _prefixes(t), perms)
+
+
+@query(_boot(PERMS) + "SELECT prefix, perm, wrf, n_splits FROM wrf")
 def bootstop_wrf_20(spark, d):
     """Reduced to 20 permutations."""
-    return TS.weighted_rf(_half_consensus(spark, d, PERMS))
+    return _wrf(spark, d, PERMS)
 
 
-@query()
+@query(_boot(ALL_PERMS) + "SELECT prefix, perm, wrf, n_splits FROM wrf")
 def bootstop_wrf(spark, d):
-    return TS.weighted_rf(_half_consensus(spark, d, ALL_PERMS))
+    return _wrf(spark, d, ALL_PERMS)
 
 
 def _rounded(report):
     return report.withColumn("avg_wrf", r6("avg_wrf")).withColumn("avg_pct", r6("avg_pct"))
 
 
-@query(_BOOT + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict")
+@query(_boot(PERMS) + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict")
 def bootstop_converged_20(spark, d):
     """Reduced to 20 permutations."""
-    return _rounded(TS.convergence(TS.weighted_rf(_half_consensus(spark, d, PERMS)), PERMS))
+    return _rounded(_check(H.bootstop, spark, d, PERMS))
 
 
-@query()
+@query(_boot(ALL_PERMS) + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict")
 def bootstop_converged(spark, d):
-    return _rounded(TS.convergence(TS.weighted_rf(_half_consensus(spark, d, ALL_PERMS)), ALL_PERMS))
+    return _rounded(_check(H.bootstop, spark, d, ALL_PERMS))
 
 
-@query(_BOOT + "SELECT trees, avg_wrf, avg_pct, better, converged FROM verdict WHERE trees <= coalesce((SELECT min(trees) FROM verdict WHERE converged), 1000000000)")
-def bootstop_report_20(spark, d, perms: int = PERMS):
+@query(_boot(PERMS) + _UNTIL)
+def bootstop_report_20(spark, d):
     """Reduced to 20 permutations."""
-    t, sp = _numbered(spark, d)
-    return _rounded(TS.until_converged(TS.bootstop(sp, t, 7, _prefixes(t), perms)))
+    return _rounded(_check(H.report, spark, d, PERMS))
 
 
-@query()
+@query(_boot(ALL_PERMS) + _UNTIL)
 def bootstop_report(spark, d):
-    return bootstop_report_20(spark, d, ALL_PERMS)
+    return _rounded(_check(H.report, spark, d, ALL_PERMS))
+
+
+@query(_boot(ALL_PERMS) + _UNTIL.replace("FROM verdict WHERE", "FROM verdict WHERE trees % 50 = 0 AND"))
+def bootstop_online(spark, d):
+    """Supplier trees as a stream of small files; the check at every 50 trees stops at the first that converges."""
+    from cladeframe.streaming.convergence import watch
+    t, _ = _numbered(spark, d)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    t = t.select("tree_no", "newick").withColumn("file", F.floor(F.col("tree_no") / 80).cast("int"))
+    t.repartition("file").sortWithinPartitions("file", "tree_no").write.option("maxRecordsPerFile", 80).parquet(f"{path}/trees")
+    stream = spark.readStream.schema("tree_no BIGINT, newick STRING").option("maxFilesPerTrigger", 4).parquet(f"{path}/trees")
+    found = watch(stream, LINES, f"{path}/run").wait()
+    return _rounded(found if found is not None else spark.createDataFrame([], H.REPORT))
 
 
 # -- single-tree operators --------------------------------------------------------------

@@ -19,6 +19,7 @@ from cladeframe.functions import newick as nw
 from cladeframe.functions.models import Model, check_model, parse_model, total_free_params
 from cladeframe.operators import bootstrap as BS
 from cladeframe.operators import checks as C
+from cladeframe.operators import halves as H
 from cladeframe.operators import likelihood as L
 from cladeframe.operators import sites as S
 from cladeframe.operators import terraces as TR
@@ -421,9 +422,10 @@ def cmd_bootstrap(spark, o: Options) -> dict:
     return {"bs_trees": trees, "bootstop": report, "job": job}
 
 
-def _converged(trees: DataFrame, labels, prefixes, o: Options) -> DataFrame:
+def _converged(trees: DataFrame, labels, prefixes, o: Options, until=True) -> DataFrame:
     s = T.tree_splits(trees, labels).select(F.col("tree_id").alias("tree_no"), "split")
-    return TS.bootstop(s, trees.select(F.col("tree_id").alias("tree_no")), len(labels), prefixes, o.bs_permutations, o.bs_cutoff, o.seed)
+    check = H.report if until else H.bootstop
+    return check(s, trees.select(F.col("tree_id").alias("tree_no")), len(labels), prefixes, o.bs_permutations, o.bs_cutoff, o.seed)
 
 
 def cmd_all(spark, o: Options) -> dict:
@@ -480,7 +482,7 @@ def cmd_support(spark, o: Options) -> dict:
     n = trees.count()
     out = {"support": _support(spark, o, reference, trees, labels)}
     if o.bootstop:
-        out["bootstop"] = TS.until_converged(_converged(trees, labels, TS.report_prefixes(n, o.bs_interval), o))
+        out["bootstop"] = _converged(trees, labels, H.report_prefixes(n, o.bs_interval), o)
     return out
 
 
@@ -488,7 +490,7 @@ def cmd_bsconverge(spark, o: Options) -> dict:
     trees = _binary(read_trees(spark, o.bs_trees_file), "replicate tree")
     labels = _tips(trees.orderBy("tree_id").first()["newick"])
     _same_taxa(trees, labels)
-    return {"bootstop": TS.until_converged(_converged(trees, labels, TS.report_prefixes(trees.count(), o.bs_interval), o))}
+    return {"bootstop": _converged(trees, labels, H.report_prefixes(trees.count(), o.bs_interval), o)}
 
 
 def cmd_rfdist(spark, o: Options) -> dict:

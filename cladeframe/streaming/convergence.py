@@ -2,46 +2,104 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cladeframe.operators import treesets as TS
-from cladeframe.operators.trees import tree_splits
+from cladeframe.functions import newick as nw
+from cladeframe.operators import halves as H
+from cladeframe.operators.trees import _per_tree
 from cladeframe.sources.store import RunStore
 
 
+def half_distances(stream: DataFrame, labels: list[str], interval: int = 50, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """(prefix, perm, wrf, n_splits) of a stream of trees ``(tree_no, newick)``, each prefix once all its trees have come.
+
+    The state of a block of permutations is its counts, and the trees that came before their turn: a tree is added once,
+    trees may come in any order, and one that comes again before it was added counts once (a later one is passed over).
+    """
+    index = {x: i for i, x in enumerate(labels)}
+    held = _per_tree(stream.select(F.col("tree_no").alias("tree_id"), "newick"),
+                     lambda no, text: [(no, [s for s, _ in nw.splits(nw.parse(text), index)])], "tree_no BIGINT, splits ARRAY<STRING>")
+    blocks = H.blocks_of(held, permutations)
+    names = [c.split()[0] for c in H.WRF.split(", ")]
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            added, data, waiting = pickle.loads(state.get[0])
+            counts = H.HalfCounts.load(data)
+        else:
+            added, waiting, counts = 0, {}, H.HalfCounts(H.perms_of(key[0], permutations), len(labels), seed)
+        out = []
+        for frame in frames:
+            for no, splits in zip(frame["tree_no"], frame["splits"]):
+                if no >= added:
+                    waiting[int(no)] = list(splits)
+            while added in waiting:
+                counts.add(added, waiting.pop(added))
+                added += 1
+                if added % interval == 0:
+                    out += [(added, p, wrf, n) for p, wrf, n in counts.distances(added)]
+        state.update((pickle.dumps((added, counts.dump(), waiting), protocol=5),))
+        yield pd.DataFrame(out, columns=names)
+
+    return blocks.groupBy("block").applyInPandasWithState(step, H.WRF, "counts BINARY", "append", GroupStateTimeout.NoTimeout)
+
+
+class Watch:
+    """A running check; ``report`` has a row per prefix up to the first that converged."""
+
+    def __init__(self, query: StreamingQuery, store: RunStore):
+        self.query, self.store = query, store
+
+    def report(self) -> DataFrame | None:
+        r = self.store.load("report")
+        return None if r is None else r.drop("epoch")
+
+    def converged(self) -> bool:
+        r = self.report()
+        return r is not None and not r.where("converged").isEmpty()
+
+    def wait(self, poll: float = 0.5) -> DataFrame | None:
+        """Until the stream ends or converges; then it is stopped, and the rest of its trees isn't read."""
+        while self.query.isActive:
+            if self.converged():
+                self.query.stop()
+            else:
+                time.sleep(poll)
+        if self.query.exception() is not None:
+            raise self.query.exception()
+        return self.report()
+
+
 def watch(stream: DataFrame, labels: list[str], path: str, interval: int = 50, permutations: int = 1000,
-          cutoff: float = 0.03, seed: int = 1, on_report: Callable | None = None, trigger: dict | None = None) -> StreamingQuery:
+          cutoff: float = 0.03, seed: int = 1, on_report: Callable | None = None, trigger: dict | None = None) -> Watch:
     """Check convergence each time another ``interval`` trees ``(tree_no, newick)`` have arrived.
 
-    Splits of a micro-batch go to a directory named by its epoch (overwritten if the epoch is
-    replayed, so effects are exactly once); a check reads the accumulated splits and appends
-    one report row per reached prefix.
+    Rows of a micro-batch are one table named by its epoch, overwritten if the epoch is replayed, so a prefix is reported once; after
+    the first that converged no more are.
     """
-    spark = stream.sparkSession
-    store = RunStore(spark, f"{path}/state")
+    store = RunStore(stream.sparkSession, f"{path}/state")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        trees = df.select(F.col("tree_no").alias("tree_id"), "newick")
-        s = tree_splits(trees, labels).select(F.col("tree_id").alias("tree_no"), "split")
-        store.save("splits", epoch, s)
-        store.save("trees", epoch, df.select("tree_no"))
-        every, ids = store.load("splits"), store.load("trees")
-        n = ids.agg(F.max("tree_no")).first()[0]
-        if n is None:
-            return
-        known = store.load("report")
-        seen = {r.trees for r in known.where(F.col("epoch") < epoch).select("trees").collect()} if known is not None else set()
-        due = [b for b in range(interval, n + 2, interval) if b not in seen]
-        if not due:
+        told = store.load("report")
+        if told is not None and not told.where("converged").where(F.col("epoch") < epoch).isEmpty():
             return
-        report = TS.bootstop(every, ids, len(labels), due, permutations, cutoff, seed).withColumn("epoch", F.lit(epoch))
-        store.save("report", epoch, report)
-        if on_report:
-            on_report(store.load("report").where(F.col("epoch") == epoch))
+        rows = H.convergence(df, permutations, cutoff).withColumn("epoch", F.lit(epoch)).persist()
+        first = rows.where("converged").agg(F.min("trees")).scalar()
+        found = rows.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("trees") <= F.col("_stop"))).drop("_stop")
+        if not rows.isEmpty():
+            store.save("report", epoch, found)
+            if on_report:
+                on_report(store.load("report").where(F.col("epoch") == epoch).drop("epoch"))
+        rows.unpersist()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(
-        **(trigger or {"availableNow": True})).start()
+    query = half_distances(stream, labels, interval, permutations, seed).writeStream.foreachBatch(batch).option(
+        "checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    return Watch(query, store)

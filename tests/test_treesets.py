@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
+from cladeframe.operators import halves as H
 from cladeframe.operators import trees as T
 from cladeframe.operators import treesets as TS
 from cladeframe.streaming.convergence import watch
@@ -150,10 +151,13 @@ def test_bootstop_against_a_loop(spark):
     t = similar(spark, 40)
     s = T.tree_splits(t, LABELS).select(F.col("tree_id").alias("tree_no"), "split")
     ids = t.select(F.col("tree_id").alias("tree_no"))
-    half = TS.halves(ids, 6, [20, 40])
-    got = {r["trees"]: r for r in TS.bootstop(s, ids, 9, [20, 40], 6).collect()}
+    got = {r["trees"]: r for r in H.bootstop(s, ids, 9, [20, 40], 6).collect()}
     sets = split_sets(t)
-    side = {(r["prefix"], r["perm"], r["tree_no"]): r["half"] for r in half.collect()}
+    side = {(r["perm"], r["tree_no"]): r["half"] for r in H.halves(ids, 6).collect()}
+    for p in range(6):
+        assert all(side[p, 2 * k] + side[p, 2 * k + 1] == 1 for k in range(20))
+        assert [side[p, i] for i in range(40)] == [int(H.half_of(i, np.array([p]), 1)[0]) for i in range(40)]
+    assert len({tuple(side[p, i] for i in range(40)) for p in range(6)}) == 6
     for b in (20, 40):
         wrf, limit, better = [], [], 0
         for p in range(6):
@@ -162,7 +166,7 @@ def test_bootstop_against_a_loop(spark):
                 for x in sets[i]:
                     for h in (0, 1):
                         sup[h].setdefault(x, 0)
-                    sup[side[b, p, i]][x] += 1
+                    sup[side[p, i]][x] += 1
             cons = [_greedy(sup[h], 9, b // 4) for h in (0, 1)]
             d = sum(abs((sup[0][x] if x in cons[0] else 0) - (sup[1][x] if x in cons[1] else 0)) for x in cons[0] | cons[1])
             m = 0.03 * 0.5 * b * (len(cons[0]) + len(cons[1]))
@@ -171,7 +175,7 @@ def test_bootstop_against_a_loop(spark):
             better += d <= m
         assert np.isclose(got[b]["avg_wrf"], np.mean(wrf)) and got[b]["better"] == better
         assert got[b]["converged"] == (better >= 5 and np.mean(wrf) <= np.mean(limit))
-    assert TS.report_prefixes(120) == [50, 100, 120] and TS.report_prefixes(100) == [50, 100] and TS.report_prefixes(7) == [7]
+    assert H.report_prefixes(120) == [50, 100, 120] and H.report_prefixes(100) == [50, 100] and H.report_prefixes(7) == [7]
     with pytest.raises(NotImplementedError):
         TS.check_metric("autoFC")
 
@@ -194,12 +198,41 @@ def test_stream_reports_like_the_batch(spark, tmp_path):
         rows.where(f"tree_no >= {10 * k} AND tree_no < {10 * k + 10}").coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     seen = []
-    q = watch(stream, LABELS, str(tmp_path / "out"), 20, 6, on_report=lambda df: seen.extend(df.collect()))
-    q.awaitTermination(240)
-    assert q.exception() is None
+    watched = watch(stream, LABELS, str(tmp_path / "out"), 20, 6, on_report=lambda df: seen.extend(df.collect()))
+    watched.wait()
     s = T.tree_splits(t, LABELS).select(F.col("tree_id").alias("tree_no"), "split")
-    want = {r["trees"]: r["avg_wrf"] for r in TS.bootstop(s, t.select(F.col("tree_id").alias("tree_no")), 9, [20, 40], 6).collect()}
-    assert {r["trees"]: r["avg_wrf"] for r in seen} == want
+    ids = t.select(F.col("tree_id").alias("tree_no"))
+    want = {tuple(r) for r in H.report(s, ids, 9, [20, 40], 6).collect()}
+    assert {tuple(r) for r in seen} == want == {tuple(r) for r in watched.report().collect()}
+
+
+def test_counts_in_any_order_and_block(spark, monkeypatch):
+    """Counts over several blocks of permutations, saved and loaded between trees, equal those of one pass; splits beyond the kept pairs too."""
+    t = similar(spark, 30)
+    sets = split_sets(t)
+    one = H.HalfCounts(range(7), 9, 1)
+    parts = [H.HalfCounts(range(4), 9, 1), H.HalfCounts(range(4, 7), 9, 1)]
+    for i in range(30):
+        one.add(i, sorted(sets[i]))
+        for c in parts:
+            c.add(i, sorted(sets[i], reverse=True))
+        parts = [H.HalfCounts.load(c.dump()) for c in parts]
+    want = sorted(one.distances(30))
+    assert sorted(r for c in parts for r in c.distances(30)) == want
+    monkeypatch.setattr(H, "PAIRS_KEPT", 0)
+    assert sorted(one.distances(30)) == want
+    assert list(H.HalfCounts(range(3), 9, 1).distances(0)) == []
+
+
+def test_report_stops_at_the_first_that_converges(spark):
+    """Equal trees converge at once, so later prefixes aren't told; the stream then leaves its rest unread."""
+    text = "(x0,x1,((x2,x3),((x4,x5),((x6,x7),x8))));"
+    t = spark.range(60).select(F.col("id").alias("tree_no"), F.lit(text).alias("newick"))
+    s = T.tree_splits(t.withColumnRenamed("tree_no", "tree_id"), LABELS).select(F.col("tree_id").alias("tree_no"), "split")
+    got = [tuple(r) for r in H.report(s, t, 9, [10, 20, 30, 40, 50, 60], 30).collect()]
+    assert got == [(10, 0.0, 0.0, 30, True)]
+    none = H.report(s.where("false"), t, 9, [10], 30).collect()
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in none] == [] or none[0]["trees"] == 10
 
 
 def test_newick_quotes_labels():
