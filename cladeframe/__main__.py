@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cladeframe.plans.commands import run
 from cladeframe.plans.options import OptionError, parse
+from cladeframe.session import ship
 
 LEVELS = {"error": logging.ERROR, "warning": logging.WARNING, "result": logging.WARNING, "info": logging.INFO,
           "progress": logging.INFO, "verbose": logging.INFO, "debug": logging.DEBUG}
@@ -25,6 +26,7 @@ def main(argv: list[str]) -> int:
         print(run(None, o)["text"])
         return 0
     spark = SparkSession.builder.appName(f"cladeframe {o.command}").getOrCreate()
+    ship(spark)
     try:
         out = run(spark, o)
     except (ValueError, NotImplementedError) as e:

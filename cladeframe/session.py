@@ -27,6 +27,7 @@ def get_spark(cpus: int | str = "*", app: str = "cladeframe", memory: str = "12g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

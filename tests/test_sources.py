@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -117,3 +118,28 @@ def test_run_store(spark, tmp_path):
     assert s.done("ml", 0) and s.load("ml").count() == 1
     s.clear()
     assert s.load("ml") is None
+
+
+def test_registry_without_corpus_libraries():
+    """A missing library of the optional part costs only that part."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.modules['public_tokenizers'] = None; sys.path.insert(0, sys.argv[1])\n"
+            "import warnings; warnings.simplefilter('ignore')\nimport __spark_entry__ as e\n"
+            "q = e.queries(); assert len(q) > 150 and not any(k.startswith('op') and k[2].isdigit() for k in q), len(q)\nassert set(e.oracle_sql()) <= set(q)")
+    subprocess.run([sys.executable, "-c", code, root], check=True, cwd="/", timeout=120)
+
+
+def test_tasks_find_the_package_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "own.py"
+    script.write_text(f"import sys; sys.path.insert(0, {root!r})\nfrom cladeframe.session import get_spark\nfrom cladeframe.operators import trees as T\n"
+                      "s = get_spark(2, memory='1g')\nt = s.createDataFrame([(1, '((a,b),c,d);')], 'tree_id BIGINT, newick STRING')\n"
+                      "assert [r.split for r in T.tree_splits(t, list('abcd')).collect()] == ['0011']\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, str(script)], check=True, cwd=tmp_path, env=env, timeout=240)
