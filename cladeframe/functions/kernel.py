@@ -154,6 +154,64 @@ class Block:
                     lnl = weights @ (np.log(f0 * (1 - rates.pinv)) + scale)
         return lnl, grad
 
+    def directed(self, rates: Rates, order, length) -> tuple[dict, dict]:
+        """Partials in both directions of every branch: at its lower end without what is above, at its upper end without what is below."""
+        below = self.down(rates, order, length)
+        root = order[-1][0]
+        above: dict = {}
+        for v, kids in reversed(order):
+            seen = {c: (self._along(rates, c, below.get(c, (None, 0.0))[0], length[c]), below.get(c, (None, 0.0))[1]) for c in kids}
+            if v != root:
+                seen[None] = self._along(rates, v, above[v][0], length[v]), above[v][1]
+            for c in kids:
+                above[c] = self._product([x for o, x in seen.items() if o != c])
+        return below, above
+
+    def _product(self, parts) -> tuple[np.ndarray, np.ndarray | float]:
+        clv, scale = parts[0]
+        for x, s in parts[1:]:
+            clv, scale = clv * x, scale + s
+        if clv.min() < TINY:
+            top = np.maximum(clv.max(axis=(0, 2)), 1e-300)
+            clv, scale = clv / top[None, :, None], scale + np.log(top)
+        return clv, scale
+
+    def regrafts(self, rates: Rates, order, length, near, lo: int, hi: int, limits: tuple[float, float]):
+        """(move, log-likelihood per pattern) of every subtree move at distance ``lo`` to ``hi``, lengths as they are after it.
+
+        Nothing is computed again but what the subtree's absence changes: going away from where it was cut, each step
+        combines what lies behind with one branch, and a move joins three partials at its new place.
+        """
+        below, above = self.directed(rates, order, length)
+        parent = {c: v for v, kids in order for c in kids}
+
+        def side(u, w):  # at u, without what is beyond w
+            return below.get(u, (None, 0.0)) if parent.get(u) == w else above[w]
+
+        def along(part, u, t):
+            return self._along(rates, u, part[0], t), part[1]
+
+        for a in near:
+            if len(near[a]) != 3:
+                continue
+            for b in near[a]:
+                cut = along(side(b, a), b, near[a][b])
+                ends = [v for v in near[a] if v != b]
+                joined = min(near[a][ends[0]] + near[a][ends[1]], limits[1])
+                todo = [(v, a, along(side(u, a), u, joined), 1) for v, u in (ends, ends[::-1])]
+                while todo:
+                    v, came, back, dist = todo.pop()
+                    ways = [w for w in near[v] if w != came]
+                    seen = {w: along(side(w, v), w, near[v][w]) for w in ways} if len(ways) > 1 else {}
+                    for w in ways:
+                        here = self._product([back, *[seen[o] for o in ways if o != w]])
+                        if lo <= dist <= hi:
+                            half = max(near[v][w] / 2, limits[0])
+                            clv, scale = self._product([along(here, v, half), along(side(w, v), w, half), cut])
+                            yield (a, b, (v, w)), self.combine(rates, clv @ rates.pi, scale)
+                        if dist < hi:
+                            todo.append((w, v, along(here, v, near[v][w]), dist + 1))
+
     def posteriors(self, rates: Rates, order, length):
         """Marginal state probabilities at every inner node: {node: (patterns, states)}."""
         below = self.down(rates, order, length)

@@ -234,7 +234,10 @@ def _constant_columns(m: Model, n_taxa: int) -> Block:
 
 def _asc_term(rates: Rates, m: Model, order, length, n_taxa: int, sites: float) -> float:
     """Correction for the columns that could not be observed: the constant ones."""
-    lnl = _constant_columns(m, n_taxa).loglh(rates, order, length)
+    return _asc_value(m, _constant_columns(m, n_taxa).loglh(rates, order, length), sites)
+
+
+def _asc_value(m: Model, lnl: np.ndarray, sites: float) -> float:
     if m.asc == "LEWIS":
         return -sites * np.log(1 - np.exp(lnl).sum())
     w = np.array(m.asc_weights)
@@ -356,6 +359,90 @@ def derivatives(al: PackedAlignment, cands: Sequence[Candidate]):
     return lnl, grads
 
 
+def regrafts(near: dict, tips: int, lo: int, hi: int) -> list[tuple[int, int, tuple[int, int]]]:
+    """Moves (attachment node, subtree root, target edge) at distance lo..hi of the pruning point."""
+    out = []
+    for a in near:
+        if a < tips:
+            continue
+        for b in near[a]:
+            todo = [(v, a, 1) for v in near[a] if v != b]
+            while todo:
+                v, came, dist = todo.pop()
+                for w in near[v]:
+                    if w == came:
+                        continue
+                    if lo <= dist <= hi:
+                        out.append((a, b, (v, w)))
+                    if dist < hi:
+                        todo.append((w, v, dist + 1))
+    return out
+
+
+def _edge_lengths(near: dict, order, own: dict[int, float]) -> dict:
+    """Neighbour maps with a partition's own lengths."""
+    out = {v: dict(m) for v, m in near.items()}
+    for v, kids in order:
+        for c in kids:
+            out[v][c] = out[c][v] = own[c]
+    return out
+
+
+def move_table(al: PackedAlignment, bases: Sequence[Candidate], lo: int, hi: int, limits: tuple[float, float] = (1e-6, 100.0)) -> DataFrame:
+    """Log-likelihood of every subtree move of every base tree, without ascertainment terms: (cand, move, lnl).
+
+    Moves are numbered as ``regrafts`` lists them.  Only base trees travel: tasks list the moves and score each by the partials
+    around its new place, so a move costs a few products and not a tree.
+    """
+    sc = al.blocks.sparkSession.sparkContext
+    bc = sc.broadcast((_payload(bases), [c.tree.near for c in bases], len(al.labels), al.lanes))
+
+    def run(it):
+        (items, models), nears, n_taxa, lanes = bc.value
+        rates: dict = {}
+        total: dict = {}
+        numbers = [{m: k for k, m in enumerate(regrafts(near, n_taxa, lo, hi))} for near in nears]
+        for pdf in it:
+            for part, n, codes, weights, lane in zip(pdf.part_id, pdf.n, pdf.codes, pdf.weights, pdf.lane):
+                x, w = _decode(codes, weights, n, n_taxa)
+                for i in range(lane, len(items), lanes):
+                    order, length, mids, _, row, own = items[i]
+                    m = models[mids[part]]
+                    if mids[part] not in rates:
+                        rates[mids[part]] = Rates(m)
+                    near = _edge_lengths(nears[i], order, own[part]) if part in own else nears[i]
+                    use = w[row] > 0
+                    block = Block(x[use], m.alphabet.table(), m.states)
+                    sums = total.setdefault(i, np.zeros(len(numbers[i])))
+                    for move, lnl in block.regrafts(rates[mids[part]], order, own.get(part, length), near, lo, hi, limits):
+                        sums[numbers[i][move]] += w[row][use] @ lnl
+        rows = [(i, k, v) for i, sums in total.items() for k, v in enumerate(sums.tolist())]
+        yield pd.DataFrame(rows, columns=["cand", "move", "lnl"])
+
+    return al.blocks.mapInPandas(run, "cand INT, move INT, lnl DOUBLE").groupBy("cand", "move").agg(F.sum("lnl").alias("lnl"))
+
+
+def move_scores(al: PackedAlignment, bases: Sequence[Candidate], lo: int, hi: int,
+                limits: tuple[float, float] = (1e-6, 100.0)) -> list[tuple[list, np.ndarray]]:
+    """(moves, log-likelihood of each) of every base tree; a number per move comes to the driver."""
+    got = move_table(al, bases, lo, hi, limits).toPandas()
+    out = []
+    for i, c in enumerate(bases):
+        moves = regrafts(c.tree.near, c.tree.tips, lo, hi)
+        own = got[got["cand"] == i]
+        val = np.zeros(len(moves))
+        val[own["move"].to_numpy()] = own["lnl"].to_numpy()
+        for p, m in c.models.items():
+            if m.asc and p in al.stats:
+                order, length = c.tree.rooted()
+                near = _edge_lengths(c.tree.near, order, c.lengths[p]) if p in c.lengths else c.tree.near
+                block = _constant_columns(m, len(al.labels))
+                terms = {mv: _asc_value(m, lnl, al.stats[p]["site_count"]) for mv, lnl in block.regrafts(Rates(m), order, c.lengths.get(p, length), near, lo, hi, limits)}
+                val += [terms[mv] for mv in moves]
+        out.append((moves, val))
+    return out
+
+
 def pattern_loglh(patterns: DataFrame, labels: Sequence[str], tree: str, model: Model | dict[int, Model]) -> DataFrame:
     """Log-likelihood of every pattern under one tree: (part_id, pattern, weight, loglh); narrow."""
     topo = Topology.from_newick(tree, labels)

@@ -94,7 +94,7 @@ def loglh(spark, d):
     m = parse_model("JC")
     al = L.pack(_patterns(spark, d), LABELS, m)
     t = L.score_table(al, [L.Candidate(_topo(), {p: m for p in al.stats})])
-    return t.select("part_id", F.round("lnl", 4).alias("loglh"))
+    return _released(al, t.select("part_id", F.round("lnl", 4).alias("loglh")))
 
 
 @query(f"WITH {LINE_MASKS}, {_JC} SELECT part_id, pattern, weight, round({_SITE}, 6) AS loglh FROM f")
@@ -356,24 +356,53 @@ def cmd_bootstrap(spark, d):
     return _event_search(spark, d, 0, replicates=100)
 
 
-@query()
+def _released(al, df):
+    """The rows of a result of bounded size, after which the packed blocks can go."""
+    rows = df.collect()
+    al.close()
+    return al.blocks.sparkSession.createDataFrame(rows, df.schema)
+
+
+def _new_topologies() -> dict[int, L.Topology]:
+    """Trees within radius 5 of the fixed one, each by the first move that makes it."""
+    t, out = _topo(), {}
+    seen = {I.topology_key(t)}
+    for i, move in enumerate(I.regrafts(t, 1, 5)):
+        new = I.apply_move(t, move)
+        if (key := I.topology_key(new)) not in seen:
+            seen.add(key)
+            out[i] = new
+    return out
+
+
+def _moves_sql() -> str:
+    """Pruning of every rearranged tree over all columns."""
+    name = lambda v: f"m{v + 1}" if v < 7 else f"n{v}"
+    ctes, rows = [], []
+    for i, t in _new_topologies().items():
+        order, length = t.rooted()
+        nodes = {name(v): [(name(c), length[c]) for c in kids] for v, kids in order[::-1]}
+        root = name(order[-1][0])
+        ctes.append(pruning(nodes, 4, "every", root=root, out=f"q{i}_"))
+        rows.append(f"SELECT {i}::INTEGER AS move, round(sum(weight * ln(0.25 * ({' + '.join(f'{root}_0_{k}' for k in range(4))}))), 4) AS loglh FROM q{i}_")
+    masks = ", ".join(f"m{k}" for k in range(1, 8))
+    return (f"WITH {LINE_MASKS}, every AS MATERIALIZED (SELECT {masks}, sum(weight)::BIGINT AS weight FROM u GROUP BY {masks}), {', '.join(ctes)}, "
+            f"moves AS ({' UNION ALL '.join(rows)}) ")
+
+
+_MOVES = _moves_sql()
+
+
+@query(_MOVES + "SELECT move, loglh FROM moves")
 def spr_round(spark, d):
-    """Every subtree move within radius 5 of the fixed tree, scored in one pass."""
+    """Every topology within radius 5 of the fixed tree, scored in one pass by the partials around the move."""
     m = parse_model("JC")
     al = L.pack(_patterns(spark, d), LABELS, m)
-    t = _topo()
-    seen, cands = set(), []
-    for mv in I.regrafts(t, 1, 5):
-        c = I.apply_move(t, mv)
-        k = I.topology_key(c)
-        if k not in seen:
-            seen.add(k)
-            cands.append(L.Candidate(c, {p: m for p in al.stats}))
-    s = L.score_table(al, cands).groupBy("cand").agg(F.round(F.sum("lnl"), 4).alias("loglh"))
-    return s
+    s = L.move_table(al, [L.Candidate(_topo(), {p: m for p in al.stats})], 1, 5)
+    return _released(al, s.where(F.col("move").isin(list(_new_topologies()))).select("move", F.round("lnl", 4).alias("loglh")))
 
 
-@query()
+@query(_MOVES + "SELECT move, loglh FROM moves ORDER BY loglh DESC, move LIMIT 20")
 def kbest_topologies(spark, d):
     """The 20 best moves: the beam of the search as a top-k query."""
-    return spr_round(spark, d).orderBy(F.col("loglh").desc(), "cand").limit(I.KEEP_TOPOLOGIES)
+    return spr_round(spark, d).orderBy(F.col("loglh").desc(), "move").limit(I.KEEP_TOPOLOGIES)

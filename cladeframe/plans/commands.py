@@ -340,7 +340,7 @@ def cmd_search(spark, o: Options) -> dict:
     else:
         ss = _searches(job, al, start_trees(job, al))
         I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(),
-                 on_step=lambda step, x: log.info("%s: best %.6f", step, max(s.loglh for s in x)), fit_models=o.opt_model)
+                 on_step=lambda step, x: log.info("%s: best %.6f", step, max(s.loglh for s in x)), fit_models=o.opt_model, cutoff=max(0.0, o.spr_cutoff))
         if store:
             store.save("ml", 0, _scored(job, ss))
     out = _finish(job, al, ss)
@@ -401,7 +401,7 @@ def cmd_bootstrap(spark, o: Options) -> dict:
             starts = I.parsimony_trees(al, job.alphabets(), range(o.seed + len(done), o.seed + len(done) + n), range(1, n + 1))
             models = job.fitted(al.stats)
             ss = [I.Search(k, t, dict(models), k + 1, limits=(o.blmin, o.blmax)) for k, (t, _) in enumerate(starts)]
-            I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(), fit_models=o.opt_model)
+            I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(), fit_models=o.opt_model, cutoff=max(0.0, o.spr_cutoff))
             rows = [(len(done) + s.search_id, float(s.loglh), s.tree.newick(job.labels, o.precision)) for s in ss]
             al.close()
             if store:

@@ -45,6 +45,10 @@ class Search:
     radius: int = 0
     active: bool = True
     limits: tuple[float, float] = (MIN_LENGTH, MAX_LENGTH)
+    #: Cost from which on a way is not followed, and the costs met so far.
+    cut: float = np.inf
+    cost_sum: float = 0.0
+    cost_n: int = 0
 
     def candidate(self, tree: Topology | None = None, models=None, lengths=None) -> Candidate:
         return Candidate(tree or self.tree, models or self.models, self.weight_row,
@@ -330,23 +334,7 @@ def evaluate(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILO
 
 def regrafts(t: Topology, lo: int, hi: int) -> list[tuple[int, int, tuple[int, int]]]:
     """Moves (attachment node, subtree root, target edge) at distance lo..hi of the pruning point."""
-    out = []
-    for a in t.near:
-        if a < t.tips:
-            continue
-        for b in t.near[a]:
-            ends = [v for v in t.near[a] if v != b]
-            todo = [(v, a, 1) for v in ends]
-            while todo:
-                v, came, dist = todo.pop()
-                for w in t.near[v]:
-                    if w == came:
-                        continue
-                    if lo <= dist <= hi:
-                        out.append((a, b, (v, w)))
-                    if dist < hi:
-                        todo.append((w, v, dist + 1))
-    return out
+    return L.regrafts(t.near, t.tips, lo, hi)
 
 
 def apply_move(t: Topology, move) -> Topology:
@@ -407,39 +395,57 @@ class Constraint:
         return all(w in have or (self.scope & ~w) in have for w in self.want)
 
 
+def within_cutoff(moves, val: np.ndarray, s: Search) -> np.ndarray:
+    """Which moves are reached if a way ends behind a place that costs ``s.cut`` or more; counts the costs of those reached."""
+    ok = np.zeros(len(moves), bool)
+    open_: set = set()  # (subtree, node that may be left, node it was entered from)
+    for i, (a, b, (v, w)) in sorted(enumerate(moves), key=lambda x: x[0]):
+        start = v in s.tree.near[a]
+        if not start and (a, b, v) not in open_:
+            continue
+        ok[i] = True
+        cost = s.loglh - val[i]
+        if cost > 0:
+            s.cost_sum, s.cost_n = s.cost_sum + cost, s.cost_n + 1
+        if cost < s.cut:
+            open_.add((a, b, w))
+    return ok
+
+
 def spr_round(al: PackedAlignment, searches: list[Search], lo: int, hi: int, thorough: bool, eps: float,
-              constraint: Constraint | None = None, keep: int = KEEP_TOPOLOGIES, batch: int = 20000) -> None:
+              constraint: Constraint | None = None, keep: int = KEEP_TOPOLOGIES, cutoff: float = 0.0) -> None:
     """One round of subtree moves for every search.
 
-    All rearrangements of all searches are scored together; the best ``keep`` of each search
-    (a beam of the algorithm, not of the data: the same in fast and thorough rounds, 0 while
-    the radius is sought) go to branch-length fitting, together with a tree that takes all
-    improvements that don't overlap at once.
+    Moves of all searches are scored in one job, in the tasks; trees are made only of moves that are taken up: the best
+    ``keep`` different ones of each search (a beam of the algorithm, not of the data: the same in fast and thorough rounds,
+    0 while the radius is sought), which go to branch-length fitting, together with a tree that takes all improvements that
+    don't overlap at once.  With ``cutoff`` a way along the tree ends where a move costs more than that many times the mean cost
+    of the last round.
     """
-    cands, tags, seen = [], [], {}
-    for k, s in enumerate(searches):
-        known = {topology_key(s.tree)}
-        for mv in regrafts(s.tree, lo, hi):
-            t = apply_move(s.tree, mv)
-            key = topology_key(t)
-            if key in known or (constraint and not constraint.allows(t)):
-                continue
-            known.add(key)
-            cands.append(s.candidate(tree=t, lengths=_inherit(s, t)))
-            tags.append((k, mv))
-        seen[k] = known
-    if not cands:
-        return
-    val = np.concatenate([totals(al, cands[i:i + batch]) for i in range(0, len(cands), batch)])
+    first = 1 if cutoff and lo > 1 else lo  # the way there decides
+    scored = L.move_scores(al, [s.candidate() for s in searches], first, hi, searches[0].limits if searches else (MIN_LENGTH, MAX_LENGTH))
     trial: list[Search] = []
     owner: list[int] = []
-    for k, s in enumerate(searches):
-        mine = sorted((i for i, t in enumerate(tags) if t[0] == k), key=lambda i: -val[i])
-        for i in mine[:keep]:
-            trial.append(replace(s, tree=cands[i].tree, lengths=cands[i].lengths, search_id=len(trial), loglh=val[i]))
-            owner.append(k)
-        merged = _merge(s, [tags[i][1] for i in mine if val[i] > s.loglh], constraint, 2 if keep else 1)
-        if merged is not None and (not keep or topology_key(merged) not in seen[k]):
+    for k, (s, (moves, val)) in enumerate(zip(searches, scored)):
+        ok = within_cutoff(moves, val, s) if cutoff else np.ones(len(moves), bool)
+        if cutoff and s.cost_n:
+            s.cut = cutoff * s.cost_sum / s.cost_n
+        if first < lo:
+            near_ones = set(regrafts(s.tree, first, lo - 1))
+            ok &= [m not in near_ones for m in moves]
+        order = [i for i in np.argsort(-val, kind="stable") if ok[i]]
+        seen = {topology_key(s.tree)}
+        for i in order:
+            if len(seen) > keep:
+                break
+            t = apply_move(s.tree, moves[i])
+            key = topology_key(t)
+            if key not in seen and (constraint is None or constraint.allows(t)):
+                seen.add(key)
+                trial.append(replace(s, tree=t, lengths=_inherit(s, t), search_id=len(trial), loglh=val[i]))
+                owner.append(k)
+        merged = _merge(s, [moves[i] for i in order if val[i] > s.loglh], constraint, 2 if keep else 1)
+        if merged is not None and (not keep or topology_key(merged) not in seen):
             trial.append(replace(s, tree=merged, lengths=_inherit(s, merged), search_id=len(trial)))
             owner.append(k)
     if not trial:
@@ -489,11 +495,12 @@ def _connected(t: Topology) -> bool:
 
 def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON, linkage: str = "scaled",
            radius: int = 0, constraint: Constraint | None = None, on_step: Callable | None = None,
-           fit_models: bool = True) -> None:
+           fit_models: bool = True, cutoff: float = 0.0) -> None:
     """Maximum-likelihood search from every start tree, all in step.
 
     Rough lengths and models, radius detection by growing windows, fast rounds while they
     gain, then thorough rounds with a growing radius, and final fitting to ``eps``.
+    ``cutoff`` (0: none) bounds how far fast and thorough rounds follow a way that costs likelihood.
     """
     def note(step):
         if on_step:
@@ -516,16 +523,18 @@ def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON,
     note("model")
     if radius:
         for s in searches:
-            s.radius = min(radius, top)
+            s.radius = radius
     else:
         _detect_radius(al, searches, top, constraint)
         note("radius")
     fit(3.0)
+    for s in searches:
+        s.cut, s.cost_sum, s.cost_n = -s.loglh / 1000, 0.0, 0
     for thorough in (False, True):
         for s in searches:
             s.active = True
         lo = {s.search_id: 1 for s in searches}
-        hi = {s.search_id: max(1, s.radius) for s in searches}
+        hi = {s.search_id: AUTO_RADIUS_STEP if thorough else max(1, s.radius) for s in searches}
         while True:
             groups: dict[tuple[int, int], list[Search]] = {}
             for s in searches:
@@ -535,12 +544,12 @@ def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON,
                 break
             for (a, b), ss in groups.items():
                 before = [s.loglh for s in ss]
-                spr_round(al, ss, a, b, thorough, eps, constraint)
+                spr_round(al, ss, a, b, thorough, eps, constraint, cutoff=cutoff)
                 for s, x in zip(ss, before):
                     if s.loglh - x > eps:
-                        lo[s.search_id], hi[s.search_id] = 1, max(1, s.radius)
-                    elif thorough and b < top:
-                        lo[s.search_id], hi[s.search_id] = b + 1, min(b + AUTO_RADIUS_STEP, top)
+                        lo[s.search_id], hi[s.search_id] = 1, AUTO_RADIUS_STEP if thorough else b
+                    elif thorough and b + 1 < top:
+                        lo[s.search_id], hi[s.search_id] = b + 1, b + AUTO_RADIUS_STEP
                     else:
                         s.active = False
             note("slow" if thorough else "fast")
@@ -549,17 +558,19 @@ def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON,
 
 
 def _detect_radius(al, searches, top, constraint):
+    """The widest window that still gains, beginning with the first; each is tried before it is taken."""
     live = list(searches)
     for s in live:
-        s.radius = min(AUTO_RADIUS_STEP, top)
-    b = min(AUTO_RADIUS_STEP, top)
-    while live and b < top:
+        s.radius = AUTO_RADIUS_STEP
+    lo = 1
+    while live and lo < top:
+        hi = lo + AUTO_RADIUS_STEP - 1
         before = [s.loglh for s in live]
-        spr_round(al, live, max(1, b - AUTO_RADIUS_STEP + 1), b, False, 1.0, constraint, keep=0)
+        spr_round(al, live, lo, hi, False, 1.0, constraint, keep=0)
         live = [s for s, x in zip(live, before) if s.loglh - x > 0.1]
-        b = min(b + AUTO_RADIUS_STEP, top)
         for s in live:
-            s.radius = b
+            s.radius = hi
+        lo += AUTO_RADIUS_STEP
 
 
 # -- starting trees ---------------------------------------------------------------------

@@ -288,3 +288,57 @@ def test_ascertainment_in_branch_fitting(spark, asc):
     assert s.loglh > lnl[0] + 0.5
     assert s.loglh == pytest.approx(L.score(al, [s.candidate()]).sum(), abs=1e-8)
     al.close()
+
+
+@pytest.mark.parametrize("model", ["JC", "GTR{1/2/3/1/4/1}+FU{0.1/0.2/0.3/0.4}+G4{0.6}+IU{0.1}", "JC+ASC_LEWIS"])
+def test_moves_score_as_their_whole_trees(spark, model):
+    """Partials around a move give what pruning the rearranged tree gives, for all columns, linked and unlinked."""
+    labels = list("abcdefg")
+    text = "((a:0.1,b:0.2):0.05,(c:0.15,d:0.1):0.2,(e:0.3,(f:0.1,g:0.12):0.08):0.1);"
+    m = M.parse_model(model)
+    al = L.pack(frame(spark, [c for c in columns(90, 7, 8, "ACGT-R") if len(set(c)) > 1]), labels, m)
+    t = L.Topology.from_newick(text, labels)
+    (moves, val), (_, own) = L.move_scores(al, [L.Candidate(t, {0: m}), L.Candidate(t.set_lengths({v: 0.3 for v in t.rooted()[1]}), {0: m}, 0, {0: dict(t.rooted()[1])})], 1, 9)
+    assert moves == I.regrafts(t, 1, 9) and np.allclose(val, own)
+    want = I.totals(al, [L.Candidate(I.apply_move(t, mv), {0: m}) for mv in moves])
+    assert np.allclose(val, want, rtol=0, atol=1e-7)
+    best = lambda v: {I.topology_key(I.apply_move(t, moves[i])) for i in np.argsort(-np.round(v, 6), kind="stable")[:20]}
+    assert best(val) == best(want)
+    (near, some), = L.move_scores(al, [L.Candidate(t, {0: m})], 2, 3)
+    at = {mv: v for mv, v in zip(moves, val)}
+    assert near == I.regrafts(t, 2, 3) and np.allclose(some, [at[mv] for mv in near])
+    al.close()
+
+
+def test_cutoff_ends_ways():
+    t = L.Topology.from_newick("((a,b),(c,d),(e,(f,g)));", list("abcdefg"))
+    moves = I.regrafts(t, 1, 9)
+    s = I.Search(0, t, {}, loglh=-100.0)
+    assert I.within_cutoff(moves, np.full(len(moves), -150.0), s).all() and s.cost_n == len(moves)  # no limit yet
+    s = I.Search(0, t, {}, loglh=-100.0, cut=50.0)
+    first = I.within_cutoff(moves, np.full(len(moves), -150.0), s)
+    ends = [i for i, (a, b, (v, w)) in enumerate(moves) if v in t.near[a]]
+    assert np.flatnonzero(first).tolist() == ends and s.cost_sum == 50.0 * len(ends)
+    gains = np.where([i == ends[0] for i in range(len(moves))], -99.0, -150.0)
+    a, b, (v, w) = moves[ends[0]]
+    more = I.within_cutoff(moves, gains, I.Search(0, t, {}, loglh=-100.0, cut=50.0))
+    beyond = [i for i, (x, y, (p, q)) in enumerate(moves) if (x, y, p) == (a, b, w)]
+    assert set(np.flatnonzero(more)) == set(ends) | set(beyond)
+
+
+def test_radius_is_the_widest_window_that_gained(spark, monkeypatch):
+    """Windows 1-5, 6-10 and so on; the last that gains is kept, not the one after it."""
+    seen = []
+
+    def gains(until):
+        def round_(al, searches, lo, hi, *args, **kw):
+            seen.append((lo, hi))
+            for s in searches:
+                s.loglh += 1.0 if hi <= until else 0.0
+        return round_
+    for until, top, want, windows in ((0, 22, 5, [(1, 5)]), (5, 22, 5, [(1, 5), (6, 10)]), (15, 22, 15, [(1, 5), (6, 10), (11, 15), (16, 20)]), (99, 22, 25, [(1, 5), (6, 10), (11, 15), (16, 20), (21, 25)]), (99, 4, 5, [(1, 5)]), (99, 1, 5, [])):
+        seen.clear()
+        monkeypatch.setattr(I, "spr_round", gains(until))
+        s = I.Search(0, None, {}, loglh=0.0)
+        I._detect_radius(None, [s], top, None)
+        assert (s.radius, seen) == (want, windows)
