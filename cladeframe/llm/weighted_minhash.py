@@ -26,9 +26,11 @@ from cladeframe.llm.words import BREAKS, LOWER, U, WORD_BASE, mix, run_starts, s
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9992.
 BANDS, ROWS = 10, 3
-#: Frequencies of all words are counted; weights of this many of the commonest words are told one by one, in units of 1 / UNIT.
+#: Frequencies of all words are counted; weights of the commonest words, this many at most, are told one by one, in units of 1 / UNIT.
 #: All rarer words have the weight of the rarest of them, so what tasks hold is bounded and what is counted grows with the corpus.
 TOLD, UNIT = 1 << 18, 1024
+#: Classes of frequencies for each doubling; the told words are whole classes.
+FINE = 4
 #: Members of a bucket that its unlinked members are compared with before all of them are.
 FEW = 8
 #: Random draws by the upper bits of a shingle's hash.
@@ -68,18 +70,25 @@ class Weights:
 def inverse_frequencies(docs: DataFrame, told: int = TOLD) -> Weights:
     """Weights of words from 1 (in every text) to 1.5 (in none), in units; frequencies are counted over all texts.
 
-    The table of words grows with the corpus and stays in Spark; the ``told`` commonest words in more than one text reach
-    the driver, ties to the smaller hash.
+    The table of words grows with the corpus and stays in Spark; to the driver come the sizes of classes of frequency and the
+    words in more than one text of the highest classes that have ``told`` words together.
     """
     rows = map_slices(docs.select("text"), "text", "word bigint, n bigint", Counter).groupBy("word").agg(F.sum("n").alias("n"))
     rows = stored(rows, "frequencies")
     total = (rows.where("word IS NULL").first() or (None, 0))[1]
-    common = rows.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(told).toPandas()
+    many = rows.where("word IS NOT NULL AND n > 1").withColumn("class", F.floor(FINE * F.log2("n")).cast("int"))
+    lowest, held, sizes = None, 0, many.groupBy("class").count().collect()
+    for c, k in sorted(sizes, reverse=True):
+        if held + k > told:
+            break
+        lowest, held = c, held + k
+    rare = held < sum(k for _, k in sizes)
+    common = many.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word", "n").toPandas()
     word, n = common["word"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.float64)
     weight = np.round(UNIT * (1 + 0.5 * np.log((total + 1) / (n + 1)) / np.log(total + 2))).astype(np.int64)
     order = np.argsort(word)
     alone = round(UNIT * (1 + 0.5 * np.log((total + 1) / 2) / np.log(total + 2)))
-    return Weights(word[order], weight[order], int(weight[-1]) if len(word) == told else alone)
+    return Weights(word[order], weight[order], int(weight.max()) if rare and len(word) else alone)
 
 
 class Shingles:

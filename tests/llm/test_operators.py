@@ -439,6 +439,7 @@ def test_word_weights(spark):
     assert list(full.of(h)) == [want(seen[w]) if seen[w] > 1 else want(1) for w in ("a", "c", "b", "d", "日本", "never")]
     one = weighted_minhash.inverse_frequencies(docs, told=1)
     assert set(one.of(h)) == {want(5)} and one.word.size == 1  # all others have the weight of the rarest one told
+    assert weighted_minhash.inverse_frequencies(docs, told=0).word.size == 0
     none = weighted_minhash.inverse_frequencies(docs.where("false"))
     assert none.of(h).shape == (6,)
     assert weighted_minhash.classes(docs.withColumn("class_id", F.lit(1)), key="class_id").columns == ["class_id", "class_id_"]
