@@ -181,7 +181,8 @@ def deduplicate(docs: DataFrame, length: int = 20, text: str = "text", key: str
     """
     docs = without(docs, ["n_words", "n_removed", "kept", "removed"])
     unkeyed = F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(SPARE))
-    d = F.coalesce(F.col(key).cast("bigint"), unkeyed).alias("d")
+    # the last one is never met; with it the column can't be null, so both joins below take the same exchange
+    d = F.coalesce(F.col(key).cast("bigint"), unkeyed, F.lit(LAST)).alias("d")
     rest = [f for f in docs.schema.fields if f.name != text]
     wide = docs.select(d, F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("doc"))
     cells = map_slices(wide.select("d", "text"), "text", "anchor bigint, reach bigint, d bigint", _cells(length, gram))
