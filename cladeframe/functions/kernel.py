@@ -63,9 +63,11 @@ class Block:
     def _along(self, rates: Rates, v: int, clv, t: float, derivative: int = 0) -> np.ndarray:
         """Partial of node v seen from the other end of its branch: (categories, patterns, states)."""
         pt = rates.p(t, derivative).transpose(0, 2, 1)
-        if clv is None:
-            return (self.tips @ pt)[:, self.codes[:, v], :]
-        return clv @ pt
+        return self._tip(v, pt) if clv is None else clv @ pt
+
+    def _tip(self, v: int, matrices: np.ndarray) -> np.ndarray:
+        """Tip vectors of taxon v times one matrix or several: (..., patterns, states)."""
+        return (self.tips @ matrices)[..., self.codes[:, v], :]
 
     def down(self, rates: Rates, order, length, keys=None):
         """Partials below every node: {node: (clv or None for tips, log scale or 0)}."""
@@ -143,7 +145,7 @@ class Block:
                 d, sd = below.get(c, (None, 0.0))
                 # in the eigenbasis all derivatives share one product of the two partials
                 z = ((x * rates.pi) @ rates.left) * (
-                    (self.tips @ rates.right.T)[self.codes[:, c]] if d is None else d @ rates.right.T)
+                    self._tip(c, rates.right.T) if d is None else d @ rates.right.T)
                 f0, f1, f2 = np.einsum("cpm,cmk->kp", z, rates.terms(length[c]), optimize=True)
                 scale = np.asarray(s + sd)
                 if const is not None:
@@ -234,6 +236,28 @@ class Block:
         return out
 
 
+class VectorBlock(Block):
+    """A block whose tips have a likelihood vector of their own in every column: (columns, taxa, states)."""
+
+    def __init__(self, vectors: np.ndarray, budget: int = 128 << 20):
+        self.vectors, self.states = vectors, vectors.shape[2]
+        self.memo: OrderedDict = OrderedDict()
+        self.budget, self.held = budget, 0
+
+    def invariant(self) -> np.ndarray:
+        """1 where every taxon may have the state."""
+        return (self.vectors > 0).all(axis=1).astype(float)
+
+    def _tip(self, v: int, matrices: np.ndarray) -> np.ndarray:
+        return self.vectors[:, v, :] @ matrices
+
+
+def tip_vectors(probs: np.ndarray, normalise: bool) -> np.ndarray:
+    """Tip likelihoods of probability vectors: shares of their sum if asked, ones where nothing is probable."""
+    total = probs.sum(axis=-1, keepdims=True)
+    return np.where(total > 0, probs / np.where(total > 0, total, 1) if normalise else probs, 1.0)
+
+
 # -- parsimony --------------------------------------------------------------------------
 
 def _meet(a: np.ndarray, b: np.ndarray):

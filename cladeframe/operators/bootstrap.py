@@ -34,12 +34,13 @@ def draw_weights(sites: DataFrame, replicates: int, salt: int = 1) -> DataFrame:
 UNIT, GROUP = 16_384, 4_096
 
 
-def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1, first: int = 0) -> DataFrame:
     """The same distribution, drawn over patterns instead of columns.
 
     A multinomial splits exactly into one over groups of units, one over the units of each group and one inside each
     unit, so the cost follows the number of patterns, whatever they weigh, and every draw is a bounded task of its own.
-    Generators are seeded by (seed, level, part, number, replicate): retries and other layouts repeat the draws.
+    Generators are seeded by (seed, level, part, number, replicate): retries, other layouts and other batches repeat the draws.
+    Replicates are numbered from 0 in the result; the first of them is number ``first`` of all.
     """
     keyed = patterns.select("part_id", "pattern", "weight", "first_site", F.floor(F.col("first_site") / UNIT).alias("unit"))
     units = keyed.groupBy("part_id", "unit").agg(F.sum("weight").alias("weight")).withColumn("grp", F.floor(F.col("unit") / GROUP))
@@ -48,7 +49,7 @@ def multinomial_weights(patterns: DataFrame, replicates: int, seed: int = 1) ->
     def shares(level: int, n: np.ndarray, pdf: pd.DataFrame, name: str, part: int, number: int) -> pd.DataFrame:
         """Draws n[r] out of the weights of the rows, for every replicate r; rows that none hits are left out."""
         w = pdf.weight.to_numpy(dtype=np.float64)
-        k = np.stack([np.random.default_rng([seed, level, part, number, r]).multinomial(n[r], w / w.sum()) for r in range(replicates)])
+        k = np.stack([np.random.default_rng([seed, level, part, number, first + r]).multinomial(n[r], w / w.sum()) for r in range(replicates)])
         r, i = np.nonzero(k)
         return pd.DataFrame({"part_id": part, name: pdf[name].to_numpy()[i], "replicate": r, "n": k[r, i]})
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
-from cladeframe.functions.kernel import Block, Rates, fitch, fitch_insertions
+from cladeframe.functions.kernel import Block, Rates, VectorBlock, fitch, fitch_insertions, tip_vectors
 from cladeframe.functions.models import Model
 from cladeframe.operators import sites as S
 from cladeframe.session import parallelism
@@ -130,7 +130,7 @@ def statistics(patterns: DataFrame, model: Model | dict[int, Model]) -> dict[int
 
 
 def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Model], extra: DataFrame | None = None,
-         replicates: int = 0, block: int = BLOCK) -> PackedAlignment:
+         replicates: int = 0, block: int = BLOCK, stats: dict[int, dict] | None = None) -> PackedAlignment:
     """Patterns -> persisted blocks.
 
     ``extra`` has replicate weights ``(replicate, part_id, pattern, weight)``; they become
@@ -140,7 +140,7 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
     """
     spark = patterns.sparkSession
     n_taxa = len(labels)
-    st = statistics(patterns, model)
+    st = stats or statistics(patterns, model)
     total = sum(r["pattern_count"] for r in st.values())
     cores = parallelism(spark)
     # whole waves of equal blocks: every core gets the same share of patterns
@@ -195,8 +195,47 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
     return PackedAlignment(blocks, list(labels), st, lanes, rows)
 
 
+def pack_vectors(columns: DataFrame, labels: Sequence[str], stats: dict[int, dict], block: int = BLOCK) -> PackedAlignment:
+    """Columns ``(vectors)`` of one probability vector per taxon -> persisted blocks, each column a pattern of weight 1.
+
+    If any probability is above one, all vectors are divided by their sums.  Vectors of different length are an error.  Columns of
+    a large table are cut where they lie, those of a small one are dealt to all cores first.
+    """
+    spark = columns.sparkSession
+    (part, one), = stats.items()
+    n_taxa, states = len(labels), len(one["base_freqs"])
+    top = columns.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vectors", lambda v: F.array_max(v)))).alias("top"),
+                      F.count_if(F.exists("vectors", lambda v: F.size(v) != states) | (F.size("vectors") != n_taxa)).alias("odd")).first()
+    if top["odd"]:
+        raise ValueError(f"{top['odd']} columns don't have {n_taxa} vectors of {states} probabilities")
+    normalise = (top["top"] or 0) > 1
+    rows = max(1, min(block, (8 << 20) // (8 * n_taxa * states)))
+
+    def build(it):
+        for pdf in it:
+            for i in range(0, len(pdf), rows):
+                x = np.stack([np.concatenate(c) for c in pdf.vectors.iloc[i:i + rows]]).astype(np.float64)
+                x = tip_vectors(x.reshape(-1, n_taxa, states), normalise)
+                yield pd.DataFrame({"part_id": [part], "n": [len(x)], "codes": [x.tobytes()], "weights": [np.ones(len(x)).tobytes()]})
+
+    cores = parallelism(spark)
+    spread = columns.select("vectors")
+    if top["n"] < 16 * cores * rows:  # may lie in fewer pieces than there are cores
+        spread = spread.repartition(cores)
+    blocks = spread.mapInPandas(build, "part_id INT, n INT, codes BINARY, weights BINARY").withColumn("lane", F.lit(0))
+    return PackedAlignment(blocks.persist(StorageLevel.MEMORY_AND_DISK), list(labels), stats, 1, 1)
+
+
 def _decode(codes: bytes, weights: bytes, n: int, n_taxa: int):
-    return (np.frombuffer(codes, dtype=np.uint8).reshape(n, n_taxa), np.frombuffer(weights).reshape(-1, n))
+    """Symbols (columns, taxa) or vectors (columns, taxa, states) of a block, and its weight rows."""
+    w = np.frombuffer(weights).reshape(-1, n)
+    if len(codes) == n * n_taxa:
+        return np.frombuffer(codes, dtype=np.uint8).reshape(n, n_taxa), w
+    return np.frombuffer(codes).reshape(n, n_taxa, -1), w
+
+
+def _block(x: np.ndarray, m: Model) -> Block:
+    return Block(x, m.alphabet.table(), m.states) if x.ndim == 2 else VectorBlock(x)
 
 
 def _payload(cands: Sequence[Candidate]):
@@ -281,7 +320,7 @@ def score_table(al: PackedAlignment, cands: Sequence[Candidate]) -> DataFrame:
                         rates[mid] = Rates(models[mid])
                     if mid not in blocks:
                         m = models[mid]
-                        blocks = {mid: Block(x, m.alphabet.table(), m.states)}
+                        blocks = {mid: _block(x, m)}
                     use = w[row] > 0
                     if part in own:
                         lnl = blocks[mid].loglh(rates[mid], order, own[part])
@@ -328,7 +367,7 @@ def derivatives(al: PackedAlignment, cands: Sequence[Candidate]):
                     if mids[part] not in rates:
                         rates[mids[part]] = Rates(m)
                     use = w[row] > 0
-                    b = Block(x[use], m.alphabet.table(), m.states)
+                    b = _block(x[use], m)
                     lnl, grad = b.branch_terms(rates[mids[part]], order, own.get(part, length), w[row][use])
                     vec = np.array([[lnl, 0.0], *[grad[v] for v in sorted(grad)]], dtype=float)
                     key = (i, part)
@@ -412,7 +451,7 @@ def move_table(al: PackedAlignment, bases: Sequence[Candidate], lo: int, hi: int
                         rates[mids[part]] = Rates(m)
                     near = _edge_lengths(nears[i], order, own[part]) if part in own else nears[i]
                     use = w[row] > 0
-                    block = Block(x[use], m.alphabet.table(), m.states)
+                    block = _block(x[use], m)
                     sums = total.setdefault(i, np.zeros(len(numbers[i])))
                     for move, lnl in block.regrafts(rates[mids[part]], order, own.get(part, length), near, lo, hi, limits):
                         sums[numbers[i][move]] += w[row][use] @ lnl
@@ -520,26 +559,27 @@ def transition_table(edges: DataFrame, model: Model, length: str = "length") ->
 
 # -- parsimony --------------------------------------------------------------------------
 
-def parsimony_table(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int = 0) -> DataFrame:
-    """Weighted Fitch changes of every tree over the whole alignment: (cand, score)."""
+def parsimony_table(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int | Sequence[int] = 0) -> DataFrame:
+    """Weighted Fitch changes of every tree over the whole alignment: (cand, score); ``row`` is the weight row of all or of each."""
     tables = {p: a.table() for p, a in alphabets.items()}
-    bc = al.blocks.sparkSession.sparkContext.broadcast(([t.rooted()[0] for t in trees], tables, len(al.labels), al.lanes))
+    rows = [row] * len(trees) if isinstance(row, int) else list(row)
+    bc = al.blocks.sparkSession.sparkContext.broadcast(([t.rooted()[0] for t in trees], rows, tables, len(al.labels), al.lanes))
 
     def run(it):
-        orders, tables, n_taxa, lanes = bc.value
+        orders, rows, tables, n_taxa, lanes = bc.value
         total = np.zeros(len(orders))
         for pdf in it:
             for part, n, codes, weights, lane in zip(pdf.part_id, pdf.n, pdf.codes, pdf.weights, pdf.lane):
                 x, w = _decode(codes, weights, n, n_taxa)
                 masks = tables[part][x]
                 for i in range(lane, len(orders), lanes):
-                    total[i] += fitch(masks, orders[i], w[row])[1]
+                    total[i] += fitch(masks, orders[i], w[rows[i]])[1]
         yield pd.DataFrame({"cand": np.arange(len(orders)), "score": total.round().astype(np.int64)})
 
     return al.blocks.mapInPandas(run, "cand INT, score BIGINT").groupBy("cand").agg(F.sum("score").alias("score"))
 
 
-def parsimony_scores(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int = 0) -> np.ndarray:
+def parsimony_scores(al: PackedAlignment, trees: Sequence[Topology], alphabets: dict[int, object], row: int | Sequence[int] = 0) -> np.ndarray:
     out = np.zeros(len(trees), dtype=np.int64)
     for r in parsimony_table(al, trees, alphabets, row).collect():
         out[r["cand"]] = r["score"]

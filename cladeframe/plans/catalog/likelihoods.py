@@ -62,7 +62,9 @@ def pruning(nodes: dict, k: int, source: str, rates=(1.0,), root: str = "r", out
                 for w in kids:
                     e = math.exp(-k * near[v][w] * rate / (k - 1))
                     same, diff = 1 / k + (k - 1) / k * e, 1 / k - e / k
-                    if w.startswith("m"):
+                    if w.startswith("p"):
+                        x = [f"{w}_{j}" for j in range(k)]
+                    elif w.startswith("m"):
                         x = [f"(({w} >> {j}) & 1)" for j in range(k)]
                     else:
                         x = [f"{w}_{c}_{j}" for j in range(k)]
@@ -109,6 +111,37 @@ def loglh_sum(spark, d):
     return p.agg(F.round(F.sum(F.col("weight") * F.col("loglh")), 4).alias("loglh"))
 
 
+# sixteen taxa with a vector of four numbers each from the 64 components of a vector
+PROB_TAXA = [f"P{i}" for i in range(1, 17)]
+PROB_TREE = "(" + ",".join(f"((P{i}:0.1,P{i + 1}:0.{i}):0.2,(P{i + 2}:0.05,P{i + 3}:0.3):0.1):0.15" for i in (1, 5, 9)) + ",((P13:0.1,P14:0.2):0.1,(P15:0.2,P16:0.1):0.05):0.3);"
+
+
+def _sql_nodes(t: L.Topology, tip) -> tuple[dict, str]:
+    """Nodes of a tree for ``pruning``, root first, and the root's name."""
+    order, length = t.rooted()
+    name = lambda v: tip(v) if v < t.tips else f"n{v}"
+    return {name(v): [(name(c), length[c]) for c in kids] for v, kids in order[::-1]}, name(order[-1][0])
+
+
+def _prob_sql() -> str:
+    nodes, root = _sql_nodes(L.Topology.from_newick(PROB_TREE, PROB_TAXA), lambda v: f"p{v + 1}")
+    cols = ", ".join(f"abs(e[{4 * t + j + 1}]) AS p{t + 1}_{j}" for t in range(16) for j in range(4))
+    return (f"WITH e AS (SELECT embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT {cols} FROM e), {pruning(nodes, 4, 'u', root=root)} "
+            f"SELECT round(sum(ln(0.25 * ({' + '.join(f'{root}_0_{k}' for k in range(4))}))), 4) AS loglh FROM f")
+
+
+@query(_prob_sql())
+def loglh_prob(spark, d):
+    """Likelihood from probability vectors: every vector is a column of 16 taxa with four probabilities each."""
+    v = R.table(spark, d, "embeddings")
+    cell = lambda i: F.transform(F.slice("embedding", i * 4 + 1, F.lit(4)), lambda x: F.abs(x.cast("double")))
+    columns = v.select(F.transform(F.sequence(F.lit(0), F.lit(15)), cell).alias("vectors"))
+    m = parse_model("JC")
+    al = L.pack_vectors(columns, PROB_TAXA, {0: {"base_freqs": [0.25] * 4, "site_count": None}})
+    t = L.score_table(al, [L.Candidate(L.Topology.from_newick(PROB_TREE, PROB_TAXA), {0: m})])
+    return _released(al, t.select(F.round("lnl", 4).alias("loglh")))
+
+
 _G = [float(x) for x in gamma_rates(0.5, 4)]
 _PINV = 0.2
 _JCG = pruning(LINE_NODES, 4, "u", [g / (1 - _PINV) for g in _G])
@@ -377,12 +410,9 @@ def _new_topologies() -> dict[int, L.Topology]:
 
 def _moves_sql() -> str:
     """Pruning of every rearranged tree over all columns."""
-    name = lambda v: f"m{v + 1}" if v < 7 else f"n{v}"
     ctes, rows = [], []
     for i, t in _new_topologies().items():
-        order, length = t.rooted()
-        nodes = {name(v): [(name(c), length[c]) for c in kids] for v, kids in order[::-1]}
-        root = name(order[-1][0])
+        nodes, root = _sql_nodes(t, lambda v: f"m{v + 1}")
         ctes.append(pruning(nodes, 4, "every", root=root, out=f"q{i}_"))
         rows.append(f"SELECT {i}::INTEGER AS move, round(sum(weight * ln(0.25 * ({' + '.join(f'{root}_0_{k}' for k in range(4))}))), 4) AS loglh FROM q{i}_")
     masks = ", ".join(f"m{k}" for k in range(1, 8))

@@ -7,7 +7,6 @@ switched off, writes them under the output prefix.
 from __future__ import annotations
 
 import logging
-from dataclasses import replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -34,10 +33,12 @@ from cladeframe.sources.alignments import Alignment, read_alignment
 from cladeframe.sources.schemes import Part, output_name
 from cladeframe.sources.store import RunStore, write_store
 from cladeframe.sources.text import exists
+from cladeframe.session import parallelism
 from cladeframe.sources.trees import read_trees
 
 log = logging.getLogger("cladeframe")
-BS_BATCH = 50
+#: Replicates of the first batch; batches grow while the weights of one take no more than this many bytes a core.
+BS_BATCH, BS_BYTES = 50, 256 << 20
 
 
 class Job:
@@ -85,6 +86,10 @@ class Job:
             out = d if out is None else out.unionByName(d)
         return out
 
+    def probable(self) -> bool:
+        """Whether likelihoods come from probability vectors and not from symbols."""
+        return self.al.vectors is not None and self.o.prob_msa
+
     def fitted(self, stats: dict[int, dict]) -> dict[int, Model]:
         return {p: m.with_stats(stats[p]["base_freqs"], stats[p]["inv_prop"], self._rates(p, m)) for p, m in self.models.items()}
 
@@ -195,12 +200,25 @@ def check_models(job: Job, stats: dict[int, dict], branches: int) -> list[str]:
 def prepare(spark: SparkSession, o: Options, extra=None, replicates: int = 0):
     job = Job(spark, o)
     validate(job)
-    al = L.pack(job.patterns(), job.labels, job.models, extra(job) if extra else None, replicates)
+    if job.probable():
+        al = _packed_vectors(job)
+    else:
+        al = L.pack(job.patterns(), job.labels, job.models, extra(job) if extra else None, replicates)
     for note in check_models(job, al.stats, 2 * len(job.labels) - 3):
         log.warning(note)
     return job, al
 
 
+def _packed_vectors(job: Job) -> L.PackedAlignment:
+    """Blocks of probability vectors; frequencies of states are their means."""
+    stats = L.statistics(job.patterns(), job.models)
+    freqs = S.probability_freqs(job.al.probs).orderBy("state_no").collect()
+    total = sum(r["freq"] for r in freqs)
+    if total > 0:
+        stats[0]["base_freqs"] = [r["freq"] / total for r in freqs]
+    return L.pack_vectors(job.al.vectors, job.labels, stats)
+
+
 # -- starting trees ---------------------------------------------------------------------
 
 def start_trees(job: Job, al: L.PackedAlignment) -> list[L.Topology]:
@@ -217,7 +235,10 @@ def start_trees(job: Job, al: L.PackedAlignment) -> list[L.Topology]:
         out += [L.Topology.from_newick(r["newick"], job.labels) for r in rows]
     n = o.start_trees.get("parsimony", 0)
     if n:
-        out += [t for t, _ in I.parsimony_trees(al, job.alphabets(), range(o.seed, o.seed + n))]
+        symbols = L.pack(job.patterns(), job.labels, job.models) if job.probable() else al  # parsimony takes the consensus
+        out += [t for t, _ in I.parsimony_trees(symbols, job.alphabets(), range(o.seed, o.seed + n))]
+        if symbols is not al:
+            symbols.close()
     for t in out:
         job.check_tree(t)
         if c and not c.allows(t):
@@ -347,7 +368,7 @@ def cmd_search(spark, o: Options) -> dict:
     if store:
         store.clear()
     al.close()
-    return out
+    return {**out, "job": job}
 
 
 def cmd_ancestral(spark, o: Options) -> dict:
@@ -378,42 +399,60 @@ def cmd_ancestral(spark, o: Options) -> dict:
 
 # -- bootstrap --------------------------------------------------------------------------
 
-def cmd_bootstrap(spark, o: Options) -> dict:
+def _sizes(o: Options, patterns: int, cores: int):
+    """(first replicate, number) of each batch: checks don't depend on them, as they are made at every interval inside."""
+    most = max(BS_BATCH, int(BS_BYTES * cores // (8 * max(1, patterns))))
+    at, n = 0, BS_BATCH
+    while at < o.bootstraps:
+        n = min(n, most, o.bootstraps - at)
+        yield at, n
+        at, n = at + n, 3 * (at + n)
+
+
+def cmd_bootstrap(spark, o: Options, job: Job | None = None) -> dict:
     """Batches of replicates, all replicates of a batch in the same jobs; optional stopping.
 
-    A finished batch is a committed directory, so a restart continues after it.
+    A replicate depends on the data, the seed and its number only, so batches may be of any size: each is three times as long as all
+    before it.  With stopping, convergence is checked at every interval, and replicates after the first success are left out.  A
+    finished batch is a committed directory, so a restart continues after it.
     """
-    job = Job(spark, o)
-    validate(job)
+    if job is None:
+        job = Job(spark, o)
+        validate(job)
     pats = job.patterns().persist()
+    stats = L.statistics(pats, job.models)
+    models = job.fitted(stats)
     store = RunStore(spark, f"{job.name('checkpoint') or o.msa + '.bs'}.bs") if not o.nofiles else None
     if store and o.redo:
         store.clear()
-    done, report, batch = [], None, 0
-    while len(done) < o.bootstraps:
-        n = min(BS_BATCH, o.bootstraps - len(done))
-        if store and store.done("bs", batch):
-            rows = store.load("bs").where(F.col("tree_id").between(len(done), len(done) + n - 1)).orderBy("tree_id").collect()
-            done += [(r["tree_id"], r["loglh"], r["newick"]) for r in rows]
-        else:
-            w = BS.multinomial_weights(pats, n, seed=o.seed + 7919 * batch)
-            al = L.pack(pats, job.labels, job.models, w, n)
-            starts = I.parsimony_trees(al, job.alphabets(), range(o.seed + len(done), o.seed + len(done) + n), range(1, n + 1))
-            models = job.fitted(al.stats)
+    done, report = [], None
+    for first, n in _sizes(o, sum(s["pattern_count"] for s in stats.values()), parallelism(spark)):
+        kept = store.load("bs") if store else None
+        rows = []
+        if kept is not None:
+            kept = kept.where(F.col("tree_id").between(first, first + n - 1)).dropDuplicates(["tree_id"])
+            rows = [(r["tree_id"], r["loglh"], r["newick"]) for r in kept.orderBy("tree_id").collect()]
+        if len(rows) < n:
+            w = BS.multinomial_weights(pats, n, o.seed, first)
+            al = L.pack(pats, job.labels, job.models, w, n, stats=stats)
+            starts = I.parsimony_trees(al, job.alphabets(), range(o.seed + first, o.seed + first + n), range(1, n + 1))
             ss = [I.Search(k, t, dict(models), k + 1, limits=(o.blmin, o.blmax)) for k, (t, _) in enumerate(starts)]
             I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(), fit_models=o.opt_model, cutoff=max(0.0, o.spr_cutoff))
-            rows = [(len(done) + s.search_id, float(s.loglh), s.tree.newick(job.labels, o.precision)) for s in ss]
+            rows = [(first + s.search_id, float(s.loglh), s.tree.newick(job.labels, o.precision)) for s in ss]
             al.close()
             if store:
-                store.save("bs", batch, spark.createDataFrame(rows, "tree_id BIGINT, loglh DOUBLE, newick STRING"))
-            done += rows
-        batch += 1
-        if o.bootstop and (len(done) % o.bs_interval == 0 or len(done) == o.bootstraps):
-            trees = spark.createDataFrame(done, "tree_id BIGINT, loglh DOUBLE, newick STRING")
-            row = _converged(trees, job.labels, [len(done)], o)
-            report = row if report is None else report.unionByName(row)
-            if row.where("converged").limit(1).collect():
-                break
+                store.save("bs", first, spark.createDataFrame(rows, "tree_id BIGINT, loglh DOUBLE, newick STRING"))
+        done += rows
+        if o.bootstop:
+            due = [p for p in H.report_prefixes(len(done), o.bs_interval) if p > first and (p % o.bs_interval == 0 or p == o.bootstraps)]
+            if due:
+                trees = spark.createDataFrame(done, "tree_id BIGINT, loglh DOUBLE, newick STRING")
+                row = _converged(trees, job.labels, due, o)
+                report = row if report is None else report.unionByName(row)
+                stop = row.where("converged").agg(F.min("trees")).first()[0]
+                if stop is not None:
+                    done = done[:stop]
+                    break
     trees = spark.createDataFrame(done, "tree_id BIGINT, loglh DOUBLE, newick STRING")
     _put(job, "bootstrap_trees", trees)
     if store:
@@ -429,9 +468,9 @@ def _converged(trees: DataFrame, labels, prefixes, o: Options, until=True) -> Da
 
 
 def cmd_all(spark, o: Options) -> dict:
-    ml = cmd_search(spark, replace(o))
-    bs = cmd_bootstrap(spark, o)
-    out = {**ml, **{k: v for k, v in bs.items() if k != "job"}}
+    ml = cmd_search(spark, o)
+    bs = cmd_bootstrap(spark, o, ml["job"])
+    out = {**ml, **bs}
     out["support"] = _support(spark, o, ml["newick"], bs["bs_trees"], bs["job"].labels)
     return out
 

@@ -607,8 +607,5 @@ def parsimony_trees(al: PackedAlignment, alphabets: dict[int, object], seeds: Se
             near[tip] = {}
             for v in (p, b, tip):
                 near[m][v] = near[v][m] = nw.DEFAULT_LENGTH
-    scores = np.zeros(len(trees), dtype=np.int64)
-    for r in sorted(set(rows)):
-        idx = [i for i, x in enumerate(rows) if x == r]
-        scores[idx] = L.parsimony_scores(al, [trees[i] for i in idx], alphabets, r)
+    scores = L.parsimony_scores(al, trees, alphabets, rows)
     return [(t, int(s)) for t, s in zip(trees, scores)]

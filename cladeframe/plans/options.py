@@ -37,7 +37,7 @@ class Options:
     precision: int = 6
     seed: int = 0
     pat_comp: bool = True
-    prob_msa: bool = False
+    prob_msa: bool = True
     brlen: str = "scaled"
     blmin: float = 1e-6
     blmax: float = 100.0
@@ -192,6 +192,8 @@ def parse(argv: list[str]) -> Options:
         o.bs_metric = [{"tbe-naive": "tbe", "tbe-nature": "tbe"}.get(x.lower(), x.lower()) for x in a["bs_metric"].split(",")]
         if set(o.bs_metric) - {"fbp", "tbe"}:
             raise OptionError(f"unknown support metric: {a['bs_metric']}")
+    if a["prob_msa"]:  # asked for; by default columns stay together until there are probabilities
+        o.pat_comp = False
     _bootstrap_count(o, a["bs_trees"])
     _aliases(o)
     _consistency(o)
@@ -249,8 +251,6 @@ def _consistency(o: Options) -> None:
         raise OptionError("epsilon and branch-length limits must be positive and ordered")
     if o.constraint and "parsimony" in o.start_trees:
         raise OptionError("parsimony starting trees cannot follow a constraint; use random ones")
-    if o.prob_msa:
-        o.pat_comp = False
     if c in ("search", "search1", "all", "evaluate", "loglh", "start", "ancestral"):
         if not o.start_trees:
             o.start_trees = {"random": 20} if o.constraint else {"random": 10, "parsimony": 10}

@@ -30,6 +30,8 @@ class Alignment:
     probs: DataFrame | None = None
     partitions: list | None = None
     patterns: DataFrame | None = None
+    #: One row per column with a probability vector per taxon: (part_id, site, vectors).
+    vectors: DataFrame | None = None
 
     @property
     def taxa(self) -> DataFrame:
@@ -143,7 +145,7 @@ def read_catg(spark: SparkSession, path: str) -> Alignment:
     if found != length:
         raise FormatError(f"CATG: {found} columns, not {length}")
     cells = checked.select("part_id", "site", F.posexplode("probs").alias("taxon_id", "probs"))
-    return Alignment(checked.drop("probs"), labels, cells)
+    return Alignment(checked.drop("probs"), labels, cells, vectors=checked.select("part_id", "site", F.col("probs").alias("vectors")))
 
 
 def sniff(spark: SparkSession, path: str) -> str:

@@ -1,3 +1,4 @@
+import numpy as np
 import itertools
 
 import pytest
@@ -232,3 +233,23 @@ def test_registered_searches_run_at_the_defaults(spark, sf, monkeypatch):
     files.Q["cmd_all"](spark, sf)
     assert "--tree" not in lines[0] and "--bs-trees" not in lines[0]
     assert {r.perm for r in trees.Q["bootstop_halves"](spark, sf).select("perm").distinct().collect()} == set(range(1000))
+
+
+def test_probabilities_change_the_likelihood(spark, tmp_path):
+    """By default, as with --prob-msa on, a file of probabilities is scored by them; off, by its symbols."""
+    rows = ["5 6", "a b c d e"]
+    rng = np.random.default_rng(3)
+    for i in range(6):
+        p = rng.dirichlet(np.ones(4), 5)
+        # fixed order of the file format: C, A, T, G
+        rows.append("".join("CATG"[k] for k in p.argmax(axis=1)) + " " + " ".join(",".join(f"{x:.4f}" for x in v) for v in p))
+    f, t = tmp_path / "p.catg", tmp_path / "t.nwk"
+    f.write_text("\n".join(rows) + "\n")
+    t.write_text("((a:0.1,b:0.2):0.05,(c:0.3,d:0.15):0.1,e:0.4);\n")
+    score = lambda more: go(spark, f"--loglh --msa {f} --model JC --tree {t} --nofiles{more}")["ml_trees"].first()["loglh"]
+    soft, on, off = score(""), score(" --prob-msa on"), score(" --prob-msa off")
+    assert soft == on != off
+    fitted = go(spark, f"--evaluate --msa {f} --model JC --tree {t} --nofiles")["ml_trees"].first()["loglh"]
+    assert fitted >= soft
+    found = go(spark, f"--search --msa {f} --model GTR+FC --tree pars{{1}} --nofiles")["ml_trees"].first()
+    assert np.isfinite(found["loglh"])

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from cladeframe.functions import models as M
-from cladeframe.functions.kernel import Block, Rates, fitch, fitch_insertions
+from cladeframe.functions.kernel import Block, Rates, VectorBlock, fitch, fitch_insertions, tip_vectors
 from cladeframe.operators import likelihood as L
 from cladeframe.plans import inference as I
 
@@ -342,3 +342,53 @@ def test_radius_is_the_widest_window_that_gained(spark, monkeypatch):
         s = I.Search(0, None, {}, loglh=0.0)
         I._detect_radius(None, [s], top, None)
         assert (s.radius, seen) == (want, windows)
+
+
+@pytest.mark.parametrize("model", ["JC", "GTR{1/2/3/1/4/1}+FU{0.1/0.2/0.3/0.4}+G4{0.6}+IU{0.1}"])
+def test_one_hot_vectors_score_as_symbols(spark, model):
+    """Vectors of zeros and ones give likelihood, derivatives and moves of the symbols they stand for."""
+    m = M.parse_model(model)
+    cols = columns(80)
+    masks = m.alphabet.table()
+    hot = lambda c: [[float(int(masks[ord(x)]) >> k & 1) for k in range(4)] for x in c]
+    table = spark.createDataFrame([(hot(c),) for c in cols], "vectors ARRAY<ARRAY<DOUBLE>>")
+    al, av = L.pack(frame(spark, cols), LABELS, m), L.pack_vectors(table, LABELS, {0: {"base_freqs": [0.25] * 4, "site_count": 80}})
+    c = L.Candidate(L.Topology.from_newick(TREE, LABELS), {0: m})
+    assert np.allclose(I.totals(al, [c]), I.totals(av, [c]))
+    (a, ga), (b, gb) = L.derivatives(al, [c]), L.derivatives(av, [c])
+    assert np.allclose(a, b) and all(np.allclose(ga[0][0][v], gb[0][0][v], atol=1e-6) for v in ga[0][0])
+    assert np.allclose(L.move_scores(al, [c], 1, 5)[0][1], L.move_scores(av, [c], 1, 5)[0][1])
+    al.close()
+    av.close()
+
+
+def test_vectors_against_enumeration():
+    """Pruning of probability vectors against the sum over all states of tips and inner nodes."""
+    m = M.parse_model("GTR{1/2/3/1/4/1}+FU{0.1/0.2/0.3/0.4}")
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 1, (3, 5, 4))
+    x[1, 2] = 0
+    v = tip_vectors(x, True)
+    assert np.allclose(v[1, 2], 1) and np.allclose(np.delete(v.reshape(15, 4), 7, 0).sum(axis=1), 1)
+    assert np.allclose(tip_vectors(x, False)[0], x[0])
+    t = L.Topology.from_newick(TREE, LABELS)
+    order, length = t.rooted()
+    got = VectorBlock(v).loglh(Rates(m), order, length)
+    up = {c: p for p, kids in order for c in kids}
+    inner = [p for p, _ in order]
+    for i in range(3):
+        total = 0.0
+        for states in itertools.product(range(4), repeat=len(inner)):
+            at = dict(zip(inner, states))
+            w = m.freqs[at[inner[-1]]]
+            for c, p in up.items():
+                row = M.transition(m, length[c])[0][at[p]]
+                w *= row[at[c]] if c in at else row @ v[i, c]
+            total += w
+        assert np.isclose(got[i], np.log(total))
+
+
+def test_odd_vectors_are_refused(spark):
+    short = spark.createDataFrame([([[1.0, 0.0]] * 5,)], "vectors ARRAY<ARRAY<DOUBLE>>")
+    with pytest.raises(ValueError, match="5 vectors of 4"):
+        L.pack_vectors(short, LABELS, {0: {"base_freqs": [0.25] * 4, "site_count": 1}})
