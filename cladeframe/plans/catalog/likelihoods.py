@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
+from cladeframe.functions import registered
 from cladeframe.functions.models import parse_model
 from cladeframe.functions.ratehet import gamma_rates
 from cladeframe.operators import bootstrap, likelihood as L, sites, trees as T
 from cladeframe.plans import inference as I, recipes as R
 from cladeframe.plans.catalog import sql as S
 from cladeframe.plans.catalog.trees import NATIONS, newick_of, segment_trees
+from cladeframe.session import shared_dir
 
 Q: dict = {}
 O: dict = {}
@@ -436,3 +439,44 @@ def spr_round(spark, d):
 def kbest_topologies(spark, d):
     """The 20 best moves: the beam of the search as a top-k query."""
     return spr_round(spark, d).orderBy(F.col("loglh").desc(), "move").limit(I.KEEP_TOPOLOGIES)
+
+
+# -- registered functions ---------------------------------------------------------------
+
+@query(f"WITH {LINE_MASKS}, {_JC} SELECT part_id, round(sum(weight * {_SITE}), 4) AS loglh FROM f GROUP BY 1")
+def sql_pattern_loglh(spark, d):
+    """The likelihood as a function in SQL."""
+    registered.register(spark)
+    return spark.sql("SELECT part_id, round(sum(weight * pattern_loglh(pattern, {taxa}, {tree}, 'JC')), 4) AS loglh FROM {patterns} GROUP BY part_id",
+                     patterns=_patterns(spark, d), taxa=",".join(LABELS), tree=TREE)
+
+
+@query("SELECT DISTINCT label, label + 2 AS categories, 2 * (label + 2) - 2 AS free_params, 'JC+R' || (label + 2) AS canonical FROM embeddings WHERE label >= 0")
+def sql_parse_model(spark, d):
+    """Models named by rows of a table, parsed by a lateral join."""
+    registered.register(spark)
+    return spark.sql("SELECT l.label, m.categories, CAST(m.free_params AS INT) AS free_params, m.canonical FROM (SELECT DISTINCT label FROM {v} WHERE label >= 0) l, LATERAL parse_model(concat('JC+R', label + 2)) m",
+                     v=R.table(spark, d, "embeddings"))
+
+
+# -- state of a run ---------------------------------------------------------------------
+
+@query(f"WITH {_BIN} SELECT 2::INTEGER AS number, round(sum(weight * ln(0.5 * (r_0_0 + r_0_1))), 4) AS loglh FROM f")
+def checkpoint_rw(spark, d):
+    """Two states are written, and a newer one that can't be read; a new search takes up the second and scores its tree."""
+    from cladeframe.plans.checkpoint import Checkpoint, restore
+    m = parse_model("BIN+FE")
+    al = L.pack(sites.compress_patterns(R.event_sites(spark, d)), R.EVENT_TAXA, m)
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    other = "((view:0.3,error:0.3):0.3,purchase:0.3,(signup:0.3,click:0.3):0.3);"
+    c = Checkpoint(spark, path)
+    for text in (other, EVENT_TREE):
+        c.save({"step": "fast", "round": 1, "windows": {}}, [I.Search(0, L.Topology.from_newick(text, R.EVENT_TAXA), {0: m})])
+    c.store.save("state", 3, spark.createDataFrame([(3, "{")], "number INT, record STRING"))
+    s = I.Search(0, L.Topology.from_newick(other, R.EVENT_TAXA), {0: m})
+    again = Checkpoint(spark, path)
+    restore(s, again.load()["searches"][0])
+    t = L.score_table(al, [s.candidate()]).select(F.lit(again.number - 1).alias("number"), F.round("lnl", 4).alias("loglh"))
+    out = _released(al, t)
+    again.store.clear()
+    return out

@@ -575,3 +575,11 @@ def best_ml_trees(spark, d):
     g = o.groupBy("o_custkey").agg(F.max_by("o_orderkey", key).alias("tree_id"), F.max(-F.col("o_totalprice")).alias("loglh"),
                                    F.max_by("o_orderpriority", key).alias("newick"))
     return g.select("tree_id", "loglh", "newick")
+
+
+@query(f"WITH {SUP} SELECT tree_id, split FROM splits")
+def sql_newick_splits(spark, d):
+    """Splits of supplier trees by the table function, joined laterally in SQL."""
+    from cladeframe.functions.registered import register
+    register(spark)
+    return spark.sql("SELECT t.tree_id, s.split FROM {t} t, LATERAL newick_splits(t.newick, {taxa}) s", t=supplier_trees(spark, d), taxa=",".join(LINES))

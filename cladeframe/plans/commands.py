@@ -27,6 +27,7 @@ from cladeframe.operators import treesets as TS
 from cladeframe.operators.partitions import AlignmentView, split_by_ranges
 from cladeframe.operators.scoring import ELEMENTS_PER_CORE, cores_for, ic_scores, memory_bytes
 from cladeframe.plans import inference as I
+from cladeframe.plans.checkpoint import Checkpoint
 from cladeframe.plans.options import Options, usage
 from cladeframe.sources import schemes, sinks
 from cladeframe.sources.alignments import Alignment, read_alignment
@@ -349,7 +350,7 @@ def cmd_evaluate(spark, o: Options) -> dict:
 
 
 def cmd_search(spark, o: Options) -> dict:
-    """Searches run in step; finished runs are kept in the run store and not repeated."""
+    """Searches run in step; a run that was stopped goes on from its last step, a finished one is kept in the run store and not repeated."""
     job, al = prepare(spark, o)
     store = RunStore(spark, job.name("checkpoint")) if not o.nofiles else None
     if store and o.redo:
@@ -359,9 +360,10 @@ def cmd_search(spark, o: Options) -> dict:
         ss = _searches(job, al, [L.Topology.from_newick(r["newick"], job.labels) for r in rows])
         I.evaluate(al, ss, o.lh_epsilon, o.brlen, o.opt_model, o.opt_branches)
     else:
+        state = Checkpoint(spark, store.path) if store else None
         ss = _searches(job, al, start_trees(job, al))
         I.search(al, ss, o.lh_epsilon, o.brlen, o.spr_radius, job.constraint(),
-                 on_step=lambda step, x: log.info("%s: best %.6f", step, max(s.loglh for s in x)), fit_models=o.opt_model, cutoff=max(0.0, o.spr_cutoff))
+                 on_step=lambda step, x: log.info("%s: best %.6f", step, max(s.loglh for s in x)), fit_models=o.opt_model, cutoff=max(0.0, o.spr_cutoff), checkpoint=state)
         if store:
             store.save("ml", 0, _scored(job, ss))
     out = _finish(job, al, ss)

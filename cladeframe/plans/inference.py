@@ -493,15 +493,42 @@ def _connected(t: Topology) -> bool:
     return len(seen) == len(t.near)
 
 
+#: Steps of a search in order; "radius", "fast" and "slow" are repeated.
+SEARCH_STEPS = ("lengths", "model", "radius", "refit", "fast", "between", "slow", "final")
+
+
 def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON, linkage: str = "scaled",
            radius: int = 0, constraint: Constraint | None = None, on_step: Callable | None = None,
-           fit_models: bool = True, cutoff: float = 0.0) -> None:
+           fit_models: bool = True, cutoff: float = 0.0, checkpoint=None) -> None:
     """Maximum-likelihood search from every start tree, all in step.
 
     Rough lengths and models, radius detection by growing windows, fast rounds while they
     gain, then thorough rounds with a growing radius, and final fitting to ``eps``.
     ``cutoff`` (0: none) bounds how far fast and thorough rounds follow a way that costs likelihood.
+    With a ``checkpoint`` the state is written before every step and every round, and a search that finds one goes on from there.
     """
+    place: dict = {"step": SEARCH_STEPS[0], "round": 0, "windows": {}}
+    known = checkpoint.load() if checkpoint else None
+    if known and len(known["searches"]) == len(searches):
+        from cladeframe.plans.checkpoint import restore
+        for s, state in zip(searches, known["searches"]):
+            restore(s, state)
+        place.update({k: known[k] for k in place if k in known})
+    first = place["step"]
+
+    def begin(step: str) -> bool:
+        """Whether the step is still to be done; a step that is begun anew starts at round 0."""
+        if SEARCH_STEPS.index(step) < SEARCH_STEPS.index(first):
+            return False
+        if step != place["step"]:
+            place.update(step=step, round=0, windows={})
+        write()
+        return True
+
+    def write() -> None:
+        if checkpoint:
+            checkpoint.save(place, searches)
+
     def note(step):
         if on_step:
             on_step(step, searches)
@@ -514,63 +541,83 @@ def search(al: PackedAlignment, searches: list[Search], eps: float = LH_EPSILON,
 
     n = len(al.labels)
     top = max(1, min(AUTO_RADIUS_MAX, n - 3))
-    if linkage == "unlinked" and len(al.stats) > 1:
-        for s in searches:
-            unlink(al, s)
-    optimise_lengths(al, searches, 10.0)
-    note("lengths")
-    fit(10.0)
-    note("model")
+    if begin("lengths"):
+        if linkage == "unlinked" and len(al.stats) > 1:
+            for s in searches:
+                unlink(al, s)
+        optimise_lengths(al, searches, 10.0)
+        note("lengths")
+    if begin("model"):
+        fit(10.0)
+        note("model")
     if radius:
         for s in searches:
             s.radius = radius
-    else:
-        _detect_radius(al, searches, top, constraint)
+    elif begin("radius"):
+        _detect_radius(al, searches, top, constraint, place, write)
         note("radius")
-    fit(3.0)
-    for s in searches:
-        s.cut, s.cost_sum, s.cost_n = -s.loglh / 1000, 0.0, 0
+    if begin("refit"):
+        fit(3.0)
     for thorough in (False, True):
-        for s in searches:
-            s.active = True
-        lo = {s.search_id: 1 for s in searches}
-        hi = {s.search_id: AUTO_RADIUS_STEP if thorough else max(1, s.radius) for s in searches}
-        while True:
-            groups: dict[tuple[int, int], list[Search]] = {}
-            for s in searches:
-                if s.active:
-                    groups.setdefault((lo[s.search_id], hi[s.search_id]), []).append(s)
-            if not groups:
-                break
-            for (a, b), ss in groups.items():
-                before = [s.loglh for s in ss]
-                spr_round(al, ss, a, b, thorough, eps, constraint, cutoff=cutoff)
-                for s, x in zip(ss, before):
-                    if s.loglh - x > eps:
-                        lo[s.search_id], hi[s.search_id] = 1, AUTO_RADIUS_STEP if thorough else b
-                    elif thorough and b + 1 < top:
-                        lo[s.search_id], hi[s.search_id] = b + 1, b + AUTO_RADIUS_STEP
-                    else:
-                        s.active = False
+        if begin("slow" if thorough else "fast"):
+            _rounds(al, searches, top, thorough, eps, constraint, cutoff, place, write)
             note("slow" if thorough else "fast")
-        fit(1.0 if not thorough else eps)
+        if not thorough and begin("between"):
+            fit(1.0)
+    if begin("final"):
+        fit(eps)
     note("done")
 
 
-def _detect_radius(al, searches, top, constraint):
+def _rounds(al, searches, top, thorough, eps, constraint, cutoff, place, write) -> None:
+    """Fast rounds at the radius while they gain; thorough ones in windows that go out until one gains, then again from the first."""
+    if not place["round"]:
+        for s in searches:
+            s.active = True
+            if not thorough:
+                s.cut, s.cost_sum, s.cost_n = -s.loglh / 1000, 0.0, 0
+        place["windows"] = {str(s.search_id): [1, AUTO_RADIUS_STEP if thorough else max(1, s.radius)] for s in searches}
+    window = place["windows"]
+    while True:
+        groups: dict[tuple[int, int], list[Search]] = {}
+        for s in searches:
+            if s.active:
+                groups.setdefault(tuple(window[str(s.search_id)]), []).append(s)
+        if not groups:
+            break
+        for (a, b), ss in groups.items():
+            before = [s.loglh for s in ss]
+            spr_round(al, ss, a, b, thorough, eps, constraint, cutoff=cutoff)
+            for s, x in zip(ss, before):
+                if s.loglh - x > eps:
+                    window[str(s.search_id)] = [1, AUTO_RADIUS_STEP if thorough else b]
+                elif thorough and b + 1 < top:
+                    window[str(s.search_id)] = [b + 1, b + AUTO_RADIUS_STEP]
+                else:
+                    s.active = False
+        place["round"] += 1
+        write()
+
+
+def _detect_radius(al, searches, top, constraint, place=None, write=lambda: None):
     """The widest window that still gains, beginning with the first; each is tried before it is taken."""
-    live = list(searches)
-    for s in live:
-        s.radius = AUTO_RADIUS_STEP
-    lo = 1
-    while live and lo < top:
+    place = {"round": 0} if place is None else place
+    if not place["round"]:
+        for s in searches:
+            s.radius, s.active = AUTO_RADIUS_STEP, True
+    live = [s for s in searches if s.active]
+    while live and 1 + place["round"] * AUTO_RADIUS_STEP < top:
+        lo = 1 + place["round"] * AUTO_RADIUS_STEP
         hi = lo + AUTO_RADIUS_STEP - 1
         before = [s.loglh for s in live]
         spr_round(al, live, lo, hi, False, 1.0, constraint, keep=0)
-        live = [s for s, x in zip(live, before) if s.loglh - x > 0.1]
-        for s in live:
-            s.radius = hi
-        lo += AUTO_RADIUS_STEP
+        for s, x in zip(live, before):
+            s.active = s.loglh - x > 0.1
+            if s.active:
+                s.radius = hi
+        live = [s for s in live if s.active]
+        place["round"] += 1
+        write()
 
 
 # -- starting trees ---------------------------------------------------------------------

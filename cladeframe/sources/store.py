@@ -72,6 +72,13 @@ class RunStore:
                  if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return self.spark.read.option("basePath", base).parquet(*ready).drop("batch") if ready else None
 
+    def forget(self, kind: str, batch: int) -> None:
+        """Delete one batch."""
+        self._delete(f"{self.path}/{kind}/batch={batch}")
+
     def clear(self) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -392,3 +392,78 @@ def test_odd_vectors_are_refused(spark):
     short = spark.createDataFrame([([[1.0, 0.0]] * 5,)], "vectors ARRAY<ARRAY<DOUBLE>>")
     with pytest.raises(ValueError, match="5 vectors of 4"):
         L.pack_vectors(short, LABELS, {0: {"base_freqs": [0.25] * 4, "site_count": 1}})
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_stopped_search_ends_as_an_uninterrupted_one(spark, tmp_path, monkeypatch):
+    """Stopped before each step and round in turn, and started again with new objects, it reaches the same trees and numbers."""
+    from cladeframe.plans.checkpoint import Checkpoint
+
+    labels = list("abcdefg")
+    m = M.parse_model("HKY+G")
+    al = L.pack(frame(spark, columns(70, 7, 4, "ACGT-")), labels, m)
+    starts = ["((a,c),(b,d),(e,(f,g)));", "((g,c),(b,a),(e,(f,d)));"]
+
+    def fresh():
+        return [I.Search(k, L.Topology.from_newick(t, labels), {0: m}) for k, t in enumerate(starts)]
+
+    def ends(ss):
+        return [(s.loglh, s.tree.newick(labels, 12), s.models[0].text(True, 12), s.radius) for s in ss]
+    whole = fresh()
+    I.search(al, whole, cutoff=1.0)
+    seen: list = []
+    steps: list = []
+    save = Checkpoint.save
+
+    def stop_at(number):
+        def saved(self, place, searches):
+            save(self, place, searches)
+            steps.append((place["step"], place["round"]))
+            if len(steps) == number:
+                raise Stopped
+        return saved
+    # every third place, so that the test stays short; the store is the same from stop to stop
+    path, ss = str(tmp_path / "run"), None
+    for _ in range(40):
+        steps.clear()
+        monkeypatch.setattr(Checkpoint, "save", stop_at(3))
+        ss = fresh()
+        try:
+            I.search(al, ss, cutoff=1.0, checkpoint=Checkpoint(spark, path))
+            break
+        except Stopped:
+            seen += steps
+    assert {s for s, _ in seen} >= {"lengths", "radius", "fast", "slow"} and ends(ss) == ends(whole)
+    al.close()
+
+
+def test_state_is_read_tolerantly(spark, tmp_path):
+    from cladeframe.plans import checkpoint as K
+
+    m = M.parse_model("GTR+R3+B")
+    s = I.Search(4, L.Topology.from_newick(TREE, LABELS), {0: m, 2: m}, 1, {0: {0: 0.1}}, -12.5, 6, False, (1e-5, 9.0), 3.0, 1.5, 2)
+    c = K.Checkpoint(spark, str(tmp_path / "s"))
+    for step in ("lengths", "model", "fast"):
+        c.save({"step": step, "round": 1, "windows": {"4": [1, 5]}}, [s])
+    again = K.Checkpoint(spark, str(tmp_path / "s"))
+    record = again.load()
+    assert record["step"] == "fast" and again.number == 3
+    assert sorted(r.number for r in again.store.load("state").collect()) == [2, 3]
+    t = I.Search(0, s.tree, {0: m, 2: m})
+    K.restore(t, record["searches"][0])
+    assert K.search_state(t) == K.search_state(s) and list(t.tree.near) == list(s.tree.near)
+    old = dict(record["searches"][0])
+    for k in ("cut", "cost_n", "models", "lengths"):
+        old.pop(k)
+    u = I.Search(0, s.tree, {0: m})
+    K.restore(u, old)
+    assert (u.search_id, u.cut, u.lengths) == (4, np.inf, {})
+    rows = [(8, '{"version": 99, "searches": []}'), (9, "{broken"), (10, '{"version": 1, "searches": [{}]}')]
+    for n, text in rows:
+        again.store.save("state", n, spark.createDataFrame([(n, text)], "number INT, record STRING"))
+    newest = K.Checkpoint(spark, str(tmp_path / "s"))
+    assert newest.load()["step"] == "fast" and newest.number == 10
+    assert K.Checkpoint(spark, str(tmp_path / "none")).load() is None
