@@ -170,18 +170,38 @@ def sink_ancestral_probs(spark, d):
     return r.select("Node", "Part", "Site", F.format_string("%.4f", F.round(F.col("p_A").cast("double"), 4)).alias("p_A"))
 
 
-@query()
+def _all_topologies(n: int) -> list[list[int]]:
+    """Splits of all unrooted binary trees over n taxa as bit masks of the side without the first taxon."""
+    grown = [[0b110, 0b010, 0b100]]  # three tips: the branches above them, by what is below
+    for k in range(3, n):
+        new = 1 << k
+        grown = [[m | new if m & e == e and m != e else m for m in t] + [e | new, new] for t in grown for e in t]
+    return [sorted(m for m in t if m.bit_count() > 1 and m.bit_count() < n - 1) for t in grown]
+
+
+def _terrace_sql() -> str:
+    """Trees with the same splits as the supplier's in every flag's taxa, among all topologies of seven."""
+    every = ", ".join(f"({i}, {t})" for i, t in enumerate(_all_topologies(7)))
+    flags = ", ".join(f"coalesce(bit_or(CASE WHEN l_quantity > 45 AND l_returnflag = '{f}' THEN 1 << (l_linenumber - 1) END), 0)::INTEGER" for f in "ANR")
+    cut = "list_sort(list_distinct(list_filter(list_transform({s}, lambda x: least(x & p, ~x & p)), lambda y: bit_count(y) >= 2 AND bit_count(p & ~y) >= 2)))"
+    return (f"WITH {TQ.SUP}, every(topology, s) AS (VALUES {every}), have AS (SELECT l_suppkey AS tree_id, [{flags}] AS parts FROM lineitem GROUP BY 1), "
+            "own AS (SELECT tree_id, list(list_sum(list_transform(range(1, 8), lambda i: CASE WHEN split[i] = '1' THEN 1 << (i - 1) ELSE 0 END))::INTEGER) AS s FROM splits GROUP BY 1), "
+            "part AS (SELECT tree_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS k FROM have), "
+            f"mine AS (SELECT tree_id, k, p, {cut.format(s='own.s')} AS c FROM part JOIN own USING (tree_id)), "
+            f"kept AS (SELECT p, {cut.format(s='every.s')} AS c, topology FROM (SELECT DISTINCT p FROM part) CROSS JOIN every), "
+            "same AS (SELECT tree_id, topology FROM mine JOIN kept USING (p, c) GROUP BY 1, 2 HAVING count(*) = 3) "
+            "SELECT h.tree_id, CASE WHEN bit_count(parts[1] & parts[2] & parts[3]) = 0 THEN NULL ELSE count(topology) END AS size FROM have h LEFT JOIN same USING (tree_id) GROUP BY h.tree_id, parts")
+
+
+@query(_terrace_sql())
 def terrace_size(spark, d):
-    """Terrace of every supplier's tree; a line number has data for a return flag if it sold over 45."""
-    li = R.table(spark, d, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_linenumber", "l_returnflag")
-    flags = ["A", "N", "R"]
-    g = li.groupBy(F.col("l_suppkey").alias("tree_id"), "l_linenumber").agg(
-        *[F.max(F.when(F.col("l_returnflag") == f, 1)).alias(f) for f in flags])
-    bits = F.concat(*[F.coalesce(F.col(f), F.lit(0)).cast("string") for f in flags])
-    have = g.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", bits.alias("b")))).alias("m"))
-    full = have.select("tree_id", F.map_from_arrays(F.array(*[F.lit(x) for x in TQ.LINES]), F.array(
-        *[F.coalesce(F.element_at("m", i + 1), F.lit("000")) for i in range(7)])).alias("presence"))
-    return terraces.terrace_sizes(TQ.supplier_trees(spark, d).join(full, "tree_id"))
+    """Terrace of every supplier's tree; a line number has data for a return flag if it sold over 45 at once."""
+    li = R.table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") > 45).alias("large"))
+    bits = lambda k: F.concat(*[F.coalesce(F.max(F.when(F.col("large") & (F.col("l_linenumber") == k) & (F.col("l_returnflag") == f), "1")), F.lit("0")) for f in "ANR"])
+    have = li.groupBy(F.col("l_suppkey").alias("tree_id")).agg(*[bits(k).alias(f"b{k}") for k in R.LINES])
+    full = have.select("tree_id", F.map_from_arrays(F.array(*[F.lit(x) for x in TQ.LINES]), F.array(*[F.col(f"b{k}") for k in R.LINES])).alias("presence"))
+    out = terraces.terrace_sizes(TQ.supplier_trees(spark, d).join(full, "tree_id"))
+    return out.withColumn("size", F.col("size").cast("bigint"))
 
 
 # -- whole commands on files derived from the tables -----------------------------------

@@ -588,6 +588,9 @@ def cmd_terrace(spark, o: Options) -> dict:
     presence = {x: "".join("1" if (i, p.part_id) in have else "0" for p in job.parts) for i, x in enumerate(job.labels)}
     out = {"size": TR.terrace_size(spark, text, presence), "trees": TR.enumerate_terrace(text, presence, o.terrace_max)}
     out["listed"] = out["trees"] is not None
+    out["compressed"] = TR.compressed(text, presence)
+    if not o.nofiles and out["compressed"]:
+        _put(job, "terrace_compressed", spark.createDataFrame([(0, out["compressed"])], "tree_id BIGINT, newick STRING"))
     if out["trees"]:
         _put(job, "terrace", spark.createDataFrame(list(enumerate(out["trees"])), "tree_id BIGINT, newick STRING"))
     return out

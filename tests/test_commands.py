@@ -1,3 +1,4 @@
+import re
 import numpy as np
 import itertools
 
@@ -253,3 +254,61 @@ def test_probabilities_change_the_likelihood(spark, tmp_path):
     assert fitted >= soft
     found = go(spark, f"--search --msa {f} --model GTR+FC --tree pars{{1}} --nofiles")["ml_trees"].first()
     assert np.isfinite(found["loglh"])
+
+
+def rooted_by_trial(taxa, rules):
+    """All rooted trees that obey the rules, by trying every way to part the taxa in two; no sharing, no short cuts."""
+    if len(taxa) == 1:
+        return [next(iter(taxa))]
+    out, names = [], sorted(taxa)
+    for choice in range(1 << (len(names) - 1)):
+        right = frozenset(x for i, x in enumerate(names[1:]) if choice >> i & 1)
+        left = frozenset(names) - right
+        cuts = {x: x in right for x in names}
+        if right and all(cuts[a] == cuts[b] for a, b, c in rules if {a, b, c} <= taxa):
+            out += [f"({x},{y})" for x in rooted_by_trial(left, rules) for y in rooted_by_trial(right, rules)]
+    return out
+
+
+def shape(text):
+    """Clades of a rooted tree."""
+    out, open_ = set(), []
+    for token in re.findall(r"[()]|\w+", text):
+        if token == "(":
+            open_.append(set())
+            continue
+        clade = frozenset(open_.pop()) if token == ")" else frozenset([token])
+        out.add(clade)
+        if open_:
+            open_[-1] |= clade
+    return frozenset(out)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_terrace_graph_against_trial(seed):
+    rng = np.random.default_rng(seed)
+    taxa = frozenset("abcdef"[: 4 + seed % 3])
+    start = rooted_by_trial(taxa, [])[int(rng.integers(15))]
+    has = shape(start)
+    every = [(a, b, c) for a in taxa for b in taxa for c in taxa if a < b and c not in (a, b) and any({a, b} <= s and c not in s for s in has)]
+    rules = [sorted(every)[i] for i in rng.choice(len(every), size=min(len(every), int(rng.integers(1, 5))), replace=False)]
+    t = TR.Terrace(taxa, rules)
+    want = [shape(x) for x in rooted_by_trial(taxa, rules)]
+    got = [shape(x) for x in t.trees()]
+    assert t.size() == len(got) == len(set(got)) == len(want) and set(got) == set(want) and has in got
+    assert all(x in t.text() for x in taxa)
+
+
+def test_terrace_without_trial_of_free_taxa():
+    """Forty taxa no rule has are not tried one by one; equal sets are solved once and named once in the text."""
+    free = [f"f{i}" for i in range(40)]
+    t = TR.Terrace(frozenset(["a", "b", "c", *free]), [("a", "b", "c")])
+    n = 1
+    for k in range(3, 43):
+        n *= 2 * k - 1
+    assert t.size() == n and len(t.nodes) <= 6
+    pairs = [(f"x{i}", f"y{i}", f"x{(i + 1) % 5}") for i in range(5)]
+    u = TR.Terrace(frozenset(x for p in pairs for x in p), pairs)
+    assert len(u.nodes) < 80 and "#1=" in u.text() and u.size() > 100
+    assert TR.compressed("((a,b),(c,d),e);", {x: "11" for x in "abcde"}) is not None
+    assert TR.compressed("((a,b),(c,d),e);", {x: "10" if x < "c" else "01" for x in "abcde"}) is None
