@@ -273,12 +273,18 @@ def cmd_consense(spark, d):
     return c.agg(F.countDistinct("split").alias("n_splits"), F.sum("n").alias("support"))
 
 
-@query()
+@query(f"""WITH {TQ.SEG}, {TQ._REF}, t AS (SELECT count(DISTINCT tree_id) AS t FROM counts),
+d AS (SELECT r.split, s.tree_id, min(least({TQ._HAM}, 25 - {TQ._HAM})) AS d FROM ref r CROSS JOIN splits s GROUP BY 1,2),
+p AS (SELECT split, tree_id, d, least(length(replace(split,'0','')), length(replace(split,'1',''))) AS p FROM d)
+SELECT 'fbp' AS metric, split, floor((SELECT count(*) FROM splits s WHERE s.split = ref.split)::DOUBLE / t * 100 + 0.5) AS support FROM ref, t
+UNION ALL SELECT 'tbe', split, round(1 - avg(least(d, p - 1)) / (p - 1), 5) FROM p GROUP BY split, p""")
 def cmd_support(spark, d):
+    """Both supports as the command writes them into the reference tree."""
     ref = _newick_file(spark, TQ._reference(spark, d))
     reps = _newick_file(spark, TQ.segment_trees(spark, d))
     out = command(spark, f"--support --tree {ref} --bs-trees {reps} --bs-metric fbp,tbe --prefix {ref}-out")["support"]
-    return out["fbp"].withColumn("metric", F.lit("fbp")).unionByName(out["tbe"].withColumn("metric", F.lit("tbe")))
+    told = lambda m: TQ.labelled_splits(out[m], TQ.NATIONS).select(F.lit(m).alias("metric"), "split", F.round(F.col("label").cast("double"), 5).alias("support"))
+    return told("fbp").unionByName(told("tbe"))
 
 
 @query()

@@ -169,12 +169,19 @@ def support_tbe(spark, d):
     return r.select("split", r6("support").alias("support"))
 
 
-@query()
+def labelled_splits(drawn, labels):
+    """(split, label) of the inner nodes of a tree that was drawn as text."""
+    return T.tree_splits(drawn.select(F.lit(0).alias("tree_id"), "newick"), labels).select("split", "label")
+
+
+@query(f"""WITH {SEG}, {_REF}, t AS (SELECT count(DISTINCT tree_id) AS t FROM counts)
+SELECT split, floor((SELECT count(*) FROM splits s WHERE s.split = ref.split)::DOUBLE / t * 100 + 0.5)::BIGINT::VARCHAR AS label FROM ref, t""")
 def support_label(spark, d):
+    """Supports as they stand in the text of the reference tree."""
     t = segment_trees(spark, d)
     ref = _reference(spark, d)
     s = TS.support_fbp(splits(ref, NATIONS), splits(t, NATIONS), trees=t)
-    return TS.draw_support(ref.first().newick, s, NATIONS)
+    return labelled_splits(TS.draw_support(ref.first().newick, s, NATIONS), NATIONS)
 
 
 @query(f"""WITH {SEG}, {_REF}, t AS (SELECT count(DISTINCT tree_id) AS t FROM counts),
@@ -246,10 +253,11 @@ def consensus_mre_many(spark, d):
     return c.withColumn("freq", r6("freq"))
 
 
-@query()
+@query(f"WITH {MON} SELECT split, floor(count(*) / 12.0 * 100 + 0.5)::BIGINT::VARCHAR AS label FROM splits GROUP BY 1 HAVING count(*) > 6")
 def tree_from_splits(spark, d):
+    """The majority tree as text, read again: its splits with their percentages."""
     c = TS.consensus_splits(splits(month_trees(spark, d), NATIONS), 12, 25, "MR")
-    return TS.consensus_tree(c, NATIONS)
+    return labelled_splits(TS.consensus_tree(c, NATIONS), NATIONS)
 
 
 @query(f"""WITH {MON}, u AS (SELECT DISTINCT split FROM splits), r AS (SELECT split AS a FROM splits WHERE tree_id = 1),
@@ -471,13 +479,12 @@ def topology_extract(spark, d):
     return T.topology_only(supplier_trees(spark, d))
 
 
-@query(f"""WITH {S.line_counts('l_suppkey')} SELECT tree_id, round(sum(n) + 0.05, 6)::DOUBLE AS tip_length FROM counts GROUP BY 1""")
+@query(f"""WITH {SUP} SELECT tree_id, split, 0.25::DOUBLE AS length FROM splits""")
 def reset_brlens(spark, d):
-    """Total tip length survives a round trip through Newick text and the edge table."""
+    """Trees with lengths get one for all branches; their splits stay."""
     counts = R.ladders(R.supplier_counts(spark, d)).withColumn("label", F.concat(F.lit("N"), F.col("taxon_id").cast("string"))).withColumn(
         "len", F.col("n").cast("double"))
-    e = T.tree_edges(R.ladder_newick(counts, "label", length="len"))
-    return e.where("is_tip").groupBy("tree_id").agg(r6(F.sum("length")).alias("tip_length"))
+    return T.tree_splits(T.fill_lengths(R.ladder_newick(counts, "label", length="len"), 0.25, everywhere=True), LINES).select("tree_id", "split", "length")
 
 
 @query("""WITH e AS (SELECT l_suppkey AS tree_id, l_linenumber - 1 AS taxon_id, CASE WHEN l_returnflag='A' THEN 0 WHEN l_returnflag='N' THEN 1 ELSE 2 END AS part_id, avg(l_discount) AS length
@@ -500,9 +507,12 @@ def apply_partition_brlens(spark, d):
     return T.partition_lengths(e, 1).withColumn("length", r6("length"))
 
 
-@query(f"""WITH {SUP}, b AS (SELECT tree_id, bool_or(split IN ('0110000', '1001111')) AS monophyletic FROM splits GROUP BY 1) SELECT tree_id, monophyletic FROM b""")
+@query(f"""WITH {SUP}, b AS (SELECT tree_id, bool_or(split IN ('0110000', '1001111')) AS monophyletic FROM splits GROUP BY 1)
+SELECT tree_id, monophyletic, split FROM b JOIN splits USING (tree_id)""")
 def reroot_outgroup(spark, d):
-    return T.reroot(supplier_trees(spark, d), ["N1", "N2"]).select("tree_id", "monophyletic")
+    """The flag, and the splits of the tree as it is written after rooting: they are those before."""
+    r = T.reroot(supplier_trees(spark, d), ["N1", "N2"])
+    return r.select("tree_id", "monophyletic").join(splits(r, LINES), "tree_id")
 
 
 @query("SELECT s_suppkey AS tree_id, 25::BIGINT AS tips, true AS is_binary FROM supplier")
