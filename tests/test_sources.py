@@ -143,3 +143,19 @@ def test_tasks_find_the_package_from_another_folder(tmp_path):
                       "assert [r.split for r in T.tree_splits(t, list('abcd')).collect()] == ['0011']\n")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, str(script)], check=True, cwd=tmp_path, env=env, timeout=240)
+
+
+def test_functions_for_sql(spark):
+    """Nulls give no rows or null; texts and taxa may come from columns."""
+    from cladeframe.functions import registered
+
+    registered.register(spark)
+    t = spark.createDataFrame([(1, "((a:1,b:2)x:0.5,c:1,d:1);"), (2, None), (3, "(a,b,(c,d));")], "id INT, newick STRING")
+    got = spark.sql("SELECT t.id, s.* FROM {t} t, LATERAL newick_splits(t.newick, 'a,b,c,d') s", t=t).collect()
+    assert {(r.id, r.split, r.length, r.label) for r in got} == {(1, "0011", 0.5, "x"), (3, "0011", None, "")}
+    m = spark.sql("SELECT m.* FROM (SELECT explode(array('GTR+G', NULL, 'LG')) AS x) v, LATERAL parse_model(v.x) m").collect()
+    assert {(r.name, r.states, r.categories, r.free_params) for r in m} == {("GTR", 4, 4, 9), ("LG", 20, 1, 0)}
+    p = spark.createDataFrame([("AAAA", "JC"), ("ACGT", "JC"), ("AC-T", "HKY{1/2}+FE"), (None, "JC"), ("AAAA", None)], "pattern STRING, model STRING")
+    lnl = {(r.pattern, r.model): r.l for r in spark.sql("SELECT pattern, model, pattern_loglh(pattern, 'a,b,c,d', '((a:0.1,b:0.1):0.1,c:0.1,d:0.1);', model) AS l FROM {p}", p=p).collect()}
+    assert lnl[None, "JC"] is None and lnl["AAAA", None] is None
+    assert lnl["AAAA", "JC"] > lnl["ACGT", "JC"] and lnl["AC-T", "HKY{1/2}+FE"] < 0
