@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import operator
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,24 +39,40 @@ def cover_counts(ranges: DataFrame, universe: DataFrame) -> DataFrame:
         "site", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 
 
-def membership(site: Column, start: int, stop: int, stride: int) -> Column:
-    inside = site.between(start, stop)
-    return inside if stride == 1 else inside & ((site - start) % stride == 0)
+def segments(ranges: list[tuple[int, int, int, int]]) -> tuple[list[int], list[list[tuple[int, int, int]]]]:
+    """Where the set of ranges that reach over a column changes, and the (part, start, stride) of those from there on."""
+    begin: dict[int, list] = {}
+    end: dict[int, list] = {}
+    for k, (p, a, b, stride) in enumerate(ranges):
+        begin.setdefault(a, []).append((k, (p, a, stride)))
+        end.setdefault(b + 1, []).append(k)
+    bounds, over, here = sorted({*begin, *end}), [], {}
+    for at in bounds:
+        for k in end.get(at, ()):
+            here.pop(k)
+        here.update(begin.get(at, ()))
+        over.append(list(here.values()))
+    return bounds, over
 
 
 def split_by_ranges(sites: DataFrame, ranges: list[tuple[int, int, int, int]], site: str = "site") -> DataFrame:
     """Route columns to partitions by a compiled expression: no shuffle and no exploded map.
 
-    The scheme is a parsed partition file (a few thousand ranges at most), the columns may
-    be any number.  Columns covered twice or not at all raise.
+    The scheme is a parsed partition file (any number of ranges that the driver can read), the columns may
+    be any number.  Its ranges are cut into segments; a column finds its segment by binary search in a constant array, and tries only the
+    ranges that reach over it.  Columns covered twice or not at all raise.
     """
+    bounds, over = segments(ranges)
+    told = {"from": bounds, "over": [[{"p": p, "a": a, "k": k} for p, a, k in here] for here in over]}
+    scheme = F.from_json(F.lit(json.dumps(told)), "from ARRAY<BIGINT>, over ARRAY<ARRAY<STRUCT<p: INT, a: BIGINT, k: BIGINT>>>")
     s = F.col(site)
-    tests = [(p, membership(s, a, b, k)) for p, a, b, k in ranges]
-    hits = functools.reduce(operator.add, [t.cast("int") for _, t in tests])
-    part = functools.reduce(lambda acc, t: acc.when(t[1], t[0]), tests[1:], F.when(tests[0][1], tests[0][0]))
-    routed = F.when(hits == 1, part).otherwise(F.raise_error(
+    strides = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    passed = F.aggregate(F.array(*[F.lit(x) for x in strides]), F.lit(0), lambda n, k: F.when(F.get(scheme["from"], n + k - 1) <= s, n + k).otherwise(n))
+    hits = F.filter(F.get(scheme["over"], passed - 1), lambda r: (s - r["a"]) % r["k"] == 0)
+    found = sites.withColumn("_hits", hits)
+    routed = F.when(F.size("_hits") == 1, F.get("_hits", F.lit(0))["p"]).otherwise(F.raise_error(
         F.concat(F.lit("column not covered exactly once: "), s.cast("string"))).cast("int"))
-    return sites.withColumn("part_id", routed)
+    return found.withColumn("part_id", routed).drop("_hits")
 
 
 def local_sites(sites: DataFrame) -> DataFrame:

@@ -77,15 +77,14 @@ class Job:
         if self.al.patterns is not None:
             return self.al.patterns
         w = "weight" if "weight" in self.sites.columns else None
-        out = None
-        for p, m in self.models.items():
-            s = S.drop_gap_columns(self.sites.where(F.col("part_id") == p), m.alphabet)
+
+        def step(sites, alphabet):
+            s = S.drop_gap_columns(sites, alphabet)
             if self.o.pat_comp:
-                d = S.compress_patterns(s, m.alphabet, w)
-            else:
-                d = s.select("part_id", "pattern", (F.col(w) if w else F.lit(1)).cast("bigint").alias("weight"), F.col("site").alias("first_site"))
-            out = d if out is None else out.unionByName(d)
-        return out
+                return S.compress_patterns(s, alphabet, w)
+            return s.select("part_id", "pattern", (F.col(w) if w else F.lit(1)).cast("bigint").alias("weight"), F.col("site").alias("first_site"))
+
+        return _by_alphabet(self, step)
 
     def probable(self) -> bool:
         """Whether likelihoods come from probability vectors and not from symbols."""

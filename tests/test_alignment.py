@@ -182,3 +182,30 @@ def test_balance(spark, procs, seed):
     assert len(per) == procs and per.min() >= total // procs and per.max() <= -(-total // procs)
     w = B.weighted_ranges(parts, procs).groupBy("proc").agg(F.sum(F.col("length") * F.col("per_site_weight")).alias("w")).toPandas().w
     assert len(w) == procs and w.max() <= weight / procs + 80
+
+
+def test_thousands_of_partitions(spark):
+    """4,116 partitions with strides and gaps between their parts: as a loop over all ranges says, in one stage without a shuffle."""
+    rng = np.random.default_rng(5)
+    ranges, at = [], 1
+    for p in range(4116):
+        n = int(rng.integers(1, 12))
+        k = int(rng.integers(1, 4))
+        if k == 1 or p + k > 4116:
+            ranges.append((p, at, at + n - 1, 1))
+        else:  # interleaved with itself: every stride of a block belongs to this partition or the one a third on
+            ranges += [((p + 1372 * j) % 4116, at + j, at + n - 1, k) for j in range(min(k, n))]
+        at += n
+    owner = {}
+    for p, a, b, k in ranges:
+        for x in range(a, b + 1, k):
+            assert x not in owner
+            owner[x] = p
+    got = split_by_ranges(spark.range(1, at).withColumnRenamed("id", "site"), ranges)
+    assert {(r.site, r.part_id) for r in got.collect()} == set(owner.items()) and len(owner) == at - 1
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    for odd in (0, at, 5 * at):
+        with pytest.raises(Exception, match="not covered exactly once"):
+            split_by_ranges(spark.createDataFrame([(odd,)], "site BIGINT"), ranges).collect()
+    with pytest.raises(Exception, match="not covered exactly once"):
+        split_by_ranges(spark.createDataFrame([(3,)], "site BIGINT"), [(0, 1, 5, 1), (1, 3, 3, 1)]).collect()
