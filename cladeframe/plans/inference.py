@@ -399,7 +399,7 @@ def within_cutoff(moves, val: np.ndarray, s: Search) -> np.ndarray:
     """Which moves are reached if a way ends behind a place that costs ``s.cut`` or more; counts the costs of those reached."""
     ok = np.zeros(len(moves), bool)
     open_: set = set()  # (subtree, node that may be left, node it was entered from)
-    for i, (a, b, (v, w)) in sorted(enumerate(moves), key=lambda x: x[0]):
+    for i, (a, b, (v, w)) in enumerate(moves):  # a way's places come in order
         start = v in s.tree.near[a]
         if not start and (a, b, v) not in open_:
             continue
