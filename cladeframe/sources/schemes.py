@@ -18,7 +18,7 @@ OUTPUTS = {
     "partition_trees": "bestPartitionTrees", "ml_trees": "mlTrees", "bootstrap_trees": "bootstraps", "support_tree": "support",
     "fbp_support_tree": "supportFBP", "tbe_support_tree": "supportTBE", "terrace": "terrace", "binary_msa": "rba",
     "bootstrap_msa": "bootstrapMSA", "rfdist": "rfDistances", "cons_tree": "consensusTree", "asr_tree": "ancestralTree",
-    "asr_probs": "ancestralProbs", "asr_states": "ancestralStates",
+    "asr_probs": "ancestralProbs", "asr_states": "ancestralStates", "terrace_compressed": "terraceCompressed",
 }
 TAG = "cladeframe"
 

@@ -312,3 +312,12 @@ def test_terrace_without_trial_of_free_taxa():
     assert len(u.nodes) < 80 and "#1=" in u.text() and u.size() > 100
     assert TR.compressed("((a,b),(c,d),e);", {x: "11" for x in "abcde"}) is not None
     assert TR.compressed("((a,b),(c,d),e);", {x: "10" if x < "c" else "01" for x in "abcde"}) is None
+
+
+def test_terrace_command_writes_its_files(spark, msa, tmp_path):
+    (tmp_path / "scheme").write_text("JC, a = 1-10\nJC, b = 11-20\n")
+    (tmp_path / "tree").write_text("((t1,t2),t3,(t4,t5));\n")
+    out = go(spark, f"--terrace --msa {msa} --model {tmp_path}/scheme --brlen unlinked --tree {tmp_path}/tree --prefix {tmp_path}/out")
+    assert out["size"] == 1 and out["listed"]
+    for kind in ("terraceCompressed", "terrace"):
+        assert spark.read.text(f"{tmp_path}/out.cladeframe.{kind}").count() == 1
