@@ -148,6 +148,22 @@ def read_catg(spark: SparkSession, path: str) -> Alignment:
     return Alignment(checked.drop("probs"), labels, cells, vectors=checked.select("part_id", "site", F.col("probs").alias("vectors")))
 
 
+def _phylip_kind(spark: SparkSession, path: str, n: int) -> str:
+    """Which layout follows a PHYLIP header: told by the shape of whole lines, however long, as measured in the tasks."""
+    tok = F.split(F.trim("value"), r"\s+")
+    shapes = numbered_records(spark, path).where(F.col("line").isin(1, 2, n + 1, n + 2)).select(
+        "line", F.size(tok).alias("tokens"), F.length(tok[0]).alias("first"), F.contains(F.coalesce(F.get(tok, F.lit(1)), F.lit("")), F.lit(",")).alias("lists"),
+        F.length(F.array_join(tok, "")).alias("letters"))
+    at = {r["line"]: r for r in shapes.collect()}
+    one, two = at.get(1), at.get(2)
+    if one and two and one["tokens"] == n and two["tokens"] == n + 1 and two["first"] == n and two["lists"]:
+        return "catg"
+    if one and two and n + 1 in at and one["tokens"] > 1 and two["tokens"] > 1:
+        # in the sequential layout line two continues the first taxon: it has no name of its own
+        return "iphylip" if one["letters"] - one["first"] == two["letters"] - two["first"] else "phylip"
+    return "phylip"
+
+
 def sniff(spark: SparkSession, path: str) -> str:
     """Format of a file from its first bytes."""
     if exists(spark, f"{path}/_alignment.json") or exists(spark, f"{path}/meta"):
@@ -162,16 +178,7 @@ def sniff(spark: SparkSession, path: str) -> str:
         return "vcf"
     m = HEADER.match(lines[0])
     if m:
-        n = int(m.group(1))
-        third = lines[2].split() if len(lines) > 2 else []
-        if len(lines[1].split()) == n and len(third) == n + 1 and len(third[0]) == n and "," in third[1]:
-            return "catg"
-        if len(lines) > n + 1 and len(lines[1].split(None, 1)) == 2:
-            second = lines[2].split(None, 1)
-            # in the sequential layout line two continues the first taxon: it has no name of its own
-            width = len("".join(lines[1].split()[1:]))
-            return "iphylip" if len(second) == 2 and len("".join(second[1].split())) == width else "phylip"
-        return "phylip"
+        return _phylip_kind(spark, path, int(m.group(1)))
     raise FormatError("unknown alignment format")
 
 

@@ -159,3 +159,27 @@ def test_functions_for_sql(spark):
     lnl = {(r.pattern, r.model): r.l for r in spark.sql("SELECT pattern, model, pattern_loglh(pattern, 'a,b,c,d', '((a:0.1,b:0.1):0.1,c:0.1,d:0.1);', model) AS l FROM {p}", p=p).collect()}
     assert lnl[None, "JC"] is None and lnl["AAAA", None] is None
     assert lnl["AAAA", "JC"] > lnl["ACGT", "JC"] and lnl["AC-T", "HKY{1/2}+FE"] < 0
+
+
+def test_layout_of_lines_longer_than_the_first_bytes(spark, tmp_path):
+    wide = 5000
+    block = ["".join("ACGT"[(i * 7 + j) % 4] for j in range(wide)) for i in range(4)]
+    (tmp_path / "inter.phy").write_text(f"4 {2 * wide}\n" + "".join(f"t{i} {x}\n" for i, x in enumerate(block)) + "\n".join(block) + "\n")
+    (tmp_path / "seq.phy").write_text(f"4 {2 * wide}\n" + "".join(f"t{i} {x}\n{x}\n" for i, x in enumerate(block)))
+    for name, kind in (("inter", "iphylip"), ("seq", "phylip")):
+        path = f"{tmp_path}/{name}.phy"
+        assert A.sniff(spark, path) == kind
+        al = A.read_alignment(spark, path)
+        assert al.labels == ["t0", "t1", "t2", "t3"] and al.sites.count() == 2 * wide
+
+
+def test_written_probabilities_are_rounded_once(spark, sf, monkeypatch):
+    from cladeframe.plans.catalog import files
+    from cladeframe.plans import recipes as R
+
+    def states(*_):
+        p = R.line_sites(spark, sf).select("part_id", "pattern").distinct()
+        return p.selectExpr("0 AS node", "part_id", "pattern", "'A' AS state", "array(0.85554999996D, 0.1D, 0.02D, 0.02445000004D) AS probs")
+
+    monkeypatch.setattr(files.L, "ancestral_states", states)
+    assert [r[0] for r in files.sink_ancestral_probs(spark, sf).select("p_A").distinct().collect()] == ["0.8555"]
