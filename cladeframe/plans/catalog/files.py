@@ -165,7 +165,7 @@ def sink_ancestral_probs(spark, d):
     from cladeframe.functions.models import parse_model
     a = parse_model("JC").alphabet
     st = L.ancestral_states(LK._ancestral(spark, d), a).join(R.line_sites(spark, d), ["part_id", "pattern"])
-    sinks.write_ancestral_probs(st, a.states, path, 3, precision=9)
+    sinks.write_ancestral_probs(st, a.states, path, 3, precision=17)  # fewer digits would be rounded twice
     r = spark.read.option("sep", "\t").option("header", True).csv(path)
     return r.select("Node", "Part", "Site", F.format_string("%.4f", F.round(F.col("p_A").cast("double"), 4)).alias("p_A"))
 
