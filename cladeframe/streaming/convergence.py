@@ -36,14 +36,17 @@ def half_distances(stream: DataFrame, labels: list[str], interval: int = 50, per
             counts = H.HalfCounts.load(data)
         else:
             added, waiting, counts = 0, {}, H.HalfCounts(H.perms_of(key[0], permutations), len(labels), seed)
-        out = []
+        out, known = [], {x: x for splits in waiting.values() for x in splits}
         for frame in frames:
             for no, splits in zip(frame["tree_no"], frame["splits"]):
                 if no >= added:
-                    waiting[int(no)] = list(splits)
+                    waiting[int(no)] = [known.setdefault(x, x) for x in splits]  # a text is kept once, so trees that wait are small
             while added in waiting:
-                counts.add(added, waiting.pop(added))
-                added += 1
+                run = []
+                while added + len(run) in waiting and (not run or (added + len(run)) % interval):
+                    run.append(waiting.pop(added + len(run)))
+                counts.add_all(added, run)
+                added += len(run)
                 if added % interval == 0:
                     out += [(added, p, wrf, n) for p, wrf, n in counts.distances(added)]
         state.update((pickle.dumps((added, counts.dump(), waiting), protocol=5),))
@@ -55,8 +58,8 @@ def half_distances(stream: DataFrame, labels: list[str], interval: int = 50, per
 class Watch:
     """A running check; ``report`` has a row per prefix up to the first that converged."""
 
-    def __init__(self, query: StreamingQuery, store: RunStore):
-        self.query, self.store = query, store
+    def __init__(self, query: StreamingQuery, store: RunStore, stopped: dict | None = None):
+        self.query, self.store, self.stopped = query, store, {} if stopped is None else stopped
 
     def report(self) -> DataFrame | None:
         r = self.store.load("report")
@@ -69,7 +72,7 @@ class Watch:
     def wait(self, poll: float = 0.5) -> DataFrame | None:
         """Until the stream ends or converges; then it is stopped, and the rest of its trees isn't read."""
         while self.query.isActive:
-            if self.converged():
+            if self.stopped:  # told by the batch itself, as a look at the table would be a job each time
                 self.query.stop()
             else:
                 time.sleep(poll)
@@ -85,21 +88,25 @@ def watch(stream: DataFrame, labels: list[str], path: str, interval: int = 50, p
     Rows of a micro-batch are one table named by its epoch, overwritten if the epoch is replayed, so a prefix is reported once; after
     the first that converged no more are.
     """
-    store = RunStore(stream.sparkSession, f"{path}/state")
+    spark = stream.sparkSession
+    store = RunStore(spark, f"{path}/state")
+    told = store.load("report")
+    first = None if told is None else told.where("converged").agg(F.min("epoch")).first()[0]
+    stopped = {} if first is None else {"epoch": first}
 
     def batch(df: DataFrame, epoch: int) -> None:
-        told = store.load("report")
-        if told is not None and not told.where("converged").where(F.col("epoch") < epoch).isEmpty():
+        if stopped and stopped["epoch"] < epoch:
             return
-        rows = H.convergence(df, permutations, cutoff).withColumn("epoch", F.lit(epoch)).persist()
-        first = rows.where("converged").agg(F.min("trees")).scalar()
-        found = rows.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col("trees") <= F.col("_stop"))).drop("_stop")
-        if not rows.isEmpty():
-            store.save("report", epoch, found)
+        rows = sorted(tuple(r) for r in H.convergence(df, permutations, cutoff).collect())  # one for each prefix
+        stop = next((r[0] for r in rows if r[4]), None)
+        if rows:
+            found = spark.createDataFrame([(*r, epoch) for r in rows if stop is None or r[0] <= stop], f"{H.REPORT}, epoch BIGINT")
+            store.save("report", epoch, found.coalesce(1))
             if on_report:
                 on_report(store.load("report").where(F.col("epoch") == epoch).drop("epoch"))
-        rows.unpersist()
+        if stop is not None:
+            stopped["epoch"] = epoch
 
     query = half_distances(stream, labels, interval, permutations, seed).writeStream.foreachBatch(batch).option(
         "checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-    return Watch(query, store)
+    return Watch(query, store, stopped)
