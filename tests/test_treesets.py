@@ -251,3 +251,35 @@ def test_missing_tips_of_a_tree_without_known_ones(spark):
     taxa = spark.createDataFrame([("a",), ("b",)], "label string")
     got = {(r.label, r.problem) for r in tree_taxa_mismatch(tips, taxa).collect()}
     assert got == {("x", "unknown"), ("y", "unknown"), ("a", "missing"), ("b", "missing")}
+
+
+@pytest.mark.parametrize("name", ["halves", "half_support", "mre", "wrf", "converged", "report"])
+def test_reduced_convergence_shuffles_every_prefix(spark, name):
+    """Beside the SQL where there are two prefixes; a half depends on its prefix."""
+    from tests.oracle import QUERIES, compare, connect
+    d = "/root/testdata/sf0.01"
+    assert compare(spark, connect(d), d, f"bootstop_{name}_20")[0] == "ok"
+    if name == "halves":
+        h = QUERIES["bootstop_halves_20"](spark, d)
+        assert h.count() == 20 * (50 + 100)
+        assert h.groupBy("perm", "tree_no").agg(F.countDistinct("half").alias("n")).where("n = 2").count() > 0
+
+
+def test_batches_of_trees_give_the_counts_of_single_ones():
+    from cladeframe.operators import halves as H
+    rng = np.random.default_rng(4)
+    trees = [sorted({"".join(map(str, rng.integers(0, 2, 6))) for _ in range(3)}) for _ in range(60)]
+    one, all_ = H.HalfCounts(range(3, 9), 6, 2), H.HalfCounts(range(3, 9), 6, 2)
+    for i, s in enumerate(trees):
+        one.add(i, s)
+    all_.add_all(0, trees[:37])
+    all_.add_all(37, trees[37:])
+    for a, b in zip(one.counts(), all_.counts()):
+        assert list(map(list, a)) == list(map(list, b)) if not isinstance(a, list) else a == b
+    room, n = 3, np.concatenate(one.counts()[1:], axis=1)
+    for (perm, half, kept), c in zip(one.consensus(60), [c for p in range(6) for c in (p, p + 6)]):
+        names, taken = one.counts()[0], []
+        for i in sorted(range(len(names)), key=lambda i: (-n[i, c], names[i])):
+            if len(taken) < room and (n[i, c] > 15 or all(nw.compatible(np.array([nw.bits(names[j])]), nw.bits(names[i])).all() for j in taken)):
+                taken.append(i)
+        assert sorted(kept) == sorted((names[i], int(n[i, c])) for i in taken)
