@@ -5,10 +5,13 @@ Each check returns the offending rows, so an empty result means the check passed
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.states import Alphabet
+from cladeframe.session import parallelism
 
 # Characters that Newick reserves and names therefore may not contain.
 RESERVED = "(),;:' \t\n"
@@ -161,18 +164,26 @@ def presence_matrix(presence: DataFrame, taxa: DataFrame, parts: DataFrame, taxo
     return rows.select(taxon, F.array_join(bit, "").alias("presence"))
 
 
-def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id") -> DataFrame:
-    """Duplicate, unknown and missing tips of every tree, as (tree, label, problem)."""
-    count = tips.groupBy(tree, "label").agg(F.count(F.lit(1)).alias("n"))
-    dup = count.where("n > 1").select(tree, "label", F.lit("duplicate").alias("problem"))
-    unknown = count.join(taxa.select("label"), "label", "left_anti").select(
-        tree, "label", F.lit("unknown").alias("problem"))
-    # The taxon list, as long as one alignment column, is compared with each tree's own list.
-    known = count.groupBy(tree).agg(F.collect_set("label").alias("_have"))  # also of trees without a known tip
+#: Tips of the trees that one task compares with the taxon list.
+TIPS_A_TASK = 1 << 20
+
+
+def tree_taxa_mismatch(tips: DataFrame, taxa: DataFrame, tree: str = "tree_id", once: bool = False) -> DataFrame:
+    """Duplicate, unknown and missing tips of every tree, as (tree, label, problem); with ``once`` a tip may come in several rows.
+
+    The taxon list, as long as one alignment column, is compared with each tree's own list.  Trees are dealt to as many tasks as
+    there are tips before lists are made, so that what a task holds doesn't grow with the number of trees.
+    """
+    n = max(parallelism(tips.sparkSession), math.ceil(tips.count() / TIPS_A_TASK))
+    collect = F.collect_set if once else F.collect_list
+    own = tips.select(tree, "label").repartition(n, tree).groupBy(tree).agg(collect(F.struct("label")).alias("_l"))  # a null is kept in a struct
     every = taxa.agg(F.sort_array(F.collect_set("label"))).scalar()
-    missing = known.withColumn("_all", every).select(
-        tree, F.explode(F.array_except("_all", "_have")).alias("label"), F.lit("missing").alias("problem"))
-    return dup.unionByName(unknown).unionByName(missing)
+    own = own.select(tree, F.array_sort(F.transform("_l", lambda x: x["label"])).alias("_have")).withColumn("_all", every)
+    again = F.filter("_have", lambda x, i: (i > 0) & x.eqNullSafe(F.get("_have", i - 1)))
+    named = lambda kind, found: F.transform(found, lambda x: F.struct(x.alias("label"), F.lit(kind).alias("problem")))
+    problems = [named(kind, found) for kind, found in (
+        ("duplicate", F.array_distinct(again)), ("unknown", F.array_except("_have", "_all")), ("missing", F.array_except("_all", "_have")))]
+    return own.select(tree, F.explode(F.concat(*problems)).alias("p")).select(tree, "p.label", "p.problem")
 
 
 def negative_lengths(edges: DataFrame) -> DataFrame:

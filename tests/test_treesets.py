@@ -283,3 +283,16 @@ def test_batches_of_trees_give_the_counts_of_single_ones():
             if len(taken) < room and (n[i, c] > 15 or all(nw.compatible(np.array([nw.bits(names[j])]), nw.bits(names[i])).all() for j in taken)):
                 taken.append(i)
         assert sorted(kept) == sorted((names[i], int(n[i, c])) for i in taken)
+
+
+def test_tree_taxa_are_dealt_by_number_of_tips(spark, monkeypatch):
+    from cladeframe.operators import checks
+    rows = [(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "c"), (2, "x"), (3, "a"), (3, "b"), (3, "c")]
+    tips = spark.createDataFrame(rows, "tree_id BIGINT, label STRING")
+    taxa = spark.createDataFrame([("a",), ("b",), ("c",)], "label STRING")
+    monkeypatch.setattr(checks, "TIPS_A_TASK", 1)
+    found = checks.tree_taxa_mismatch(tips, taxa)
+    assert found.rdd.getNumPartitions() == len(rows)
+    want = {(1, "a", "duplicate"), (1, None, "unknown"), (1, "c", "missing"), (2, "x", "unknown"), (2, "a", "missing"), (2, "b", "missing")}
+    assert {tuple(r) for r in found.collect()} == want
+    assert {tuple(r) for r in checks.tree_taxa_mismatch(tips, taxa, once=True).collect()} == want - {(1, "a", "duplicate")}
