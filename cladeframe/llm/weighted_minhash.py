@@ -26,8 +26,8 @@ from cladeframe.llm.words import BREAKS, LOWER, U, WORD_BASE, mix, run_starts, s
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9992.
 BANDS, ROWS = 10, 3
-#: Frequencies of all words are counted; weights of the commonest words, this many at most, are told one by one, in units of 1 / UNIT.
-#: All rarer words have the weight of the rarest of them, so what tasks hold is bounded and what is counted grows with the corpus.
+#: Frequencies of all words are counted; weights of the commonest words, this many at most, are told to all tasks, in units of 1 / UNIT.
+#: Those of rarer words stay in Spark and are joined to the texts that have them, so what tasks hold is bounded and each word has its own weight.
 TOLD, UNIT = 1 << 18, 1024
 #: Classes of frequencies for each doubling; the told words are whole classes.
 FINE = 4
@@ -59,19 +59,34 @@ class Weights:
     weight: np.ndarray
     rest: int
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.full(len(h), self.rest, np.int64)
+    def told(self, h: np.ndarray) -> np.ndarray:
+        return self.word[np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)] == h if len(self.word) else np.zeros(len(h), bool)
+
+    def of(self, h: np.ndarray, rare: pa.Array | None = None) -> np.ndarray:
+        """Weights of words by their hashes; ``rare`` has lists of (word, weight) of words that aren't told."""
         h, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return np.where(self.word[at] == h, self.weight[at], self.rest)[back]
+        out = np.full(len(h), self.rest, np.int64)
+        every = [(self.word, self.weight)]
+        if rare is not None and len(flat := rare.flatten()):
+            word, first = np.unique(np.asarray(flat.field("word")).view(U), return_index=True)
+            every.append((word, np.asarray(flat.field("weight"))[first]))
+        for word, weight in every:
+            if len(word):
+                at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+                out = np.where(word[at] == h, weight[at], out)
+        return out[back]
 
 
-def inverse_frequencies(docs: DataFrame, told: int = TOLD) -> Weights:
+def _weight(n, total: int, log, rounded):
+    return rounded(UNIT * (1 + 0.5 * log((total + 1) / (n + 1)) / np.log(total + 2)))
+
+
+def all_weights(docs: DataFrame, told: int = TOLD) -> tuple[Weights, DataFrame | None]:
     """Weights of words from 1 (in every text) to 1.5 (in none), in units; frequencies are counted over all texts.
 
     The table of words grows with the corpus and stays in Spark; to the driver come the sizes of classes of frequency and the
-    words in more than one text of the highest classes that have ``told`` words together.
+    words in more than one text of the highest classes that have ``told`` words together.  Other words in more than one text are
+    the second result, (word, weight); ``rest`` is the weight of words in one text.
     """
     rows = map_slices(docs.select("text"), "text", "word bigint, n bigint", Counter).groupBy("word").agg(F.sum("n").alias("n"))
     rows = stored(rows, "frequencies")
@@ -82,23 +97,53 @@ def inverse_frequencies(docs: DataFrame, told: int = TOLD) -> Weights:
         if held + k > told:
             break
         lowest, held = c, held + k
-    rare = held < sum(k for _, k in sizes)
     common = many.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word", "n").toPandas()
     word, n = common["word"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.float64)
-    weight = np.round(UNIT * (1 + 0.5 * np.log((total + 1) / (n + 1)) / np.log(total + 2))).astype(np.int64)
+    weight = _weight(n, total, np.log, np.round).astype(np.int64)
     order = np.argsort(word)
-    alone = round(UNIT * (1 + 0.5 * np.log((total + 1) / 2) / np.log(total + 2)))
-    return Weights(word[order], weight[order], int(weight.max()) if rare and len(word) else alone)
+    rare = None
+    if held < sum(k for _, k in sizes):
+        left = many if lowest is None else many.where(F.col("class") < lowest)
+        rare = left.select("word", _weight(F.col("n"), total, F.log, F.rint).cast("bigint").alias("weight"))
+    return Weights(word[order], weight[order], round(_weight(1, total, np.log, float))), rare
+
+
+def inverse_frequencies(docs: DataFrame, told: int = TOLD) -> Weights:
+    """The told words of ``all_weights`` alone, for uses that can't join: all others have the weight of the rarest of them."""
+    w, rare = all_weights(docs, told)
+    return Weights(w.word, w.weight, int(w.weight.max()) if rare is not None and len(w.word) else w.rest)
+
+
+RARE = "array<struct<word:bigint,weight:bigint>>"
+
+
+def with_rare(texts: DataFrame, idf: Broadcast, rare: DataFrame | None) -> DataFrame:
+    """(d, text, rare): texts with the weights of their words that aren't told; null where there are none."""
+    if rare is None:
+        return texts.withColumn("rare", F.lit(None).cast(RARE))
+
+    def make():
+        def work(part: pa.RecordBatch) -> dict:
+            w = words(*utf8(part.column("text")), BREAKS, LOWER)
+            h = w.hashes()
+            keep = np.flatnonzero(~idf.value.told(h))
+            pairs = np.unique(np.rec.fromarrays([np.asarray(part.column("d"))[w.doc[keep]], h[keep].view(np.int64)], names="d,word"))
+            return {"d": pairs["d"], "word": pairs["word"]}
+        return work
+
+    met = map_slices(texts.select("d", "text"), "text", "d bigint, word bigint", make).join(rare, "word")
+    own = met.groupBy("d").agg(F.collect_set(F.struct("word", "weight")).alias("rare"))
+    return stored(texts.hint("merge").join(own, "d", "left").select("d", "text", "rare"), "weighed_texts")
 
 
 class Shingles:
     """Distinct shingles of each text, in order of text and hash, with integer weights."""
 
-    def __init__(self, column: pa.Array, idf: Weights):
+    def __init__(self, column: pa.Array, idf: Weights, rare: pa.Array | None = None):
         w = words(*utf8(column), BREAKS, LOWER)
         h = w.hashes()
         prefix = sums(h, WORD_BASE[0])
-        weight = np.concatenate([[0], np.cumsum(idf.of(h))])
+        weight = np.concatenate([[0], np.cumsum(idf.of(h, rare))])
         start = run_starts(w.first, SHINGLE)
         end = start + SHINGLE
         doc = np.searchsorted(w.first, start, "right") - 1
@@ -155,7 +200,7 @@ def samples(s: Shingles, chunk: int = 8192) -> np.ndarray:
 def _signature(idf: Broadcast):
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            s = Shingles(part.column("text"), idf.value)
+            s = Shingles(part.column("text"), idf.value, part.column("rare"))
             out = samples(s).reshape(s.texts, BANDS, ROWS)
             key = np.broadcast_to(mix(np.arange(BANDS).astype(U)), (s.texts, BANDS))
             for i in range(ROWS):
@@ -174,7 +219,7 @@ def _signature(idf: Broadcast):
 def _similarity(idf: Broadcast):
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            a, b = Shingles(part.column("text_a"), idf.value), Shingles(part.column("text_b"), idf.value)
+            a, b = (Shingles(part.column(f"text_{x}"), idf.value, part.column(f"rare_{x}")) for x in "ab")
             doc, h, w = (np.concatenate(x) for x in ((a.doc, b.doc), (a.hash, b.hash), (a.weight, b.weight)))
             order = np.lexsort([h, doc])
             doc, h, w = doc[order], h[order], w[order]
@@ -188,12 +233,12 @@ def _similarity(idf: Broadcast):
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     """(a, b, similarity) of pairs, from whole texts.  Texts are always shuffled, so that the plan is the same at every size."""
-    first = pairs.hint("merge").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.hint("merge").join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    first = pairs.hint("merge").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b"), F.col("rare").alias("rare_b")), "b")
+    both = first.hint("merge").join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a"), F.col("rare").alias("rare_a")), "a").select("a", "b", "text_a", "text_b", "rare_a", "rare_b")
     return map_slices(both, "text_a text_b", "a bigint, b bigint, similarity double", _similarity(idf))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, told: int = TOLD) -> DataFrame:
     """(key, class_id) for every row: the smallest key of its class.
 
     Texts with the same shingles, each as often, are one node (so copies are linked without a comparison).  A text without
@@ -202,7 +247,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     """
     spark, named_ = docs.sparkSession, "class_id_" if key.lower() == "class_id" else "class_id"
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
+    weights, rare = all_weights(texts, told)
+    idf = spark.sparkContext.broadcast(weights)
+    texts = with_rare(texts, idf, rare)
     sig = stored(map_slices(texts, "text", "d bigint, p1 bigint, p2 bigint, shingles bigint, bands array<bigint>", _signature(idf)), "signatures")
     nodes = stored(sig.where("shingles > 0").groupBy("p1", "p2").agg(F.min("d").alias("node")), "nodes")
     own = sig.join(nodes, ["p1", "p2"]).where(F.col("d") == F.col("node"))
@@ -235,7 +282,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 def _weights(idf: Broadcast):
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            s = Shingles(part.column("text"), idf.value)
+            s = Shingles(part.column("text"), idf.value, part.column("rare"))
             return {"d": np.asarray(part.column("d"))[s.doc], "shingle": s.hash.view(np.int64), "weight": s.weight}
         return work
     return make
@@ -259,7 +306,7 @@ def unsettled(members: DataFrame, known: DataFrame, found: DataFrame, texts: Dat
     m = m.join(known.select(F.col("a").alias("least"), F.col("b").alias("node"), "similarity"), ["least", "node"], "left")
     m = m.select("band", "node", "least", F.coalesce("similarity", F.lit(1.0)).alias("s"))
     m = stored(m, "mixed")
-    rows = map_slices(texts.hint("merge").join(m.select(F.col("node").alias("d")).distinct(), "d").select("d", "text"), "text", "d bigint, shingle bigint, weight bigint", _weights(idf))
+    rows = map_slices(texts.hint("merge").join(m.select(F.col("node").alias("d")).distinct(), "d").select("d", "text", "rare"), "text", "d bigint, shingle bigint, weight bigint", _weights(idf))
     by_shingle = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.sum("weight").alias("weight"))
     lonely = by_shingle.where("n = 1").groupBy("d").agg(F.sum("weight").alias("lonely"))
     total = rows.groupBy("d").agg(F.sum("weight").alias("total"))

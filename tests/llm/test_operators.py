@@ -538,3 +538,25 @@ def test_visible_words_against_a_plain_walk(seed):
         return "".join(out)
     page = build(4, False, True, "")
     assert re.findall(r"w\d+", htmltext.render(page)) == want, page
+
+
+def test_words_that_are_not_told_have_their_own_weights(spark):
+    from cladeframe.llm import weighted_minhash as M
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(300)])
+    texts = [" ".join(rng.choice(vocabulary, 40, p=np.arange(300, 0, -1) / 45150)) for _ in range(60)]
+    texts += [t.replace(" w1", " x1", 1) for t in texts[:20]] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d bigint, text string").selectExpr("d", "coalesce(text, '') AS text")
+    full, none = M.all_weights(docs)
+    assert none is None
+    column = pa.array([t or "" for t in texts])
+    want = M.Shingles(column, full)
+    for told in (0, 40):
+        few, rare = M.all_weights(docs, told)
+        assert few.word.size <= told and rare is not None
+        rows = M.with_rare(docs, spark.sparkContext.broadcast(few), rare).orderBy("d").toArrow()
+        got = M.Shingles(rows["text"].combine_chunks(), few, rows["rare"].combine_chunks())
+        for name in ("hash", "doc", "weight"):
+            assert np.array_equal(getattr(got, name), getattr(want, name))
+    both = [sorted(map(tuple, M.classes(docs, "text", "d", told=t).collect())) for t in (M.TOLD, 0)]
+    assert both[0] == both[1]
