@@ -296,3 +296,15 @@ def test_tree_taxa_are_dealt_by_number_of_tips(spark, monkeypatch):
     want = {(1, "a", "duplicate"), (1, None, "unknown"), (1, "c", "missing"), (2, "x", "unknown"), (2, "a", "missing"), (2, "b", "missing")}
     assert {tuple(r) for r in found.collect()} == want
     assert {tuple(r) for r in checks.tree_taxa_mismatch(tips, taxa, once=True).collect()} == want - {(1, "a", "duplicate")}
+
+
+def test_distances_of_repeated_topologies_are_looked_up(spark):
+    """Trees of few topologies, one of them without splits, with text ids; pairs leave the tasks as Arrow columns."""
+    held = [["s1", "s2"], ["s1", "s3"], []]
+    ids = [f"t{k:03d}" for k in range(90)]
+    t = spark.createDataFrame([(x,) for x in ids], "tree_id STRING")
+    s = spark.createDataFrame([(x, c) for k, x in enumerate(ids) for c in held[k % 3]], "tree_id STRING, split STRING")
+    df = TS.rf_pairwise(s, t, 7, 16)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().toString()
+    got = {(r["tree_i"], r["tree_j"]): r["rf"] for r in df.collect()}
+    assert got == {(ids[i], ids[j]): len(set(held[i % 3]) ^ set(held[j % 3])) for i in range(90) for j in range(i + 1, 90)}
