@@ -67,7 +67,7 @@ class Block:
 
     def _tip(self, v: int, matrices: np.ndarray) -> np.ndarray:
         """Tip vectors of taxon v times one matrix or several: (..., patterns, states)."""
-        return (self.tips @ matrices)[..., self.codes[:, v], :]
+        return (self.tips @ matrices).take(self.codes[:, v], axis=-2)
 
     def down(self, rates: Rates, order, length, keys=None):
         """Partials below every node: {node: (clv or None for tips, log scale or 0)}."""
@@ -123,6 +123,7 @@ class Block:
         root, kids = order[-1]
         above: dict = {}
         const = rates.pinv * (self.invariant() @ rates.pi) if rates.pinv > 0 else None
+        into, back = rates.pi[:, None] * rates.left, np.ascontiguousarray(rates.right.T)
         grad: dict = {}
         lnl = None
         for v, kids in reversed(order):
@@ -144,9 +145,9 @@ class Block:
                 above[c] = (x, s)
                 d, sd = below.get(c, (None, 0.0))
                 # in the eigenbasis all derivatives share one product of the two partials
-                z = ((x * rates.pi) @ rates.left) * (
-                    self._tip(c, rates.right.T) if d is None else d @ rates.right.T)
-                f0, f1, f2 = np.einsum("cpm,cmk->kp", z, rates.terms(length[c]), optimize=True)
+                z = (x.reshape(-1, self.states) @ into).reshape(x.shape)
+                z *= self._tip(c, back) if d is None else (d.reshape(-1, self.states) @ back).reshape(d.shape)
+                f0, f1, f2 = (rates.terms(length[c]).transpose(0, 2, 1) @ z.transpose(0, 2, 1)).sum(axis=0)
                 scale = np.asarray(s + sd)
                 if const is not None:
                     f0 = f0 + const / (1 - rates.pinv) * np.exp(np.minimum(-scale, 700.0))

@@ -108,11 +108,13 @@ class Candidate:
 class PackedAlignment:
     """Blocks of patterns plus what the driver must know about the alignment (sizes, taxa)."""
 
-    def __init__(self, blocks: DataFrame, labels: list[str], stats: dict[int, dict], lanes: int, rows: int):
-        self.blocks, self.labels, self.stats, self.lanes, self.rows = blocks, labels, stats, lanes, rows
+    def __init__(self, blocks: DataFrame, labels: list[str], stats: dict[int, dict], lanes: int, rows: int, held: DataFrame | None = None):
+        self.blocks, self.labels, self.stats, self.lanes, self.rows, self.held = blocks, labels, stats, lanes, rows, held
 
     def close(self) -> None:
         self.blocks.unpersist()
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def statistics(patterns: DataFrame, model: Model | dict[int, Model]) -> dict[int, dict]:
@@ -135,11 +137,15 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
 
     ``extra`` has replicate weights ``(replicate, part_id, pattern, weight)``; they become
     further weight rows of the same blocks, so all replicates share the decoded patterns.
-    A pattern's replicate weights are at most ``replicates`` numbers.  When there are fewer
+    A pattern's replicate weights are at most ``replicates`` numbers.  Patterns whose statistics aren't
+    told are held until the blocks are closed, so columns are compressed once.  When there are fewer
     blocks than cores the blocks are repeated as lanes that split the candidates instead.
     """
     spark = patterns.sparkSession
     n_taxa = len(labels)
+    held = None
+    if not stats and not (patterns.storageLevel.useMemory or patterns.storageLevel.useDisk):
+        held = patterns = patterns.persist(StorageLevel.MEMORY_AND_DISK)
     st = stats or statistics(patterns, model)
     total = sum(r["pattern_count"] for r in st.values())
     cores = parallelism(spark)
@@ -192,7 +198,7 @@ def pack(patterns: DataFrame, labels: Sequence[str], model: Model | dict[int, Mo
         blocks = blocks.withColumn("lane", F.lit(0))
     # several partitions may leave more blocks than planned; they only make tasks finer
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    return PackedAlignment(blocks, list(labels), st, lanes, rows)
+    return PackedAlignment(blocks, list(labels), st, lanes, rows, held)
 
 
 def pack_vectors(columns: DataFrame, labels: Sequence[str], stats: dict[int, dict], block: int = BLOCK) -> PackedAlignment:

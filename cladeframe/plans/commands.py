@@ -204,7 +204,12 @@ def prepare(spark: SparkSession, o: Options, extra=None, replicates: int = 0):
         al = _packed_vectors(job)
     else:
         al = L.pack(job.patterns(), job.labels, job.models, extra(job) if extra else None, replicates)
-    for note in check_models(job, al.stats, 2 * len(job.labels) - 3):
+    try:
+        notes = check_models(job, al.stats, 2 * len(job.labels) - 3)
+    except ValueError:
+        al.close()
+        raise
+    for note in notes:
         log.warning(note)
     return job, al
 
