@@ -1,3 +1,4 @@
+import collections
 import itertools
 
 import numpy as np
@@ -308,3 +309,30 @@ def test_distances_of_repeated_topologies_are_looked_up(spark):
     assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().toString()
     got = {(r["tree_i"], r["tree_j"]): r["rf"] for r in df.collect()}
     assert got == {(ids[i], ids[j]): len(set(held[i % 3]) ^ set(held[j % 3])) for i in range(90) for j in range(i + 1, 90)}
+
+
+def test_chunks_hold_few_topologies_and_trees():
+    assert TS.chunks([], 8, 2) == ([], 0)
+    assert TS.chunks([(1, 3, 1), (2, 5, 1), (3, 1, 1), (5, 17, 2), (8, 2, 1), (9, 2, 2)], 8, 2) == (
+        [(1, 0, 1), (2, 0, 1), (3, 1, 1), (5, 2, 3), (8, 5, 1), (9, 6, 1)], 7)
+
+
+@pytest.mark.parametrize("kind", ["STRING", "BIGINT"])
+def test_pairs_leave_python_as_rows_of_many(spark, monkeypatch, kind):
+    """One topology of most trees, cut into several chunks, some of one tree, trees without splits, ids that are missing or come twice."""
+    monkeypatch.setattr(TS, "PAIRS_AT_ONCE", 24)
+    held = [["s0", "s1"]] * 40 + [[f"s{k}", f"s{k + 1}"] for k in range(1, 12)] + [[]] * 9
+    ids = [f"é{k * 7 % 60}" if kind == "STRING" else k * 7 % 60 - 30 for k in range(60)]
+    t = spark.createDataFrame([(x,) for x in ids] + [(None,), (None,), (ids[3],)], f"tree_id {kind}").repartition(5)
+    s = spark.createDataFrame([(x, c) for x, h in zip(ids, held) for c in h], f"tree_id {kind}, split STRING")
+    of = [*zip(ids, held), (None, []), (None, []), (ids[3], held[3])]
+    key = lambda x: (x is None, x if kind == "BIGINT" else (x or "").encode())
+    want = collections.Counter(
+        (*sorted((a, b), key=key), len(set(p) ^ set(q)), len(set(p) ^ set(q)) / 8) for (a, p), (b, q) in itertools.combinations(of, 2))
+    for block in (2, 512):
+        df = TS.rf_pairwise(s, t, 7, block)
+        assert df.schema.simpleString() == f"struct<tree_i:{kind.lower()},tree_j:{kind.lower()},rf:bigint,rrf:double>"
+        assert collections.Counter(tuple(r) for r in df.collect()) == want
+        made = df._jdf.queryExecution().toString()
+        assert "posexplode(right" in made and "FlatMapGroupsInArrow" in made  # generated code makes the pairs
+    assert TS.rf_pairwise(s, t.limit(0), 7).count() == 0 and TS.rf_pairwise(s, t.limit(1), 7).count() == 0
